@@ -1 +1,6 @@
+"""Registered queries with their SQL counterparts."""
 
+from sparquill.queries import chunks  # noqa: F401
+from sparquill.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
