@@ -157,11 +157,12 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, question`` from the benchmark passages."""
+    """``query_id, question`` from the benchmark passages, with some greetings and blanks."""
     item = F.col("item_id")
+    opened = F.concat_ws(" ", _pick(item % len(_OPENINGS), _OPENINGS), "text")
     return table(spark, sf_dir, "benchmark").select(
         item.alias("query_id"),
-        F.concat_ws(" ", _pick(item % len(_OPENINGS), _OPENINGS), "text").alias("question"),
+        F.when(item % 20 == 7, "Hello! ").when(item % 20 == 11, "  ").otherwise(opened).alias("question"),
     )
 
 
@@ -176,7 +177,8 @@ shelf AS (
 
 ASKED_SQL = f"""
 asked AS (
-  SELECT item_id AS query_id, {_pick_sql(f"item_id % {len(_OPENINGS)}", _OPENINGS)} || ' ' || text AS question
+  SELECT item_id AS query_id, CASE item_id % 20 WHEN 7 THEN 'Hello! ' WHEN 11 THEN '  '
+         ELSE {_pick_sql(f"item_id % {len(_OPENINGS)}", _OPENINGS)} || ' ' || text END AS question
   FROM benchmark)
 """
 

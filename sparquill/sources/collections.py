@@ -97,27 +97,25 @@ class Collections:
     def _batches(self, name: str) -> list[str]:
         return self._children(f"{self._folder(name)}/data")
 
-    def write_batch(self, name: str, batch: str, rows: DataFrame, partition_by: str | None = None) -> None:
+    def write_batch(self, name: str, batch: int, rows: DataFrame, partition_by: str | None = None) -> None:
         """Write one insert.  Writing the same batch again replaces it."""
         check_metadata(rows)
         writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/{batch}")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch:06d}")
 
     def add(self, name: str, rows: DataFrame, *order: str, partition_by: str | None = None) -> None:
         """Insert rows without ids; ids continue from the present count, in ``order``."""
         batches = self._batches(name)
         start = self.count(name)
-        self.write_batch(name, f"batch_{len(batches):06d}", number_rows(rows, *order, start=start), partition_by)
+        self.write_batch(name, len(batches), number_rows(rows, *order, start=start), partition_by)
 
     def open(self, name: str) -> DataFrame:
         """All rows, or an error if nothing was ever stored under the name."""
-        batches = self._batches(name)
-        if not batches:
+        if not self._batches(name):
             raise ValueError(f"collection {name!r} is empty or does not exist")
-        parts = [self.spark.read.parquet(f"{self._folder(name)}/data/{b}") for b in batches]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part, allowMissingColumns=True)
+        rows = self.spark.read.parquet(f"{self._folder(name)}/data").drop("batch")
+        if "year_range" in rows.columns:  # read back from folder names it may look like a number
+            rows = rows.withColumn("year_range", F.col("year_range").cast("string"))
         return rows
 
     def count(self, name: str) -> int:
