@@ -248,13 +248,13 @@ def round_half_even(spark, sf_dir):
 @query(
     "encode_throughput",
     """
-    SELECT user_id, round_even(CASE WHEN sum(second(ts)::BIGINT % 7) > 0 THEN count(*) / sum(second(ts)::BIGINT % 7)::DOUBLE ELSE 0.0 END, 4) AS per_second
+    SELECT user_id, CASE WHEN sum(second(ts)::BIGINT % 7) > 0 THEN count(*) / sum(second(ts)::BIGINT % 7)::DOUBLE ELSE 0.0 END AS per_second
     FROM events GROUP BY user_id
     """,
 )
 def encode_throughput(spark, sf_dir):
     seconds = F.sum(F.second("ts") % 7)
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        T.round_half_even(E.throughput(F.count(F.lit(1)), seconds), 4).alias("per_second")
+        E.throughput(F.count(F.lit(1)), seconds).alias("per_second")
     )
 

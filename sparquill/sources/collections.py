@@ -118,8 +118,11 @@ class Collections:
             rows = rows.withColumn("year_range", F.col("year_range").cast("string"))
         return rows
 
-    def count(self, name: str) -> int:
-        return self.open(name).count() if self._batches(name) else 0
+    def count(self, name: str, before_batch: int | None = None) -> int:
+        if not self._batches(name):
+            return 0
+        rows = self.spark.read.parquet(f"{self._folder(name)}/data")
+        return (rows if before_batch is None else rows.where(F.col("batch") < before_batch)).count()
 
     def get(
         self, name: str, ids: list[str] | DataFrame | None = None, where: dict[str, Any] | None = None,
