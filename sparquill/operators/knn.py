@@ -73,7 +73,7 @@ class _Best:
         self.ids: np.ndarray | None = None
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids):
+        if not len(ids) or not len(self.queries):
             return
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]

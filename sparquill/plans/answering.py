@@ -140,3 +140,11 @@ def batch_summary(answers: DataFrame) -> DataFrame:
             for label in vocab.CONFIDENCE_LABELS
         ],
     )
+
+
+def write_answers(answers: DataFrame, path: str) -> None:
+    """``results`` and ``summary`` as JSON below ``path``; the summary reads the results."""
+    root = path.rstrip("/")
+    answers.write.mode("overwrite").json(f"{root}/results")
+    stored = answers.sparkSession.read.schema(answers.schema).json(f"{root}/results")
+    batch_summary(stored).write.mode("overwrite").json(f"{root}/summary")

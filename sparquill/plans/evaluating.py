@@ -43,12 +43,14 @@ def evaluate(
 
 
 def write_report(scored: DataFrame, path: str) -> None:
-    """``summary``, ``by_category``, ``confidence`` and ``results`` as JSON below ``path``."""
-    parts = {
-        "results": scored,
-        "summary": V.overall(scored),
-        "by_category": V.by_category(scored),
-        "confidence": V.confidence_distribution(scored.where(V.succeeded())),
-    }
-    for name, part in parts.items():
-        part.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+    """``results``, ``summary``, ``by_category`` and ``confidence`` as JSON below ``path``.
+
+    The results are written first and summed up from there, so that questions are only
+    answered once.
+    """
+    spark, root = scored.sparkSession, path.rstrip("/")
+    scored.write.mode("overwrite").json(f"{root}/results")
+    results = spark.read.schema(scored.schema).json(f"{root}/results")
+    V.overall(results).write.mode("overwrite").json(f"{root}/summary")
+    V.by_category(results).write.mode("overwrite").json(f"{root}/by_category")
+    V.confidence_distribution(results.where(V.succeeded())).write.mode("overwrite").json(f"{root}/confidence")

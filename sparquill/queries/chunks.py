@@ -11,6 +11,8 @@ from sparquill.operators.chunking import chunk_documents
 from sparquill.plans import ingest as I
 from sparquill.queries.inputs import PAPERS_SQL, PATHS_SQL, YEAR_SQL, papers, paper_path, spread, table, with_ctes
 from sparquill.queries.registry import literal, query
+from sparquill.sources import documents as D
+from sparquill.sources.collections import total_size
 
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
 _IS_TABLE = r"(contains(line, '|') OR (regexp_matches(line, '\S\s{3,}\S') AND length(" + _STRIP.format("line") + ") > 10))"
@@ -432,3 +434,116 @@ def source_contains(spark, sf_dir):
 )
 def chunks_of_period(spark, sf_dir):
     return paper_chunks(spark, sf_dir).where(F.col("year_range") == "2007-2026").select("doc_id", "chunk_id", "year_range")
+
+
+# -- files ---------------------------------------------------------------------------
+
+
+def _files(spark, sf_dir):
+    """Documents as files: every third one is a PDF by its first bytes."""
+    doc_id = F.col("doc_id")
+    head = F.when(doc_id % 3 == 0, "%PDF-1.4 ").otherwise("")
+    return spread(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        paper_path(doc_id).alias("path"),
+        F.col("n_chars").alias("length"),
+        F.encode(F.concat(head, "text"), "UTF-8").alias("content"),
+    )
+
+
+_FOLDER_SQL = "regexp_replace(path, '/[^/]*$', '')"
+
+
+@query(
+    "corpus_audit",
+    with_ctes(
+        PATHS_SQL,
+        select=f"""
+        SELECT {_FOLDER_SQL} AS folder, count(*) AS n_files, round_even(sum(n_chars)::DOUBLE / 1048576, 2) AS size_mb
+        FROM paths GROUP BY 1""",
+    ),
+)
+def corpus_audit(spark, sf_dir):
+    return D.audit(_files(spark, sf_dir))
+
+
+@query(
+    "corpus_sample_names",
+    with_ctes(
+        PATHS_SQL,
+        select=f"""
+        SELECT folder, name, pos FROM (
+          SELECT {_FOLDER_SQL} AS folder, source_file AS name,
+                 row_number() OVER (PARTITION BY {_FOLDER_SQL} ORDER BY source_file)::INT AS pos FROM paths)
+        WHERE pos <= 10""",
+    ),
+)
+def corpus_sample_names(spark, sf_dir):
+    return D.sample_names(_files(spark, sf_dir))
+
+
+@query(
+    "pdf_validity",
+    with_ctes(PATHS_SQL, select="SELECT path, doc_id % 3 = 0 OR starts_with(text, '%PDF') AS is_valid FROM paths"),
+)
+def pdf_validity(spark, sf_dir):
+    return D.validity(_files(spark, sf_dir))
+
+
+@query(
+    "database_size",
+    with_ctes(PATHS_SQL, select="SELECT count(*) AS n_files, round_even(sum(n_chars)::DOUBLE / 1048576, 2) AS size_mb FROM paths"),
+)
+def database_size(spark, sf_dir):
+    return total_size(_files(spark, sf_dir))
+
+
+def _line_reader():
+    """One page per line.  A line with a pipe cannot be read; a file of nine characters or less neither."""
+
+    def page(line):
+        if "|" in line:
+            raise ValueError("unreadable page")
+        return line
+
+    def read(content):
+        text = content.decode()
+        if len(text) < 10:
+            raise ValueError("not a document")
+        return [lambda line=line: page(line) for line in text.split("\n")]
+
+    return read
+
+
+def _shouting_ocr():
+    return lambda content, number: f"OCR TEXT OF PAGE {number}"
+
+
+@query(
+    "extract_pages",
+    with_ctes(
+        """page_rows AS (
+          SELECT doc_id, unnest(range(1, len(cut) + 1)) AS n, unnest(cut) AS line
+          FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.4 ' ELSE '' END || text, chr(10)) AS cut,
+                       length(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.4 ' ELSE '' END || text) AS n_chars FROM documents)
+          WHERE n_chars >= 10),
+        kept AS (
+          SELECT doc_id, n, length(trim(line)) < 50 AS by_ocr,
+                 CASE WHEN length(trim(line)) < 50 THEN 'OCR TEXT OF PAGE ' || n ELSE line END AS body
+          FROM page_rows WHERE NOT contains(line, '|'))""",
+        select="""
+        SELECT d.doc_id, coalesce(p.n_pages, 0)::INT AS n_pages, coalesce(k.ocr_used, 0)::INT AS ocr_used,
+               CASE WHEN p.n_pages IS NULL THEN 'not a document' END AS error, coalesce(k.marked, '') AS marked
+        FROM documents d
+        LEFT JOIN (SELECT doc_id, count(*) AS n_pages FROM page_rows GROUP BY doc_id) p USING (doc_id)
+        LEFT JOIN (SELECT doc_id, count_if(by_ocr) AS ocr_used,
+                          string_agg('[PAGE ' || n || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY n) AS marked
+                   FROM kept GROUP BY doc_id) k USING (doc_id)""",
+    ),
+)
+def extract_pages(spark, sf_dir):
+    """Text extraction with a failing page, a failing file and pages that need OCR."""
+    found = _files(spark, sf_dir).select("doc_id", D.extract_pages(F.col("content"), _line_reader, _shouting_ocr).alias("x"))
+    return found.select(
+        "doc_id", "x.n_pages", "x.ocr_used", "x.error", F.coalesce(T.mark_pages(F.col("x.pages")), F.lit("")).alias("marked")
+    )

@@ -164,9 +164,14 @@ class Collections:
         stamped.coalesce(1).write.mode("overwrite").json(f"{self.root}/_statistics/{name}")
 
 
-def folder_size(spark: SparkSession, path: str) -> DataFrame:
-    """``(n_files, size_mb)`` of everything below a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+def total_size(files: DataFrame) -> DataFrame:
+    """``(n_files, size_mb)`` of ``(path, length)`` rows."""
     return files.agg(
         F.count(F.lit(1)).alias("n_files"), F.bround(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("size_mb")
     )
+
+
+def folder_size(spark: SparkSession, path: str) -> DataFrame:
+    """Size of everything below a folder; file contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return total_size(files.select("path", "length"))
