@@ -28,8 +28,8 @@ def build(
     """
     encoded = E.encode_chunks(chunks, encoder=encoder).where(F.col("encode_error").isNull())
     rows = encoded.withColumnRenamed("text", "document").drop("encode_error")
-    store.create(name, model_name)
-    store.add(name, rows, "source_file", "chunk_id", "year_range", partition_by=partition_by)
+    store.create(name, model_name, partition_by=partition_by)
+    store.add(name, rows, "source_file", "chunk_id", "year_range")
 
 
 def validation_suite(

@@ -65,16 +65,22 @@ class Collections:
 
     # -- life cycle
 
-    def create(self, name: str, embedding_model: str, description: str = "") -> None:
-        """An empty collection; one of the same name is replaced."""
+    def create(
+        self, name: str, embedding_model: str, description: str = "", partition_by: str | None = None
+    ) -> None:
+        """An empty collection; one of the same name is replaced.
+
+        Filters on the ``partition_by`` field skip whole folders.
+        """
         self.delete(name)
         attributes = {
             "name": name,
             "description": description,
             "embedding_model": embedding_model,
             "creation_date": datetime.now(timezone.utc).isoformat(),
+            "partition_by": partition_by,
         }
-        schema = "name string, description string, embedding_model string, creation_date string"
+        schema = "name string, description string, embedding_model string, creation_date string, partition_by string"
         self.spark.createDataFrame([attributes], schema).coalesce(1).write.mode("overwrite").json(f"{self._folder(name)}/about")
 
     def delete(self, name: str) -> None:
@@ -97,17 +103,18 @@ class Collections:
     def _batches(self, name: str) -> list[str]:
         return self._children(f"{self._folder(name)}/data")
 
-    def write_batch(self, name: str, batch: int, rows: DataFrame, partition_by: str | None = None) -> None:
+    def write_batch(self, name: str, batch: int, rows: DataFrame) -> None:
         """Write one insert.  Writing the same batch again replaces it."""
         check_metadata(rows)
+        partition_by = self.attributes(name).get("partition_by")
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch:06d}")
 
-    def add(self, name: str, rows: DataFrame, *order: str, partition_by: str | None = None) -> None:
+    def add(self, name: str, rows: DataFrame, *order: str) -> None:
         """Insert rows without ids; ids continue from the present count, in ``order``."""
         batches = self._batches(name)
         start = self.count(name)
-        self.write_batch(name, len(batches), number_rows(rows, *order, start=start), partition_by)
+        self.write_batch(name, len(batches), number_rows(rows, *order, start=start))
 
     def open(self, name: str) -> DataFrame:
         """All rows, or an error if nothing was ever stored under the name."""
