@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparquill.operators.encoding import encode_chunks, hashing_encoder
 from sparquill.plans import embedding, ingest, store
+from sparquill.session import checkpointed
 from sparquill.sources import chunk_files, documents
 from sparquill.sources.collections import Collections, folder_size
 from sparquill.streaming.ingest import stream_ingest
@@ -152,7 +153,7 @@ def test_collections(spark, chunks, tmp_path):
     assert db.count("papers") == 18
     assert {r["id"] for r in db.open("papers").select("id").collect()} == {f"chunk_{i}" for i in range(18)}
     # the same insert again replaces itself
-    db.write_batch("papers", 1, db.open("papers").where("cast(substring(id, 7) as int) >= 9").cache())
+    db.write_batch("papers", 1, checkpointed(db.open("papers").where("cast(substring(id, 7) as int) >= 9")))
     assert db.count("papers") == 18
 
     got = db.get("papers", ids=["chunk_0", "chunk_17", "none"], include=["document", "year_range"])
