@@ -108,8 +108,11 @@ def table_blocks(lines: Column) -> Column:
 
         return let(F.transform(rows, lambda line: is_table_row(line)), with_flags)
 
-    empty = F.array().cast("array<struct<type:string,content:string>>")
-    return F.when(F.size(lines) > 0, let(lines, group)).otherwise(empty)
+    kind = "array<struct<type:string,content:string>>"
+    # most pages hold no table at all: one look at the whole page settles those
+    suspicious = F.exists(lines, lambda line: F.contains(line, F.lit("|")) | line.rlike(rf"(?U){WS}{{3}}"))
+    text_only = F.transform(lines, lambda line: F.struct(F.lit("text").alias("type"), line.alias("content"))).cast(kind)
+    return F.when(suspicious, let(lines, group).cast(kind)).otherwise(text_only)
 
 
 def lines(text: Column) -> Column:
@@ -238,21 +241,26 @@ def has_confidence_label(answer: Column) -> Column:
     return F.lower(answer).rlike(vocab.LABEL_PATTERN)
 
 
-def rubric_coverage(answer: Column, rubric: Column) -> Column:
-    """Share of rubric items with any keyword inside the answer; 0.0 for no items."""
+def rubric_word_lists(rubric: Column) -> Column:
+    """The keywords of each rubric item; worth computing once where a rubric is used often."""
+    return F.transform(rubric, lambda item: rubric_keywords(item))
+
+
+def covered_share(answer: Column, word_lists: Column) -> Column:
+    """Share of keyword lists with any word inside the answer; 0.0 for no lists."""
 
     def hits(lowered: Column) -> Column:
-        return F.size(
-            F.filter(
-                rubric,
-                lambda item: F.exists(rubric_keywords(item), lambda k: F.contains(lowered, k)),
-            )
-        )
+        return F.size(F.filter(word_lists, lambda words: F.exists(words, lambda w: F.contains(lowered, w))))
 
-    share = let(F.lower(answer), hits) / F.nullif(F.size(rubric), F.lit(0))
+    share = let(F.lower(answer), hits) / F.nullif(F.size(word_lists), F.lit(0))
     return F.coalesce(round_half_even(share, 2), F.lit(0.0))
 
 
+def rubric_coverage(answer: Column, rubric: Column) -> Column:
+    """Share of rubric items with any keyword inside the answer."""
+    return covered_share(answer, rubric_word_lists(rubric))
+
+
 # -- rounding -----------------------------------------------------------------
 
 

@@ -9,9 +9,10 @@ from sparquill import vocab
 from sparquill.functions import text as T
 
 
-def score_answer(answer: Column, rubric: Column, confidence: Column) -> Column:
+def score_answer(answer: Column, word_lists: Column, confidence: Column) -> Column:
+    """Scores of one answer; ``word_lists`` are the rubric's keywords, item by item."""
     return F.struct(
-        T.rubric_coverage(answer, rubric).alias("rubric_coverage"),
+        T.covered_share(answer, word_lists).alias("rubric_coverage"),
         T.has_doi_citation(answer).alias("has_doi_citation"),
         T.has_confidence_label(answer).alias("has_confidence_label"),
         confidence.alias("retrieval_confidence"),

@@ -36,7 +36,7 @@ def candidates(
     **knn_options: Any,
 ) -> DataFrame:
     """Expanded, retrieved and deduplicated chunks per question."""
-    expanded = questions.select("query_id", R.expand_query(F.col("question")).alias("text"))
+    expanded = R.expand_queries(questions).select("query_id", F.col("expanded").alias("text"))
     queries = encode_chunks(expanded, encoder=encoder)
     nearest = knn(queries, collection, n_candidates, where, columns=METADATA, **knn_options)
     return R.deduplicate(R.normalise_candidates(nearest))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill import vocab
+from sparquill.functions import text as T
 from sparquill.operators import evaluation as V
 from sparquill.operators import prompting as P
 from sparquill.plans import answering as A
@@ -24,7 +25,7 @@ def score(items: DataFrame, answers: DataFrame) -> DataFrame:
     joined = items.join(answers.drop("question"), "query_id", "left").withColumn(
         "error", F.when(F.col("answer").isNull(), F.coalesce("error", F.lit("no answer")))
     )
-    scores = V.score_answer(F.col("answer"), F.col("rubric"), F.col("confidence"))
+    scores = V.score_answer(F.col("answer"), T.rubric_word_lists(F.col("rubric")), F.col("confidence"))
     return joined.withColumn("scores", scores).select("*", "scores.*").drop("scores")
 
 

@@ -13,7 +13,7 @@ from sparquill.operators.knn import knn
 from sparquill.plans import answering as A
 from sparquill.queries.chunks import CHUNKS_SQL, paper_chunks
 from sparquill.queries.inputs import (
-    ASKED_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, asked, chain_sql, knn_sql, probes, shelf, table, vectors, with_ctes,
+    ASKED_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, asked, chain_sql, knn_sql, probes, shelf, spread, table, vectors, with_ctes,
 )
 from sparquill.queries.registry import literal, query
 
@@ -137,7 +137,7 @@ def retrieved(spark, sf_dir, where=None):
 
 @query("query_expansion", with_ctes(ASKED_SQL, EXPANDED_SQL, select="SELECT query_id, expanded FROM expanded"))
 def query_expansion(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", R.expand_query(F.col("question")).alias("expanded"))
+    return R.expand_queries(asked(spark, sf_dir)).select("query_id", "expanded")
 
 
 @query(
@@ -149,10 +149,12 @@ def query_expansion(spark, sf_dir):
     ),
 )
 def query_expansion_documents(spark, sf_dir):
-    question = F.concat("text", F.lit(" trust in tepary bean yield"))
-    expanded = R.expand_query(question)
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("query_id"), F.length(expanded).alias("n_chars"), F.right(expanded, F.lit(120)).alias("ending")
+    asked_of = spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" trust in tepary bean yield")).alias("question")
+    )
+    expanded = F.col("expanded")
+    return R.expand_queries(asked_of).select(
+        "query_id", F.length(expanded).alias("n_chars"), F.right(expanded, F.lit(120)).alias("ending")
     )
 
 

@@ -8,7 +8,8 @@ from sparquill import vocab
 from sparquill.functions import text as T
 from sparquill.operators import encoding as E
 from sparquill.operators import evaluation as V
-from sparquill.queries.inputs import _pick, _pick_sql, table, with_ctes
+from sparquill.operators.joins import join_small
+from sparquill.queries.inputs import _pick, _pick_sql, spread, table, with_ctes
 from sparquill.queries.registry import literal, query
 
 
@@ -121,7 +122,7 @@ scored AS (
 
 def answered(spark, sf_dir):
     doc_id = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.concat("text", _pick(doc_id % len(_ENDINGS), _ENDINGS)).alias("answer"),
         _pick(doc_id % len(_CATEGORIES), _CATEGORIES).alias("category"),
@@ -132,10 +133,12 @@ def answered(spark, sf_dir):
 
 def scored(spark, sf_dir):
     """Every document scored against the rubric of one benchmark item."""
-    rubrics = table(spark, sf_dir, "benchmark").select("item_id", T.sentences(F.col("text")).alias("rubric"))
-    n = rubrics.count()
-    rows = answered(spark, sf_dir).withColumn("item_id", F.col("doc_id") % n).join(rubrics, "item_id")
-    score = V.score_answer(F.col("answer"), F.col("rubric"), F.col("confidence"))
+    rubrics = table(spark, sf_dir, "benchmark").select(
+        "item_id", T.rubric_word_lists(T.sentences(F.col("text"))).alias("word_lists")
+    )
+    rows = answered(spark, sf_dir).withColumn("item_id", F.col("doc_id") % rubrics.count())
+    rows = join_small(rows, rubrics, "item_id")
+    score = V.score_answer(F.col("answer"), F.col("word_lists"), F.col("confidence"))
     return rows.withColumn("s", score).select(
         "doc_id", "category", "confidence", "error", "s.rubric_coverage", "s.has_doi_citation", "s.has_confidence_label"
     )

@@ -10,6 +10,7 @@ from sparquill.operators import encoding as E
 from sparquill.operators import metadata as M
 from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
+from sparquill.operators.joins import join_small
 from sparquill.operators.knn import inner_product_top_k, knn, similar_items
 from sparquill.queries.inputs import (
     ASKED_SQL, DIMENSION, PATHS_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, YEAR_SQL, asked, encode_sql, knn_sql,
@@ -84,7 +85,7 @@ def metric_distances(spark, sf_dir):
 def _with_exemplar(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     exemplar = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
-    return rows.join(exemplar, "label")
+    return join_small(rows, exemplar, "label")
 
 
 @query(

@@ -7,7 +7,7 @@ from sparquill.operators import retrieval as R
 from sparquill.plans import answering as A
 
 
-def test_expand_query(values):
+def test_expand_queries(spark):
     cases = {
         "Do we trust it": "Do we trust it bean rust Uromyces appendiculatus",
         "indeterminate": "indeterminate climbing bean vining bush bean upright",
@@ -21,7 +21,10 @@ def test_expand_query(values):
     }
     cases["Tepary Bean"] = "Tepary Bean common bean dry bean Phaseolus acutifolius"
     cases["tepary bean dry"] = "tepary bean dry common bean dry bean Phaseolus acutifolius"
-    assert values(R.expand_query, *cases) == list(cases.values())
+    got = R.expand_queries(spark.createDataFrame([(q,) for q in cases], "question string")).collect()
+    assert {r["question"]: r["expanded"] for r in got} == cases
+    own = R.expand_queries(spark.createDataFrame([("it's 5\\6",)], "question string"), synonyms=[("it's", ["a'b", "c\\d", "e"])])
+    assert own.first()["expanded"] == "it's 5\\6 a'b c\\d"
 
 
 def candidate_rows(spark, rows):
