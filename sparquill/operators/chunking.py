@@ -102,18 +102,17 @@ def fold_sections(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: i
             .when(closes, F.concat(acc["done"], F.array(closed)))
             .otherwise(acc["done"])
         )
-        return T.let(
-            running,
-            lambda text: F.struct(
-                text.alias("text"),
-                F.when(is_table | is_header, F.lit(0))
-                .when(full, T.count_tokens(text))
-                .otherwise(acc["tokens"] + step["tokens"])
-                .alias("tokens"),
-                F.coalesce(step["section"], acc["section"]).alias("section"),
-                step["page"].alias("page"),
-                done.alias("done"),
-            ),
+        tokens = (
+            F.when(is_table | is_header, F.lit(0))
+            .when(full, T.count_tokens(carried))
+            .otherwise(acc["tokens"] + step["tokens"])
+        )
+        return F.struct(
+            running.alias("text"),
+            tokens.alias("tokens"),
+            F.coalesce(step["section"], acc["section"]).alias("section"),
+            step["page"].alias("page"),
+            done.alias("done"),
         )
 
     def finish(acc: Column) -> Column:
@@ -141,15 +140,12 @@ def fold_plain(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int
             F.concat(acc["text"], F.lit(" "), step["text"])
         )
         closed = _chunk(T.strip(acc["text"]), acc["page"], acc["tokens"], F.lit(None))
-        return T.let(
-            F.when(full, carried).otherwise(joined),
-            lambda text: F.struct(
-                text.alias("text"),
-                F.when(full, T.count_tokens(text)).otherwise(acc["tokens"] + step["tokens"]).alias("tokens"),
-                acc["section"].alias("section"),
-                step["page"].alias("page"),
-                F.when(full, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
-            ),
+        return F.struct(
+            F.when(full, carried).otherwise(joined).alias("text"),
+            F.when(full, T.count_tokens(carried)).otherwise(acc["tokens"] + step["tokens"]).alias("tokens"),
+            acc["section"].alias("section"),
+            step["page"].alias("page"),
+            F.when(full, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
         )
 
     def finish(acc: Column) -> Column:
