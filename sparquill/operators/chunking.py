@@ -7,6 +7,8 @@ sentences of one document, through ``F.aggregate``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from sparquill.functions import text as T
 from sparquill.schemas import CHUNK_COLUMNS
 
 _CHUNK = "struct<text:string,page_number:int,token_count:int,section:string>"
-_TABLE, _SENTENCE = 1, 2
+TABLE, SENTENCE = 1, 2
 
 
 def _step(kind: int, content: Column, page: Column, section: Column) -> Column:
@@ -32,13 +34,13 @@ def _sentence_steps(content: Column, page: Column, headers: bool) -> Column:
     no_section = F.lit(None).cast("string")
     return F.transform(
         T.sentences(content),
-        lambda s: _step(_SENTENCE, s, page, T.detect_section(s) if headers else no_section),
+        lambda s: _step(SENTENCE, s, page, T.detect_section(s) if headers else no_section),
     )
 
 
 def _block_steps(block: Column, page: Column) -> Column:
     def by_type(content: Column) -> Column:
-        table = F.array(_step(_TABLE, content, page, F.lit(None).cast("string")))
+        table = F.array(_step(TABLE, content, page, F.lit(None).cast("string")))
         return F.when(content == "", F.slice(table, 1, 0)).when(
             block["type"] == "table", table
         ).otherwise(_sentence_steps(content, page, headers=True))
@@ -46,7 +48,7 @@ def _block_steps(block: Column, page: Column) -> Column:
     return T.let(T.strip(block["content"]), by_type)
 
 
-def _steps(marked: Column) -> Column:
+def section_steps(marked: Column) -> Column:
     """Everything the fold has to look at, in reading order."""
     return F.flatten(
         F.transform(
@@ -58,6 +60,13 @@ def _steps(marked: Column) -> Column:
     )
 
 
+def plain_steps(marked: Column) -> Column:
+    """Sentences only, split across line ends."""
+    return F.flatten(
+        F.transform(T.pages(marked), lambda p: _sentence_steps(p["body"], p["number"], headers=False))
+    )
+
+
 def _chunk(content: Column, page: Column, tokens: Column, section: Column) -> Column:
     return F.struct(
         content.alias("text"), page.alias("page_number"), tokens.alias("token_count"), section.alias("section")
@@ -84,7 +93,7 @@ def fold_sections(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: i
     """
 
     def merge(acc: Column, step: Column) -> Column:
-        is_table = step["kind"] == _TABLE
+        is_table = step["kind"] == TABLE
         is_header = step["section"].isNotNull()
         full = (acc["text"] != "") & (acc["tokens"] + step["tokens"] > chunk_size)
         closes = (acc["text"] != "") & (is_table | is_header | full)
@@ -119,7 +128,7 @@ def fold_sections(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: i
         last = _chunk(acc["text"], acc["page"], acc["tokens"], acc["section"])
         return F.when(acc["text"] != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
 
-    return F.aggregate(_steps(marked), _start(), merge, finish)
+    return F.aggregate(section_steps(marked), _start(), merge, finish)
 
 
 def fold_plain(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int = vocab.V1_CHUNK_OVERLAP) -> Column:
@@ -128,10 +137,6 @@ def fold_plain(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int
     A chunk is filed under the page of its last sentence, and the carried tail keeps
     its leading space until the chunk is written.
     """
-    steps = F.flatten(
-        F.transform(T.pages(marked), lambda p: _sentence_steps(p["body"], p["number"], headers=False))
-    )
-
     def merge(acc: Column, step: Column) -> Column:
         full = (acc["text"] != "") & (acc["tokens"] + step["tokens"] > chunk_size)
         tail = T.overlap_tail(acc["text"], overlap) if overlap > 0 else F.lit("")
@@ -152,7 +157,7 @@ def fold_plain(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int
         last = _chunk(T.strip(acc["text"]), acc["page"], acc["tokens"], F.lit(None))
         return F.when(T.strip(acc["text"]) != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
 
-    return F.aggregate(steps, _start(), merge, finish)
+    return F.aggregate(plain_steps(marked), _start(), merge, finish)
 
 
 def chunk_documents(
@@ -161,13 +166,20 @@ def chunk_documents(
     overlap: int = vocab.CHUNK_OVERLAP,
     sections: bool = True,
     keep: tuple[str, ...] = (),
+    tokenizer: Callable | None = None,
 ) -> DataFrame:
     """``(text, source_file, year_range)`` rows to chunk rows, ids dense per document.
 
-    ``text`` is marked text.  Columns named in ``keep`` are carried along.
+    ``text`` is marked text.  Columns named in ``keep`` are carried along.  Tokens are
+    four characters unless a ``tokenizer`` (see ``operators.tokenized``) is given.
     """
+    documents = documents.where(F.length(T.strip(F.col("text"))) >= vocab.MIN_DOCUMENT_CHARS)
+    if tokenizer is not None:
+        from sparquill.operators.tokenized import chunk_with_tokenizer
+
+        return chunk_with_tokenizer(documents, tokenizer, chunk_size, overlap, sections, keep)
     fold = fold_sections if sections else fold_plain
-    exploded = documents.where(F.length(T.strip(F.col("text"))) >= vocab.MIN_DOCUMENT_CHARS).select(
+    exploded = documents.select(
         *keep,
         "source_file",
         "year_range",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,7 @@ def ingest(
     overlap: int = vocab.CHUNK_OVERLAP,
     sections: bool = True,
     strict_years: bool = False,
+    tokenizer: Callable | None = None,
 ) -> DataFrame:
     """Extracted files ``(path, pages, …)`` to chunk rows."""
     documents = extracted.select(
@@ -58,4 +61,4 @@ def ingest(
         T.file_name(F.col("path")).alias("source_file"),
         T.extract_year_range(F.col("path"), strict_years).alias("year_range"),
     )
-    return chunk_documents(documents, chunk_size, overlap, sections)
+    return chunk_documents(documents, chunk_size, overlap, sections, tokenizer=tokenizer)

@@ -153,3 +153,44 @@ def test_fold_needs_no_shuffle(spark):
     df = spark.createDataFrame([("[PAGE 1]\nx", "f", "y")], "text string, source_file string, year_range string")
     plan = chunk_documents(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def char_tokenizer():
+    """Four characters per token, so that results must equal the built-in count."""
+    from sparquill.operators.tokenized import Tokenizer
+
+    class Quarters(Tokenizer):
+        def count(self, text):
+            return len(text) // 4
+
+        def tail(self, text, n):
+            return text[-4 * n:] if n else ""
+
+    return Quarters(None, None)
+
+
+def word_tokenizer():
+    from sparquill.operators.tokenized import Tokenizer
+
+    words = {}
+    return Tokenizer(
+        lambda text: [words.setdefault(w, len(words)) for w in text.split(" ")],
+        lambda ids: " ".join(list(words)[i] for i in ids),
+    )
+
+
+@pytest.mark.parametrize("sections", [True, False])
+@pytest.mark.parametrize("size,overlap", [(30, 8), (20, 0)])
+def test_tokenizer_plan_agrees(spark, texts, size, overlap, sections):
+    rows = [(i, t, f"f{i}", "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "i int, text string, source_file string, year_range string").repartition(4)
+    built_in = chunk_documents(docs, size, overlap, sections, keep=("i",))
+    tokenized = chunk_documents(docs, size, overlap, sections, keep=("i",), tokenizer=char_tokenizer)
+    assert tokenized.columns == built_in.columns
+    assert sorted(map(str, tokenized.collect())) == sorted(map(str, built_in.collect()))
+
+
+def test_words_as_tokens(spark):
+    docs = spark.createDataFrame([("[PAGE 1]\na b c. d e f. g h. Methods", "f", "y")], "text string, source_file string, year_range string")
+    got = chunk_documents(docs, 6, 2, tokenizer=word_tokenizer).collect()
+    assert [(r["text"], r["token_count"], r["section"]) for r in got] == [("a b c. d e f.", 6, ""), ("e f. g h.", 4, "")]
