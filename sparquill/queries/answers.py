@@ -16,6 +16,7 @@ from sparquill.queries.inputs import (
     ASKED_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, asked, chain_sql, knn_sql, probes, shelf, spread, table, vectors, with_ctes,
 )
 from sparquill.queries.registry import literal, query
+from sparquill.session import written
 
 # -- SQL of the stages ------------------------------------------------------------
 
@@ -282,7 +283,9 @@ def retrieve_period(spark, sf_dir):
 def retrieve_chunks(spark, sf_dir):
     """The whole way: papers to chunks, chunks to vectors, questions to evidence."""
     chunks = paper_chunks(spark, sf_dir).withColumnRenamed("text", "document")
-    collection = encode_chunks(chunks.withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_id")), text="document")
+    chunks = chunks.withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_id"))
+    # read twice, for the ranking and for the ranked texts: fold and encode once
+    collection = written(encode_chunks(chunks, text="document"))
     found = A.retrieve(asked(spark, sf_dir), collection).select("query_id", "confidence", F.inline("sources"))
     return found.select("query_id", "confidence", "rank", "source", "year_range", "page", "section", "distance", "text")
 
