@@ -17,7 +17,8 @@ def dense_index(df: DataFrame, *order: str | Column, name: str = "index", start:
     A range shuffle spreads the rows over all tasks by the whole key, so a single
     frequent value of its first part does not pile up.  Each row then knows its place
     in its partition, and only the partition sizes are added up.  The sorted rows are
-    checkpointed because a range shuffle samples its bounds anew on every run.
+    checkpointed because a range shuffle samples its bounds anew on every run.  Sampling
+    reads ``df`` a second time: hand over stored rows where they are costly to compute.
     """
     row_id = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row_id)

@@ -7,7 +7,8 @@ Two plans give the same answer:
   best ``k`` per query, and those few rows are merged.
 * *blocks*: more queries than that.  Both sides are hashed into blocks of bounded size,
   every query block meets every collection block in its own task, and each task again
-  keeps only its best ``k`` per query.
+  keeps only its best ``k`` per query.  A side is copied once per block of the other
+  one, so blocks are as large as a task's memory allows.
 
 Distances are rounded to the reported four decimals first and ties go to the lower id,
 so that equal copies rank the same in every plan.
@@ -30,7 +31,7 @@ from sparquill.operators.filters import where_to_column
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_RESULTS = 1 << 19
-BLOCK_QUERIES = 4096
+BLOCK_QUERIES = 65536
 BLOCK_VECTORS = 65536
 TILE_CELLS = 8 << 20  # distances held in memory at once inside a task
 DECIMALS = 4

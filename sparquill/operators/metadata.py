@@ -15,11 +15,9 @@ def _known(column: str):
 def year_distribution(rows: DataFrame) -> DataFrame:
     """``(year_range, n_chunks, percent)``; a missing year counts as ``unknown``."""
     counts = rows.groupBy(_known("year_range").alias("year_range")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    total = counts.agg(F.sum("n_chunks").alias("total"))
-    # the total is a single row
-    return counts.join(F.broadcast(total)).select(
-        "year_range", "n_chunks", round_half_even(F.col("n_chunks") / F.col("total") * 100, 1).alias("percent")
-    )
+    total = counts.agg(F.sum("n_chunks")).scalar()
+    shares = counts.withColumn("percent", F.col("n_chunks") / total * 100)
+    return shares.withColumn("percent", round_half_even(F.col("percent"), 1))
 
 
 def unique_sources(rows: DataFrame, approximate: bool = False) -> DataFrame:
@@ -42,9 +40,9 @@ def chunks_per_source(rows: DataFrame) -> DataFrame:
 
 def count_check(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """``(n_chunks, n_expected, matches)``: a stored collection against what was put in."""
-    n = rows.agg(F.count(F.lit(1)).alias("n_chunks"))
-    m = expected.agg(F.count(F.lit(1)).alias("n_expected"))
-    return n.join(F.broadcast(m)).withColumn("matches", F.col("n_chunks") == F.col("n_expected"))
+    n_expected = expected.agg(F.count(F.lit(1))).scalar()
+    counted = rows.agg(F.count(F.lit(1)).alias("n_chunks")).withColumn("n_expected", n_expected)
+    return counted.withColumn("matches", F.col("n_chunks") == F.col("n_expected"))
 
 
 def align(vectors: DataFrame, metadata: DataFrame, key: str) -> DataFrame:

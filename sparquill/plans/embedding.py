@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.operators import encoding as E
 from sparquill.operators.indexing import dense_index
+from sparquill.session import written
 
 
 def embed(
@@ -23,15 +24,14 @@ def embed(
     count differ from the metadata count, which fails the check.
     """
     spark = chunks.sparkSession
-    indexed = dense_index(
-        chunks.where(F.col("text").isNotNull()), "source_file", "chunk_id", "year_range", name="embedding_index"
-    )
+    encoded = written(E.encode_chunks(chunks, encoder=encoder, batch_size=batch_size))
+    indexed = dense_index(encoded, "source_file", "chunk_id", "year_range", name="embedding_index")
     unchecked, final = f"{path.rstrip('/')}/unchecked", f"{path.rstrip('/')}/vectors"
-    E.encode_chunks(indexed, encoder=encoder, batch_size=batch_size).write.mode("overwrite").parquet(unchecked)
+    indexed.write.mode("overwrite").parquet(unchecked)
 
     stored = spark.read.parquet(unchecked)
-    encoded = stored.where(F.col("embedding").isNotNull())
-    report = E.validation_report(encoded, stored.count(), dimension).first()
+    vectors = stored.where(F.col("embedding").isNotNull())
+    report = E.validation_report(vectors, stored.count(), dimension).first()
     if report["passed"]:
         jvm = spark._jvm.org.apache.hadoop.fs
         source, target = jvm.Path(unchecked), jvm.Path(final)

@@ -443,7 +443,7 @@ def _files(spark, sf_dir):
     """Documents as files: every third one is a PDF by its first bytes."""
     doc_id = F.col("doc_id")
     head = F.when(doc_id % 3 == 0, "%PDF-1.4 ").otherwise("")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         paper_path(doc_id).alias("path"),
         F.col("n_chars").alias("length"),
@@ -543,7 +543,7 @@ def _shouting_ocr():
 )
 def extract_pages(spark, sf_dir):
     """Text extraction with a failing page, a failing file and pages that need OCR."""
-    found = _files(spark, sf_dir).select("doc_id", D.extract_pages(F.col("content"), _line_reader, _shouting_ocr).alias("x"))
+    found = spread(_files(spark, sf_dir)).select("doc_id", D.extract_pages(F.col("content"), _line_reader, _shouting_ocr).alias("x"))
     return found.select(
         "doc_id", "x.n_pages", "x.ocr_used", "x.error", F.coalesce(T.mark_pages(F.col("x.pages")), F.lit("")).alias("marked")
     )

@@ -140,7 +140,7 @@ DIMENSION = 384
 
 def shelf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("doc_id")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         doc_id.alias("id"),
         F.col("text").alias("document"),
         F.concat(F.lit("10.1007_"), F.col("source"), F.lit(".pdf")).alias("source_file"),
@@ -153,7 +153,7 @@ def shelf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, document, source_file, year_range, page_number, chunk_id, section, embedding``."""
-    return encode_chunks(shelf_rows(spark, sf_dir), text="document")
+    return encode_chunks(spread(shelf_rows(spark, sf_dir)), text="document")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ scored AS (
 
 def answered(spark, sf_dir):
     doc_id = F.col("doc_id")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat("text", _pick(doc_id % len(_ENDINGS), _ENDINGS)).alias("answer"),
         _pick(doc_id % len(_CATEGORIES), _CATEGORIES).alias("category"),
@@ -136,7 +136,7 @@ def scored(spark, sf_dir):
     rubrics = table(spark, sf_dir, "benchmark").select(
         "item_id", T.rubric_word_lists(T.sentences(F.col("text"))).alias("word_lists")
     )
-    rows = answered(spark, sf_dir).withColumn("item_id", F.col("doc_id") % rubrics.count())
+    rows = spread(answered(spark, sf_dir)).withColumn("item_id", F.col("doc_id") % rubrics.count())
     rows = join_small(rows, rubrics, "item_id")
     score = V.score_answer(F.col("answer"), F.col("word_lists"), F.col("confidence"))
     return rows.withColumn("s", score).select(

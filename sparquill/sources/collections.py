@@ -18,6 +18,7 @@ from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.knn import knn
 from sparquill.schemas import COLLECTION_CORE, SCALAR_TYPES
+from sparquill.session import written
 
 ID_PREFIX = "chunk_"
 
@@ -111,10 +112,12 @@ class Collections:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch:06d}")
 
     def add(self, name: str, rows: DataFrame, *order: str) -> None:
-        """Insert rows without ids; ids continue from the present count, in ``order``."""
-        batches = self._batches(name)
-        start = self.count(name)
-        self.write_batch(name, len(batches), number_rows(rows, *order, start=start))
+        """Insert rows without ids; ids continue from the present count, in ``order``.
+
+        The rows are stored before they are numbered, so that an encoder runs once.
+        """
+        batch, start = len(self._batches(name)), self.count(name)
+        self.write_batch(name, batch, number_rows(written(rows), *order, start=start))
 
     def open(self, name: str) -> DataFrame:
         """All rows, or an error if nothing was ever stored under the name."""
@@ -164,7 +167,9 @@ class Collections:
             F.max("year_range").alias("last_year_range"),
         )
         size = folder_size(self.spark, self._folder(name))
-        return totals.join(F.broadcast(size)).withColumn("collection_name", F.lit(name))
+        return totals.withColumns(
+            {"collection_name": F.lit(name), "size_mb": size.select("size_mb").scalar()}
+        )
 
     def save_statistics(self, name: str) -> None:
         stamped = self.statistics(name).withColumn("creation_date", F.current_timestamp().cast("string"))

@@ -17,6 +17,7 @@ from sparquill import vocab
 from sparquill.functions import text as T
 from sparquill.operators import encoding as E
 from sparquill.plans.ingest import ingest
+from sparquill.session import written
 from sparquill.sources.collections import Collections, number_rows
 from sparquill.sources.documents import PageReader, extract, pypdf_reader
 
@@ -52,7 +53,7 @@ def stream_ingest(
         rows = rows.withColumnRenamed("text", "document").drop("encode_error")
         # ids continue after the earlier batches: a replay gives the same ids again
         before = store.count(name, before_batch=batch_id)
-        numbered = number_rows(rows, "source_file", "chunk_id", "year_range", start=before)
+        numbered = number_rows(written(rows), "source_file", "chunk_id", "year_range", start=before)
         store.write_batch(name, batch_id, numbered)
 
     return (

@@ -6,6 +6,7 @@ from sparquill.operators import metadata as M
 from sparquill.operators.encoding import cluster_profile, encode_chunks, validation_report
 from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
+from sparquill.operators.joins import join_small
 from sparquill.operators.knn import inner_product_top_k, knn, similar_items
 
 
@@ -172,3 +173,16 @@ def test_metadata(spark):
     left = spark.createDataFrame([(1,), (2,)], "id int")
     assert tuple(M.alignment_report(left, left.where("id = 1"), "id").first()) == (2, 1, 1, False)
     assert M.align(left, left.where("id = 1").withColumn("m", F.lit(0)), "id").count() == 1
+
+
+@pytest.mark.parametrize("max_rows,strategy", [(10, "BroadcastHashJoin"), (2, "SortMergeJoin")])
+def test_small_join_looks_at_the_size(spark, max_rows, strategy):
+    side = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k int, v string")
+    rows = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7).cast("int").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = join_small(rows, side, "k", max_rows)
+        assert strategy in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == rows.where("k < 5").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
