@@ -11,11 +11,13 @@ from sparquill.operators import retrieval as R
 from sparquill.operators.encoding import encode_chunks
 from sparquill.operators.knn import knn
 from sparquill.plans import answering as A
+from sparquill.plans import evaluating as E
 from sparquill.queries.chunks import CHUNKS_SQL, paper_chunks
 from sparquill.queries.inputs import (
     ASKED_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, asked, chain_sql, knn_sql, probes, shelf, spread, table, vectors, with_ctes,
 )
 from sparquill.queries.registry import literal, query
+from sparquill.queries.texts import KEYWORDS_SQL
 from sparquill.session import written
 
 # -- SQL of the stages ------------------------------------------------------------
@@ -440,3 +442,92 @@ def batch_summary(spark, sf_dir):
 )
 def answer_labels(spark, sf_dir):
     return V.confidence_distribution(A.answer(retrieved(spark, sf_dir)))
+
+
+# -- the fixed question sets, over the whole collection ---------------------------------
+
+_DEFAULT_ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {literal(q)})" for i, q in enumerate(vocab.DEFAULT_QUESTIONS)
+) + ") AS t(query_id, question))"
+
+_ITEMS_SQL = "items AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({literal(i)}, {literal(c)}, {literal(q)}, [{', '.join(literal(r) for r in rubric)}])"
+    for i, c, q, rubric in vocab.BENCHMARK
+) + ") AS t(query_id, category, question, rubric)),\nasked AS (SELECT query_id, question FROM items)"
+
+_PLAIN_ANSWERS_SQL = ANSWERS_SQL.replace(f"SELECT *, {_ROUTE_SQL} AS route", "SELECT *, 'answer' AS route")
+
+_ITEM_SCORES_SQL = f"""
+scores AS (
+  SELECT query_id, category, confidence, answer,
+         round_even(len(list_filter(rubric, lambda r: len(list_filter({KEYWORDS_SQL.format("r")}, lambda k: contains(lower(answer), k))) > 0))
+                    / len(rubric)::DOUBLE, 2) AS rubric_coverage,
+         regexp_matches(lower(answer), 'doi:\\s*10\\.\\d{{4,}}') AS has_doi_citation,
+         regexp_matches(lower(answer), '\\[(supported|partially_supported|inferred|unsupported)\\]') AS has_confidence_label
+  FROM items JOIN answers USING (query_id))
+"""
+
+
+def _chain_from(asked_sql: str, *more: str, select: str) -> str:
+    return with_ctes(
+        SHELF_SQL, asked_sql, EXPANDED_SQL, chain_sql(n=vocab.N_CANDIDATES), CANDIDATES_SQL, RANKED_SQL, JUDGED_SQL,
+        REFERENCES_SQL, _PLAIN_ANSWERS_SQL, *more, select=select,
+    )
+
+
+def benchmark_scores_rows(spark, sf_dir):
+    return E.evaluate(spark, shelf(spark, sf_dir))
+
+
+@query(
+    "default_questions",
+    _chain_from(_DEFAULT_ASKED_SQL, select="SELECT query_id, question, confidence, answer, refs FROM answers"),
+)
+def default_questions(spark, sf_dir):
+    found = A.retrieve(A.default_questions(spark), shelf(spark, sf_dir))
+    return A.answer(found).select("query_id", "question", "confidence", "answer", F.col("references").alias("refs"))
+
+
+@query(
+    "benchmark_scores",
+    _chain_from(
+        _ITEMS_SQL,
+        _ITEM_SCORES_SQL,
+        select="SELECT query_id, category, confidence, answer, rubric_coverage, has_doi_citation, has_confidence_label FROM scores",
+    ),
+)
+def benchmark_scores(spark, sf_dir):
+    return benchmark_scores_rows(spark, sf_dir).select(
+        "query_id", "category", "confidence", "answer", "rubric_coverage", "has_doi_citation", "has_confidence_label"
+    )
+
+
+@query(
+    "benchmark_by_category",
+    _chain_from(
+        _ITEMS_SQL,
+        _ITEM_SCORES_SQL,
+        select="""
+        SELECT category, round_even(sum(round(rubric_coverage * 100)::BIGINT) / count(*)::DOUBLE / 100, 3) AS avg_rubric_coverage
+        FROM scores GROUP BY category""",
+    ),
+)
+def benchmark_by_category(spark, sf_dir):
+    return V.by_category(benchmark_scores_rows(spark, sf_dir))
+
+
+@query(
+    "benchmark_overall",
+    _chain_from(
+        _ITEMS_SQL,
+        _ITEM_SCORES_SQL,
+        select="""
+        SELECT (SELECT count(*) FROM items) AS total_questions, count(*) AS successful,
+               round_even(sum(round(rubric_coverage * 100)::BIGINT) / count(*)::DOUBLE / 100, 3) AS avg_rubric_coverage,
+               round_even(count_if(has_doi_citation) / count(*)::DOUBLE, 3) AS doi_citation_rate,
+               round_even(count_if(has_confidence_label) / count(*)::DOUBLE, 3) AS confidence_label_rate
+        FROM scores""",
+    ),
+)
+def benchmark_overall(spark, sf_dir):
+    return V.overall(benchmark_scores_rows(spark, sf_dir))

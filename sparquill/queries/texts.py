@@ -74,7 +74,7 @@ def error_classify(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.model_error_message(err).alias("message"))
 
 
-_KEYWORDS_SQL = (
+KEYWORDS_SQL = (
     r"list_filter(list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{3,}}')), lambda w: w NOT IN ("
     + ", ".join(literal(w) for w in vocab.RUBRIC_STOP_WORDS)
     + "))"
@@ -83,7 +83,7 @@ _KEYWORDS_SQL = (
 
 @query(
     "rubric_keywords",
-    f"SELECT item_id, unnest({_KEYWORDS_SQL.format('text')}) AS keyword FROM benchmark",
+    f"SELECT item_id, unnest({KEYWORDS_SQL.format('text')}) AS keyword FROM benchmark",
 )
 def rubric_keywords(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.rubric_keywords(F.col("text"))).alias("keyword"))
@@ -109,7 +109,7 @@ rubrics AS (
 """
 _SCORED_SQL = f"""
 item_words AS (
-  SELECT item_id, len(rubric) AS n_items, list_transform(rubric, lambda r: {_KEYWORDS_SQL.format("r")}) AS words FROM rubrics),
+  SELECT item_id, len(rubric) AS n_items, list_transform(rubric, lambda r: {KEYWORDS_SQL.format("r")}) AS words FROM rubrics),
 scored AS (
   SELECT doc_id, category, confidence, error,
          coalesce(round_even(len(list_filter(words, lambda ks: len(list_filter(ks, lambda k: contains(lower(answer), k))) > 0))
