@@ -83,6 +83,39 @@ def _start() -> Column:
     )
 
 
+def _run(steps: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """``F.aggregate`` over the steps, in runs of about the square root of their number.
+
+    ``aggregate`` copies its whole state after every element, finished chunks included.
+    Within a run the state only holds the run's own chunks; the long list is copied once
+    per run.  A document of any length then costs little more than its length.
+    """
+
+    def over(items: Column) -> Column:
+        n = F.size(items)
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(16))
+
+        def in_runs(w: Column) -> Column:
+            runs = F.transform(
+                F.sequence(F.lit(0), F.floor((n - 1) / w).cast("int")), lambda r: F.slice(items, r * w + 1, w)
+            )
+            return F.aggregate(runs, _start(), one_run, finish)
+
+        return F.when(n > 0, T.let(width, in_runs)).otherwise(F.array().cast(f"array<{_CHUNK}>"))
+
+    def one_run(acc: Column, run: Column) -> Column:
+        fields = ("text", "tokens", "section", "page")
+        fresh = F.struct(*[acc[f].alias(f) for f in fields], F.array().cast(f"array<{_CHUNK}>").alias("done"))
+        return F.aggregate(
+            run,
+            fresh,
+            merge,
+            lambda end: F.struct(*[end[f].alias(f) for f in fields], F.concat(acc["done"], end["done"]).alias("done")),
+        )
+
+    return T.let(steps, over)
+
+
 def fold_sections(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int = vocab.CHUNK_OVERLAP) -> Column:
     """Chunks of a marked text, as ``array<struct<text,page_number,token_count,section>>``.
 
@@ -128,7 +161,7 @@ def fold_sections(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: i
         last = _chunk(acc["text"], acc["page"], acc["tokens"], acc["section"])
         return F.when(acc["text"] != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
 
-    return F.aggregate(section_steps(marked), _start(), merge, finish)
+    return _run(section_steps(marked), merge, finish)
 
 
 def fold_plain(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int = vocab.V1_CHUNK_OVERLAP) -> Column:
@@ -157,7 +190,7 @@ def fold_plain(marked: Column, chunk_size: int = vocab.CHUNK_SIZE, overlap: int
         last = _chunk(T.strip(acc["text"]), acc["page"], acc["tokens"], F.lit(None))
         return F.when(T.strip(acc["text"]) != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
 
-    return F.aggregate(plain_steps(marked), _start(), merge, finish)
+    return _run(plain_steps(marked), merge, finish)
 
 
 def chunk_documents(

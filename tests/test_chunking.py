@@ -134,6 +134,15 @@ def test_oversized_sentence_stays_whole(spark):
     assert run(spark, [f"[PAGE 1]\n{long}"], fold_sections, 512, 128) == [[(long.strip(), 1, 1249, "")]]
 
 
+def test_long_document(spark):
+    """A book-sized document: the cost of a step must not grow with the chunks behind it."""
+    rng = random.Random(1)
+    lines = [" ".join(rng.choices(["pod", "seed", "leaf."], k=12)) for _ in range(20000)]
+    text = "[PAGE 1]\n" + "\n".join(lines)
+    assert run(spark, [text], fold_sections, 64, 16) == [expected_sections(text, 64, 16)]
+    assert run(spark, [text], fold_plain, 64, 16) == [expected_plain(text, 64, 16)]
+
+
 def test_page_is_the_one_being_read_when_the_chunk_closes(spark):
     text = "[PAGE 1]\naaaa aaaa aaaa.\n[PAGE 2]\nbbbb bbbb bbbb."
     assert run(spark, [text], fold_sections, 4, 0) == [[("aaaa aaaa aaaa.", 2, 3, ""), ("bbbb bbbb bbbb.", 2, 3, "")]]
