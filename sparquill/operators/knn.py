@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from sparquill.operators.filters import where_to_column
+from sparquill.session import written
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
@@ -152,11 +153,12 @@ def _by_broadcast(query_rows: pa.Table, queries: DataFrame, collection: DataFram
 
 
 def _by_blocks(
-    queries: DataFrame, collection: DataFrame, k: int, metric: str, block_queries: int, block_vectors: int
+    queries: DataFrame, collection: DataFrame, size: int, k: int, metric: str, block_queries: int, block_vectors: int
 ) -> DataFrame:
     schema, arrow_schema = _output(queries, collection)
+    queries = written(queries)  # encoded once
     n_queries = -(-max(queries.count(), 1) // block_queries)
-    n_vectors = -(-max(collection.count(), 1) // block_vectors)
+    n_vectors = -(-max(size, 1) // block_vectors)
 
     def blocks(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -205,7 +207,8 @@ def knn(
     if few:
         nearest = _by_broadcast(head, wanted, searched, k, metric)
     else:
-        nearest = _by_blocks(wanted, searched, k, metric, block_queries, block_vectors)
+        # the count sets the block size only, so it need not look at any vector
+        nearest = _by_blocks(wanted, searched, allowed.count(), k, metric, block_queries, block_vectors)
 
     # each task sent at most k rows per query; the filter on rank lets Spark cut before it shuffles
     ranked = nearest.withColumn(

@@ -172,6 +172,21 @@ def test_generation_failures_become_text(spark, collection):
     assert A.batch_summary(A.answer(retrieved, failing("x"))).first()["successful"] == 0
 
 
+def test_service_requests(spark, collection, monkeypatch):
+    def post(url, payload, headers, timeout):
+        if "messages" in payload:
+            said = [m["role"] for m in payload["messages"]]
+            return {"choices": [{"message": {"content": f" {said} {payload['max_tokens']} {headers['Authorization']} "}}]}
+        return {"response": f" {payload['model']} {payload['options']['num_predict']} {payload['prompt'][:17]} "}
+
+    monkeypatch.setattr(P, "_post", post)
+    retrieved = A.retrieve(questions(spark, "rust leaf disease"), collection)
+    prompt = A.answer(retrieved, P.prompt_service_generator("http://x/api", "m1")).first()
+    assert prompt["answer"] == "m1 1024 <|begin_of_text|>"
+    chat = A.answer(retrieved, P.chat_service_generator("http://x/api", "m2", "t0"), routed=True).first()
+    assert chat["answer"] == "['system', 'user'] 1024 Bearer t0" and chat["references"].startswith("**References:**")
+
+
 def test_generator_is_not_called_off_topic(spark, collection):
     retrieved = A.retrieve(questions(spark, "hi", "zzz qqq"), collection)
     rows = A.answer(retrieved, failing("must not be called"), routed=True).collect()
