@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from sparquill.llm import exact_dedup, line_dedup, near_dedup, sharding, source_mix, toxicity  # noqa: F401
+from sparquill.llm import exact_dedup, line_dedup, near_dedup, packing, sharding, source_mix, toxicity  # noqa: F401
 from sparquill.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
