@@ -1,6 +1,17 @@
 """All registered queries of the subpackage."""
 
-from sparquill.llm import exact_dedup, line_dedup, near_dedup, packing, sharding, source_mix, toxicity  # noqa: F401
+from sparquill.llm import (  # noqa: F401
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    neighbours,
+    packing,
+    secret_scan,
+    sharding,
+    source_mix,
+    toxicity,
+)
 from sparquill.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
