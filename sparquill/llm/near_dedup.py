@@ -257,9 +257,16 @@ def near_dedup(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all columns that stay: one document of each component, and rows without id."""
-    gone = near_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(checkpointed(gone), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with all columns that stay: one row of each component, and all rows without id."""
+    verdicts = checkpointed(near_dedup(docs, id_col, text_col))
+    gone = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    repeated = verdicts.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    repeated = checkpointed(repeated.select(F.col("doc_id").alias(id_col)))
+    stay = docs.join(checkpointed(gone), id_col, "left_anti")
+    if not repeated.isEmpty():  # rows that share an id: one of them, which takes a shuffle of these rows
+        once = stay.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+        stay = stay.join(repeated, id_col, "left_anti").unionByName(once)
+    return stay.select(*docs.columns)
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import query, running_sum, shuffle_key, table, word_count
+from sparquill.llm.common import filled, query, running_sum, shuffle_key, table, word_count
 from sparquill.session import checkpointed
 
 WEIGHTS = (3, 1, 2)
@@ -76,7 +76,7 @@ def schedule(spark: SparkSession, bounds: list[float], words: list[int], block:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The measured rows and the pieces of the mix.
 
-    Rows: doc_id, source, size, source_size, target, _row.  Pieces: _row, slot, pass (0, 1), first_word, n_words: words of
+    Rows: doc_id, source, size, text_hash, source_size, target, _row.  Pieces: _row, slot, pass (0, 1), first_word, n_words: words of
     the row that stand in that slot, each pass going once through a source.  Size is the
     number of words, 0 for null and empty texts, which enter no slot.  Ids may be null or repeat; every row counts by itself.
     Other columns are neither read nor returned.
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     rows = checkpointed(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(filled(text_col)).alias("text_hash"),
         )
         .withColumn("_key", shuffle_key(F.col("doc_id")))
         .withColumn("_row", F.monotonically_increasing_id())
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def taken_words(docs: DataFrame, **columns: str) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, pass_words.
+    """One row per input row: doc_id, source, size, text_hash, source_size, target, taken, pass_words.
 
     ``pass_words`` has the words taken in each pass; ``taken`` is their sum.
     """
@@ -134,11 +135,31 @@ def taken_words(docs: DataFrame, **columns: str) -> DataFrame:
     taken = pieces.groupBy("_row").agg(F.sum("n_words").alias("taken"), F.array(*per_pass).alias("pass_words"))
     nothing = F.array_repeat(F.lit(0).cast("long"), MAX_REPEATS)
     return measured.join(taken, "_row", "left").select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pass_words", nothing).alias("pass_words"), "_row",
+        "doc_id", "source", "size", "text_hash", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pass_words", nothing).alias("pass_words"),
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Whole rows of ``docs``, once for each pass of the schedule that takes at least half of their words.
+
+    Rows that repeat id, source and text share one decision.  Documents without words are in no pass.
+    """
+    decided = taken_words(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    decided = decided.groupBy("doc_id", "source", "size", "text_hash").agg(F.max("pass_words").alias("pass_words"))
+    passes = F.filter("pass_words", lambda n: (n > 0) & (n * 2 >= F.col("size")))
+    decided = decided.select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.size(passes).alias("_copies")
+    ).filter("_copies > 0")
+    same = (
+        F.col(id_col).eqNullSafe(F.col("_id"))
+        & (F.xxhash64(filled(text_col)) == F.col("_hash"))
+        & F.col(source_col).eqNullSafe(F.col("_source"))
+    )
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    return docs.join(decided, same).select(*docs.columns, copies).drop("_copy")
+
+
 @query("op8_source_mix")
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = taken_words(table(spark, sf_dir, "documents"))
