@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm.common import BLANKS, ascii_lower, filled, query, table
+from sparquill.session import checkpointed
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -64,7 +65,7 @@ def line_dedup(
         # 128 bits: two lines of a corpus do not meet by chance
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(_KEY_SALT), "key").alias("h2"))
     )
-    shared = (
+    shared = checkpointed(  # a stored side: adaptive execution may broadcast it or split what it meets
         found.groupBy("h1", "h2")
         .agg(
             (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n"),
