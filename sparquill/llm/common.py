@@ -67,7 +67,7 @@ def running_sum(df: DataFrame, group: str, key: str, value: str, name: str, n_ro
     of the table is still summed by many tasks: bucket totals are added up first, and each
     bucket then counts on from its own start.  ``group`` must not be null.
     """
-    digits = max(1, math.ceil(math.log(max(n_rows, 1) / ROWS_PER_BUCKET, 16))) if n_rows > ROWS_PER_BUCKET else 1
+    digits = max(2, math.ceil(math.log(max(n_rows, 1) / ROWS_PER_BUCKET, 16)))
     cut = df.withColumn("_rs_bucket", F.substring(key, 1, digits))
     before = W.partitionBy(group).orderBy("_rs_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = cut.groupBy(group, "_rs_bucket").agg(F.sum(value).alias("_rs_sum"))
