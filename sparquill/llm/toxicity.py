@@ -32,8 +32,9 @@ SAMPLE_BYTES = 16_384
 BUCKETS = 1 << 18
 DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
-WINDOW = 16
-SHORTEST = 8  # a shorter window is filled up with empty words
+WINDOW = 4  # words; so few, as one toxic word among clean ones must show in the mean
+SHORTEST = 2  # a shorter window is filled up with empty words
+STEPS = 400  # of multiple-instance training at least, while that takes no more than 40 rounds
 MAX_CACHED = 300_000  # words remembered by a worker
 
 _WORD = re.compile(r"\w+")
@@ -183,14 +184,17 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         chosen = rng.permutation(chosen)
         toxic = truth[chosen].mean()
         balance = np.where(truth == 1, 0.5 / max(toxic, 1e-9), 0.5 / max(1 - toxic, 1e-9))
-        for part in np.array_split(chosen, max(1, len(chosen) // 512)):
+        size = min(2048, max(32, len(chosen) // 50))
+        for part in np.array_split(chosen, max(1, len(chosen) // size)):
             step(part, balance[part], rate)
 
     if len(starts):
-        for rate in (0.5, 0.3):
-            epoch(np.flatnonzero((truth == 1) | (rng.random(len(truth)) < 0.3)), rate)
+        share = 2 * truth.sum() / max(1, len(truth) - truth.sum())  # of the clean windows: two for a toxic one
+        for rate in (0.5, 0.5, 0.3, 0.3, 0.3):
+            epoch(np.flatnonzero((truth == 1) | (rng.random(len(truth)) < share)), rate)
         firsts = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))
-        for rate in (0.3, 0.3, 0.2, 0.2, 0.1, 0.1):
+        rounds = max(6, min(40, STEPS * 32 // len(used)))  # few texts: more rounds over them
+        for rate in np.geomspace(0.3, 0.1, rounds):
             # the highest window of each text: sort by text, then by logit
             ranked = np.lexsort((all_logits(), text_of))
             tops = ranked[np.append(firsts[1:], len(ranked)) - 1]
