@@ -6,12 +6,15 @@
 * **Classes.** Texts with the same shingle set are one class from here on, so thousands of
   exact copies cost one sketch.
 * **Candidates.** The compressed registers are cut into bands (empty ones borrow from filled
-  ones first); classes that agree in a whole band share a bucket.  Pairs of a bucket
-  are never all formed.  First every class meets the smallest class of the bucket it shares most
-  bands with.  After confirmation only buckets that still hold several components are
-  looked at: the members outside a bucket's largest component meet its members of other components.
-* **Confirmation.** Pairs whose collision-corrected Jaccard estimate lies five standard deviations under the
-  threshold are left out; all others are compared on their full shingle sets.
+  ones first); classes that agree in a whole band share a bucket, whose smallest class is its leader.
+* **Stars.** First every class meets the leader it shares most buckets with.  Pairs whose collision-corrected Jaccard
+  estimate lies five standard deviations under the threshold are left out, all others are compared on their
+  full shingle sets.  The links make components.
+* **The rest.** Only classes of one bucket in different components may still be linked.  All that share a bucket
+  with the same leader form a group.  Where a group holds several components, the classes outside
+  its largest one are compared with all others on their full sets, by counting common shingles through an inverted index
+  inside a task; groups are cut into cells of bounded size, and a cell returns no more than the links
+  that join components.  So pairs of a large group are never rows.
 
 With 51 bands of five registers a link at the threshold itself escapes all bands with a chance of 1e-6.
 """
@@ -36,6 +39,7 @@ SIMILAR = 75  # per cent
 REGISTERS = 256
 MANTISSA = 10  # bits kept after the leading one
 BANDS, ROWS = 51, 5
+CELL = 1 << 19  # shingles compared in one task at most, apart from the size of a single document
 MAX_BROADCAST_IDS = 1 << 20  # 8 bytes each
 
 _rng = np.random.default_rng(5)
@@ -159,6 +163,46 @@ def _estimates(similar: int):
     return run
 
 
+def _cell_links(similar: int):
+    """Links between a cell's strays and its members of other components, no more than join components."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        component = cell["component"].to_numpy()
+        lists = cell["shingles"].combine_chunks()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        flat = lists.flatten().to_numpy()
+        n = np.diff(ends)
+        member = np.flatnonzero(cell["member"].to_numpy())
+        owner = np.repeat(np.arange(len(n)), n)
+        inside = np.isin(owner, member)
+        order = np.argsort(flat[inside], kind="stable")
+        keys, holders = flat[inside][order], owner[inside][order]
+        parent = {int(c): int(c) for c in component}
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        a, b = [], []
+        for x in np.flatnonzero(cell["stray"].to_numpy()):
+            mine = flat[ends[x] : ends[x + 1]]
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            counts = high - low
+            places = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            common = np.bincount(holders[places], minlength=len(n))
+            for y in np.flatnonzero((common > 0) & (100 * common >= similar * (n + n[x] - common))):
+                p, q = top(int(component[x])), top(int(component[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(int(component[x]))
+                    b.append(int(component[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 # -- the plan -----------------------------------------------------------------
 
 
@@ -167,6 +211,13 @@ def _near_size(a: Column, b: Column, similar: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similar
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the documents with these ids, from their texts."""
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return texts.mapInArrow(_sets(k), "id long, shingles array<long>")
+
+
 def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full shingle sets are similar."""
     for side in ("a", "b"):
@@ -174,9 +225,7 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, sim
         pairs = pairs.join(sketches.withColumnsRenamed(renamed), side)
     likely = checkpointed(pairs.mapInArrow(_estimates(similar), "a long, b long"))
     ids = checkpointed(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
-    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "id long, shingles array<long>")
+    sets = _sets_of(ids, docs, k)
     both = likely.join(sets.withColumnsRenamed({"id": "a", "shingles": "s_a"}), "a")
     both = both.join(sets.withColumnsRenamed({"id": "b", "shingles": "s_b"}), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -184,6 +233,33 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, sim
     return both.filter(common * 100 >= union * similar).select("a", "b").distinct()
 
 
+def _bridges(groups: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
+    """Links (a, b) between components, from groups (leader, class_id, n, component)."""
+    sizes = groups.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    main = F.max(F.struct("size", "component", "words")).alias("main")
+    mixed_groups = sizes.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.sum("words").alias("words"), main).filter("parts > 1")
+    cut = mixed_groups.select(
+        "leader",
+        F.col("main.component").alias("main"),
+        F.ceil(F.col("words") / CELL).alias("columns"),
+        F.ceil((F.col("words") - F.col("main.words")) / CELL).alias("lines"),
+    )
+    rows = groups.join(cut, "leader").withColumn("stray", F.col("component") != F.col("main"))
+    # every class is in one column, every stray also in one line; a cell compares its strays with its column
+    rows = rows.withColumn("column", F.pmod(F.xxhash64("class_id"), "columns")).withColumn("line", F.pmod(F.xxhash64("class_id"), "lines"))
+    down = F.transform(F.sequence(F.lit(0), F.col("lines") - 1), lambda i: F.struct(i.cast("long").alias("i"), F.col("column").alias("j")))
+    along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("line").alias("i"), j.cast("long").alias("j")))
+    cells = rows.withColumn("cell", F.explode(F.when(F.col("stray"), F.array_union(down, along)).otherwise(down)))
+    cells = checkpointed(
+        cells.select(
+            "leader", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("class_id").alias("id"), "component",
+            (F.col("column") == F.col("cell.j")).alias("member"), (F.col("stray") & (F.col("line") == F.col("cell.i"))).alias("stray"),
+        )
+    )
+    sets = _sets_of(checkpointed(cells.select("id").distinct()), docs, k)
+    return cells.join(sets, "id").groupBy("leader", "i", "j").applyInArrow(_cell_links(similar), "a long, b long").distinct()
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similar: int = SIMILAR
 ) -> DataFrame:
@@ -223,28 +299,11 @@ def near_dedup(
     stars = best.select("a", (-F.col("best.col2")).alias("b"))
     labels = checkpointed(components(_confirm(stars, sketches, texts, k, similar)))
 
-    # what may still be linked: buckets with several components
+    # what may still be linked: classes under one leader in several components
     named = labels.select(F.col("node").alias("class_id"), "component")
-    placed = shared.select("key", "class_id", "n").join(named, "class_id", "left")
-    placed = checkpointed(placed.withColumn("component", F.coalesce("component", "class_id")))
-    per_component = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    open_buckets = (
-        per_component.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component")).getField("component").alias("main"))
-        .filter("parts > 1")
-    )
-    unsettled = placed.join(open_buckets.select("key", "main"), "key")
-    strays = unsettled.filter("component != main").select("key", F.col("class_id").alias("s"), F.col("n").alias("n_s"), F.col("component").alias("c_s"))
-    across = (
-        strays.join(unsettled, "key")
-        .filter((F.col("c_s") != F.col("component")) & _near_size(F.col("n_s"), F.col("n"), similar))
-        .select(F.least("s", "class_id").alias("a"), F.greatest("s", "class_id").alias("b"))
-        .distinct()
-    )
-    more = _confirm(across, sketches, texts, k, similar)
-    for side in ("a", "b"):
-        more = more.join(labels.withColumnsRenamed({"node": side, "component": f"c_{side}"}), side, "left")
-    bridges = more.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a != b").distinct()
+    groups = shared.select(F.col("leader.class_id").alias("leader"), "class_id", "n").distinct().join(named, "class_id", "left")
+    groups = checkpointed(groups.withColumn("component", F.coalesce("component", "class_id")))
+    bridges = _bridges(groups, texts, k, similar)
     merged = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("final"))
     settled = classes.join(named, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     settled = settled.join(merged, "component", "left").withColumn("component_id", F.coalesce("final", "component"))
