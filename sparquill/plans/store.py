@@ -24,10 +24,9 @@ def build(
 ) -> None:
     """Encode chunk rows and store them under ids in (source, chunk) order.
 
-    Chunks whose encoding failed are left out; the stored count tells how many remain.
+    Chunks whose encoding failed are counted and listed by ``Collections.errors``.
     """
-    encoded = E.encode_chunks(chunks, encoder=encoder).where(F.col("encode_error").isNull())
-    rows = encoded.withColumnRenamed("text", "document").drop("encode_error")
+    rows = E.encode_chunks(chunks, encoder=encoder).withColumnRenamed("text", "document")
     store.create(name, model_name, partition_by=partition_by)
     store.add(name, rows, "source_file", "chunk_id", "year_range")
 

@@ -10,9 +10,26 @@ from pyspark.sql import functions as F
 from sparquill.schemas import CHUNK
 
 
-def read_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Chunks from a JSON array file, or from JSON lines; an empty input is an error."""
-    chunks = spark.read.schema(CHUNK).option("multiLine", not lines).json(path)
+def read_chunks(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """Chunks from JSON array files, from JSON lines, or from both; an empty input is an error.
+
+    Chunk records hold no lists, so only an array file has a line that begins with a bracket.  ``lines`` overrides that.
+    """
+    reader = spark.read.schema(CHUNK).option("mode", "FAILFAST")
+    if lines is None:
+        bracket = F.max(F.ltrim("value").startswith("["))
+        kinds = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(bracket.alias("array"))
+        # file names, where there are arrays: each of those is read by one task anyway
+        arrays = [r["file"] for r in kinds.where("array").toLocalIterator()]
+        if arrays and kinds.where("NOT array").isEmpty():
+            chunks = reader.option("multiLine", True).json(path)
+        elif arrays:
+            others = [r["file"] for r in kinds.where("NOT array").toLocalIterator()]
+            chunks = reader.json(others).unionByName(reader.option("multiLine", True).json(arrays))
+        else:
+            chunks = reader.json(path)
+    else:
+        chunks = reader.option("multiLine", not lines).json(path)
     if chunks.isEmpty():
         raise ValueError(f"no chunks in {path}")
     return chunks

@@ -1,26 +1,36 @@
 """Stored collections: Parquet tables of vectors, documents and scalar metadata.
 
-A collection is a folder.  Every insert is a folder of its own below ``data``, written
-in overwrite mode, so that an insert that is run again after a failure replaces itself
-instead of doubling its rows.  ``about`` holds the collection's attributes.
+A collection is a folder.  Every insert has a key of its own and is written to its own folder below
+``data``.  It counts only once the next numbered file below ``manifest`` names it: that file is created
+exclusively and last, and gives the insert's first id and row count.  So two inserts at a time take different ids and never
+touch each other's rows, an insert that breaks off leaves nothing visible, and one that is
+repeated under its key is recognised.  Stored rows carry their number within the insert; ids are first id plus
+number.  Rows whose encoding failed are kept apart and counted.  ``about`` holds the collection's attributes.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import threading
+import time
+import uuid
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.knn import knn
 from sparquill.schemas import COLLECTION_CORE, SCALAR_TYPES
-from sparquill.session import written
+from sparquill.session import stored_for_now
 
 ID_PREFIX = "chunk_"
+FAILED = ("source_file", "chunk_id", "year_range", "encode_error")  # what is kept of a row that could not be encoded
+_commits = threading.Lock()  # exclusive creation is not exclusive enough between threads on a local disk
 
 
 def number_rows(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
@@ -93,62 +103,170 @@ class Collections:
 
     def list(self) -> DataFrame:
         """``(name, n_chunks)`` of every collection."""
-        counts = [(name, self.count(name)) for name in self.names()]
+        counts = [(name, self.count(name)) for name in self.names()]  # from the manifests, without a job
         return self.spark.createDataFrame(counts, "name string, n_chunks long")
 
     def attributes(self, name: str) -> dict[str, Any]:
         return json.loads(self.spark.read.text(f"{self._folder(name)}/about").first()[0])
 
-    # -- rows
-
-    def _batches(self, name: str) -> list[str]:
-        return self._children(f"{self._folder(name)}/data")
+    # -- the manifest
+
+    def _entry(self, name: str, version: str) -> dict[str, Any]:
+        fs, path = self._fs(f"{self._folder(name)}/manifest/{version}")
+        for _ in range(50):  # another writer may have created, but not yet filled it
+            stream = fs.open(path)
+            text = _read(self.spark, stream)
+            if text.endswith("\n"):
+                return json.loads(text)
+            time.sleep(0.1)
+        raise RuntimeError(f"manifest entry {version} of {name!r} was never completed")
+
+    def _versions(self, name: str) -> list[str]:
+        return [v for v in self._children(f"{self._folder(name)}/manifest") if not v.startswith(".")]
+
+    def _last(self, name: str) -> dict[str, Any]:
+        """The newest entry; it has the totals, so the others need not be read."""
+        versions = self._versions(name)
+        empty = {"version": -1, "since": 0, "total": 0, "failed_total": 0, "schema": None}
+        return self._entry(name, versions[-1]) if versions else empty
+
+    def _manifest(self, name: str) -> DataFrame:
+        """``(batch, first)`` of every insert that counts."""
+        since = self._last(name)["since"]
+        entries = self.spark.read.schema("version long, batch string, first long").json(f"{self._folder(name)}/manifest")
+        return entries.where(F.col("version") >= since).select("batch", "first")
+
+    def _commit(self, name: str, batch: str, rows: int, failed: int, schema: T.StructType, replaces: int | None = None) -> bool:
+        """Make an insert visible; False if a compaction was overtaken by another insert."""
+        while True:
+            with _commits:
+                last = self._last(name)
+                if replaces is not None and last["version"] != replaces:
+                    return False
+                version = last["version"] + 1
+                compacted = replaces is not None
+                entry = {
+                    "version": version,
+                    "batch": batch,
+                    "first": 0 if compacted else last["total"],
+                    "rows": rows,
+                    "since": version if compacted else last["since"],
+                    "total": rows if compacted else last["total"] + rows,
+                    "failed_total": last["failed_total"] + failed,
+                    "schema": _merged(last["schema"], schema),
+                }
+                fs, path = self._fs(f"{self._folder(name)}/manifest/{version:09d}")
+                try:
+                    stream = fs.create(path, False)
+                except Exception:
+                    if not fs.exists(path):
+                        raise
+                    continue  # another writer was faster: take the next number
+                stream.write(bytearray((json.dumps(entry) + "\n").encode()))
+                stream.close()
+                return True
 
-    def write_batch(self, name: str, batch: int, rows: DataFrame) -> None:
-        """Write one insert.  Writing the same batch again replaces it."""
-        check_metadata(rows)
-        partition_by = self.attributes(name).get("partition_by")
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch:06d}")
+    # -- rows
 
-    def add(self, name: str, rows: DataFrame, *order: str) -> None:
+    def add(self, name: str, rows: DataFrame, *order: str, key: str | None = None) -> None:
         """Insert rows without ids; ids continue from the present count, in ``order``.
 
-        The rows are stored before they are numbered, so that an encoder runs once.
+        With a ``key``, an insert that already counts under that key is not repeated.  A column ``encode_error``
+        sets rows apart that failed.  The rows are stored before they are numbered, so that an encoder runs once.
         """
-        batch, start = len(self._batches(name)), self.count(name)
-        self.write_batch(name, batch, number_rows(written(rows), *order, start=start))
+        check_metadata(rows.drop("encode_error"))
+        batch = "b-" + (key or uuid.uuid4().hex)
+        fs, folder = self._fs(f"{self._folder(name)}/data/batch={batch}")
+        if key and fs.exists(folder) and not self._manifest(name).where(F.col("batch") == batch).isEmpty():
+            return
+        partition_by = self.attributes(name).get("partition_by")
+        with stored_for_now(rows) as stored:
+            good, n_failed = stored, 0
+            if "encode_error" in stored.columns:
+                bad = stored.where(F.col("encode_error").isNotNull())
+                good = stored.where(F.col("encode_error").isNull()).drop("encode_error")
+                bad = bad.select(*[c for c in FAILED if c in stored.columns])
+                bad.write.mode("overwrite").parquet(f"{self._folder(name)}/failed/batch={batch}")
+                n_failed = bad.count()
+            n = good.count()
+            numbered = dense_index(good, *order, name="row_no")
+            writer = numbered.write.mode("overwrite")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch}")
+        self._commit(name, batch, n, n_failed, numbered.schema)
+
+    def _stored(self, name: str) -> DataFrame:
+        """All rows that count, with ``batch``, ``row_no`` and ``first``."""
+        last = self._last(name)
+        if last["version"] < 0:
+            raise ValueError(f"collection {name!r} is empty or does not exist")
+        # the stored types: names of partition folders like "007" must not turn into numbers
+        schema = T.StructType.fromJson(json.loads(last["schema"])).add("batch", T.StringType())
+        rows = self.spark.read.schema(schema).parquet(f"{self._folder(name)}/data")
+        return rows.join(self._manifest(name), "batch")
 
     def open(self, name: str) -> DataFrame:
         """All rows, or an error if nothing was ever stored under the name."""
-        if not self._batches(name):
-            raise ValueError(f"collection {name!r} is empty or does not exist")
-        rows = self.spark.read.parquet(f"{self._folder(name)}/data").drop("batch")
-        if "year_range" in rows.columns:  # read back from folder names it may look like a number
-            rows = rows.withColumn("year_range", F.col("year_range").cast("string"))
-        return rows
-
-    def count(self, name: str, before_batch: int | None = None) -> int:
-        if not self._batches(name):
-            return 0
-        rows = self.spark.read.parquet(f"{self._folder(name)}/data")
-        return (rows if before_batch is None else rows.where(F.col("batch") < before_batch)).count()
+        rows = self._stored(name)
+        number = (F.col("first") + F.col("row_no")).cast("string")
+        others = [c for c in rows.columns if c not in ("batch", "first", "row_no")]
+        return rows.select(F.concat(F.lit(ID_PREFIX), number).alias("id"), *others)
+
+    def count(self, name: str) -> int:
+        return self._last(name)["total"]
+
+    def errors(self, name: str) -> DataFrame:
+        """``(batch, source_file, chunk_id, year_range, encode_error)`` of the rows that failed, as far as they had these."""
+        schema = "batch string, source_file string, chunk_id int, year_range string, encode_error string"
+        fs, folder = self._fs(f"{self._folder(name)}/failed")
+        if not fs.exists(folder):
+            return self.spark.createDataFrame([], schema)
+        since = self.spark.read.schema("batch string").json(f"{self._folder(name)}/manifest")
+        return self.spark.read.schema(schema).parquet(f"{self._folder(name)}/failed").join(since, "batch", "left_semi")
+
+    def compact(self, name: str) -> bool:
+        """Rewrite all inserts as one, with the same ids; False if an insert came in between."""
+        last = self._last(name)
+        rows = self._stored(name).withColumn("row_no", F.col("first") + F.col("row_no")).drop("first", "batch")
+        old = [r["batch"] for r in self._manifest(name).toLocalIterator()]
+        batch = "b-" + uuid.uuid4().hex
+        partition_by = self.attributes(name).get("partition_by")
+        writer = rows.repartitionByRange("row_no").sortWithinPartitions("row_no").write
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch}")
+        if not self._commit(name, batch, last["total"], 0, rows.schema, replaces=last["version"]):
+            old = [batch]
+        for replaced in old:
+            fs, folder = self._fs(f"{self._folder(name)}/data/batch={replaced}")
+            fs.delete(folder, True)
+        return old != [batch]
 
     def get(
         self, name: str, ids: list[str] | DataFrame | None = None, where: dict[str, Any] | None = None,
         include: list[str] | None = None,
     ) -> DataFrame:
-        """Rows by id and filter.  A list of ids reaches the scan as a pushed filter."""
-        rows = self.open(name)
+        """Rows by id and filter.  A list of ids reaches the scan as numbers within inserts."""
+        rows = self.open(name) if ids is None or isinstance(ids, DataFrame) else self._by_number(name, list(ids))
         condition = where_to_column(where)
         if condition is not None:
             rows = rows.where(condition)
         if isinstance(ids, DataFrame):
             rows = rows.join(ids.select("id"), "id", "left_semi")
-        elif ids is not None:
-            rows = rows.where(F.col("id").isin(list(ids)))
         return rows.select("id", *include) if include else rows
 
+    def _by_number(self, name: str, ids: list[str]) -> DataFrame:
+        """Rows with these ids: only the inserts that hold one are read, and in them only row groups near its number."""
+        numbers = sorted({int(i[len(ID_PREFIX) :]) for i in ids if re.fullmatch(ID_PREFIX + "[0-9]{1,18}", i)})
+        wanted = self.spark.createDataFrame([(n,) for n in numbers], "n long")
+        entries = self.spark.read.schema("version long, batch string, first long, rows long").json(f"{self._folder(name)}/manifest")
+        entries = entries.where(F.col("version") >= self._last(name)["since"])
+        hits = wanted.join(entries, (F.col("n") >= F.col("first")) & (F.col("n") < F.col("first") + F.col("rows")))
+        places = [(r["batch"], r["n"] - r["first"]) for r in hits.collect()]  # no more than ids were given
+        stored = self.open(name)
+        within = self._stored(name).where(
+            F.col("batch").isin([b for b, _ in places]) & F.col("row_no").isin([n for _, n in places])
+        )
+        number = F.concat(F.lit(ID_PREFIX), (F.col("first") + F.col("row_no")).cast("string"))
+        return within.withColumn("id", number).where(F.col("id").isin(ids)).select(*stored.columns)
+
     def query(self, name: str, queries: DataFrame, n_results: int, where: dict[str, Any] | None = None,
               include: tuple[str, ...] = ("document",), **options: Any) -> DataFrame:
         return knn(queries, self.open(name), n_results, where, columns=include, **options)
@@ -160,7 +278,7 @@ class Collections:
         rows = self.open(name)
         totals = rows.agg(
             F.count(F.lit(1)).alias("total_chunks"),
-            F.count_if(F.col("embedding").isNull()).alias("failed_chunks"),
+            F.lit(self._last(name)["failed_total"]).alias("failed_chunks"),
             F.max(F.size("embedding")).alias("embedding_dimension"),
             F.count_distinct(F.coalesce(F.col("source_file"), F.lit("unknown"))).alias("unique_sources"),
             F.min("year_range").alias("first_year_range"),
@@ -176,6 +294,23 @@ class Collections:
         stamped.coalesce(1).write.mode("overwrite").json(f"{self.root}/_statistics/{name}")
 
 
+def _read(spark: SparkSession, stream: Any) -> str:
+    lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    line = lines.readLine()
+    lines.close()
+    return "" if line is None else f"{line}\n" if line.endswith("}") else line
+
+
+def _merged(stored: str | None, schema: T.StructType) -> str:
+    """The stored fields plus new ones; a field keeps its type."""
+    fields = {f["name"]: f for f in json.loads(stored)["fields"]} if stored else {}
+    for f in json.loads(schema.json())["fields"]:
+        known = fields.setdefault(f["name"], f | {"nullable": True})
+        if known["type"] != f["type"]:
+            raise ValueError(f"{f['name']} is stored as {known['type']}, not {f['type']}")
+    return json.dumps({"type": "struct", "fields": list(fields.values())})
+
+
 def total_size(files: DataFrame) -> DataFrame:
     """``(n_files, size_mb)`` of ``(path, length)`` rows."""
     return files.agg(

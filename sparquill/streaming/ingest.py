@@ -7,6 +7,7 @@ interrupted.  Chunking is per document, so nothing is carried between batches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,7 @@ from sparquill import vocab
 from sparquill.functions import text as T
 from sparquill.operators import encoding as E
 from sparquill.plans.ingest import ingest
-from sparquill.session import written
-from sparquill.sources.collections import Collections, number_rows
+from sparquill.sources.collections import Collections
 from sparquill.sources.documents import PageReader, extract, pypdf_reader
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -48,13 +48,11 @@ def stream_ingest(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # a stream has an id of its own, kept with its progress: another one never has the same keys
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         chunks = ingest(extract(batch, reader), chunk_size, overlap)
-        rows = E.encode_chunks(chunks, encoder=encoder).where(F.col("encode_error").isNull())
-        rows = rows.withColumnRenamed("text", "document").drop("encode_error")
-        # ids continue after the earlier batches: a replay gives the same ids again
-        before = store.count(name, before_batch=batch_id)
-        numbered = number_rows(written(rows), "source_file", "chunk_id", "year_range", start=before)
-        store.write_batch(name, batch_id, numbered)
+        rows = E.encode_chunks(chunks, encoder=encoder).withColumnRenamed("text", "document")
+        store.add(name, rows, "source_file", "chunk_id", "year_range", key=f"{stream}-{batch_id}")
 
     return (
         files.writeStream.foreachBatch(write)

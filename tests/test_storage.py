@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sparquill.operators.encoding import encode_chunks, hashing_encoder
 from sparquill.plans import embedding, ingest, store
-from sparquill.session import checkpointed
 from sparquill.sources import chunk_files, documents
 from sparquill.sources.collections import Collections, folder_size
 from sparquill.streaming.ingest import stream_ingest
@@ -107,6 +106,10 @@ def test_chunk_files(spark, chunks, tmp_path):
     assert sorted(map(tuple, chunk_files.read_chunks(spark, str(array)).collect())) == sorted(CHUNKS)
     chunk_files.write_chunks(chunks, str(tmp_path / "out"))
     assert sorted(map(tuple, chunk_files.read_chunks(spark, str(tmp_path / "out"), lines=True).collect())) == sorted(CHUNKS)
+    chunk_files.write_chunks(chunks.repartition(3), str(tmp_path / "files"))
+    assert sorted(map(tuple, chunk_files.read_chunks(spark, str(tmp_path / "files")).collect())) == sorted(CHUNKS)
+    (tmp_path / "files" / "array.json").write_text(json.dumps([r.asDict() for r in chunks.collect()], indent=1))
+    assert sorted(map(tuple, chunk_files.read_chunks(spark, str(tmp_path / "files")).collect())) == sorted(CHUNKS * 2)
     empty = tmp_path / "empty.json"
     empty.write_text("[]")
     with pytest.raises(ValueError):
@@ -152,9 +155,7 @@ def test_collections(spark, chunks, tmp_path):
     db.add("papers", more, "source_file", "chunk_id")
     assert db.count("papers") == 18
     assert {r["id"] for r in db.open("papers").select("id").collect()} == {f"chunk_{i}" for i in range(18)}
-    # the same insert again replaces itself
-    db.write_batch("papers", 1, checkpointed(db.open("papers").where("cast(substring(id, 7) as int) >= 9")))
-    assert db.count("papers") == 18
+    assert db.open("papers").count() == 18
 
     got = db.get("papers", ids=["chunk_0", "chunk_17", "none"], include=["document", "year_range"])
     assert got.columns == ["id", "document", "year_range"] and got.count() == 2
@@ -176,7 +177,7 @@ def test_collections(spark, chunks, tmp_path):
     assert db.names() == []
     db.create("lists", "none")
     with pytest.raises(ValueError):
-        db.write_batch("lists", 0, chunks.withColumn("tags", F.array(F.lit("x"))))
+        db.add("lists", chunks.withColumn("tags", F.array(F.lit("x"))), "chunk_id")
 
 
 def test_year_filter_prunes_folders(spark, chunks, tmp_path):
@@ -202,3 +203,76 @@ def test_streaming_ingest(spark, corpus, tmp_path):
     assert [r for r in run() if r not in first] == [("new.pdf", 0, "A newly arrived document.")]
     ids = [r["id"] for r in db.open("papers").collect()]
     assert sorted(ids, key=lambda i: int(i[6:])) == [f"chunk_{i}" for i in range(len(ids))]
+
+
+def ids_are_dense(db, name):
+    ids = [int(r["id"][6:]) for r in db.open(name).select("id").collect()]
+    return sorted(ids) == list(range(db.count(name)))
+
+
+def test_inserts_never_replace_each_other(spark, chunks, corpus, tmp_path):
+    """Build, stream, a second stream with a new checkpoint, add, a repeated key: all rows stay."""
+    db = Collections(spark, str(tmp_path / "db"))
+    store.build(db, "papers", chunks)
+    for progress in ("one", "two"):
+        stream_ingest(spark, corpus, db, "papers", str(tmp_path / progress), form_feed_reader, files_per_batch=2).awaitTermination()
+    streamed = (db.count("papers") - 9) // 2
+    assert streamed > 0 and db.count("papers") == 9 + 2 * streamed
+    rows = encode_chunks(chunks).withColumnRenamed("text", "document")
+    for _ in range(2):  # the second one is a replay
+        db.add("papers", rows, "source_file", "chunk_id", key="job-7")
+    assert db.count("papers") == db.open("papers").count() == 18 + 2 * streamed and ids_are_dense(db, "papers")
+    before = sorted((r["id"], r["document"]) for r in db.open("papers").collect())
+    assert db.compact("papers")
+    assert sorted((r["id"], r["document"]) for r in db.open("papers").collect()) == before
+    assert len(os.listdir(tmp_path / "db/papers/data")) == 1
+    db.add("papers", rows, "source_file", "chunk_id")
+    assert ids_are_dense(db, "papers") and db.get("papers", ids=["chunk_3", f"chunk_{db.count('papers') - 1}"]).count() == 2
+
+
+def test_two_adds_at_a_time(spark, chunks, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("papers", "none")
+    rows = encode_chunks(chunks).withColumnRenamed("text", "document")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: db.add("papers", rows, "source_file", "chunk_id"), range(4)))
+    assert db.count("papers") == db.open("papers").count() == 36 and ids_are_dense(db, "papers")
+
+
+def test_failed_rows_are_counted_and_listed(spark, chunks, tmp_path):
+    def flaky():
+        encode = hashing_encoder()()
+
+        def run(texts):
+            if any("number 4" in t for t in texts):
+                raise ValueError("out of memory")
+            return encode(texts)
+
+        return run
+
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("papers", "flaky")
+    db.add("papers", encode_chunks(chunks, encoder=flaky, batch_size=1).withColumnRenamed("text", "document"), "source_file", "chunk_id")
+    assert db.count("papers") == 8 and ids_are_dense(db, "papers")
+    (bad,) = db.errors("papers").collect()
+    assert bad["chunk_id"] == 4 and "out of memory" in bad["encode_error"]
+    assert db.statistics("papers").first()["failed_chunks"] == 1
+
+
+def test_partition_values_keep_their_type(spark, chunks, tmp_path):
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("papers", "none", partition_by="year_range")
+    rows = encode_chunks(chunks.withColumn("year_range", F.lit("007"))).withColumnRenamed("text", "document")
+    db.add("papers", rows, "source_file", "chunk_id")
+    assert {r["year_range"] for r in db.open("papers").collect()} == {"007"}
+
+
+def test_intermediates_are_deleted(spark, chunks, tmp_path):
+    from sparquill.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(root) if f.startswith("written-")}
+    store.build(Collections(spark, str(tmp_path / "db")), "papers", chunks)
+    assert {f for f in os.listdir(root) if f.startswith("written-")} == before
