@@ -222,8 +222,8 @@ def model_error_message(error: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """ASCII words, lowercased: the vocabulary of the default encoder and pair scorer."""
-    found = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), F.lit(1))
+    """Words of letters and digits of every script, lowercased: the vocabulary of the default encoder and pair scorer."""
+    found = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     return F.transform(found, lambda w: F.lower(w))
 
 

@@ -34,12 +34,12 @@ def hashing_encoder(dimension: int = DIMENSION) -> Encoder:
         def bucket(word: str) -> int:
             return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension
 
-        ascii_word = re.compile("[A-Za-z0-9]+")
+        word = re.compile(r"[^\W_]+")  # letters and digits of every script
 
         def encode(texts: list[str]) -> np.ndarray:
             counts = np.zeros((len(texts), dimension))
             for row, text in enumerate(texts):
-                found = [bucket(w.lower()) for w in ascii_word.findall(text)]
+                found = [bucket(w.lower()) for w in word.findall(text)]
                 counts[row] = np.bincount(found, minlength=dimension)
             norms = np.linalg.norm(counts, axis=1, keepdims=True)
             return counts / np.where(norms > 0, norms, 1.0)

@@ -41,11 +41,19 @@ DECIMALS = 4
 # -- inside a task ------------------------------------------------------------
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _by_length(ids: Any, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the vectors of each length; those with NaN, infinite or null components are left out."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    for length in np.unique(lengths[lengths > 0]):
+        places = np.flatnonzero(lengths == length)
+        matrix = values[offsets[places][:, None] + np.arange(length)]
+        finite = np.isfinite(matrix).all(axis=1)
+        if finite.any():
+            yield int(length), places[finite], matrix[finite]
 
 
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -85,9 +93,10 @@ class _Best:
         for start in range(0, len(self.queries), rows):
             tile = _distances(self.queries[start : start + rows], vectors, self.metric)
             tile = np.round(tile, DECIMALS) + 0.0
-            worst_kept = np.partition(tile, keep - 1, axis=1)[:, keep - 1]
-            picked = np.empty((len(tile), keep), dtype=np.int64)
-            for r in range(len(tile)):
+            picked = np.argpartition(tile, keep - 1, axis=1)[:, :keep]
+            worst_kept = np.take_along_axis(tile, picked, axis=1).max(axis=1)
+            # only where more rows tie at the cut than fit do ids decide which are kept
+            for r in np.flatnonzero((tile <= worst_kept[:, None]).sum(axis=1) > keep):
                 near = np.flatnonzero(tile[r] <= worst_kept[r])  # ascending ids, ties included
                 picked[r] = near[np.argsort(tile[r, near], kind="stable")[:keep]]
             parts_d.append(np.take_along_axis(tile, picked, axis=1))
@@ -136,18 +145,26 @@ def _output(queries: DataFrame, collection: DataFrame) -> tuple[T.StructType, pa
     return schema, to_arrow_schema(schema)
 
 
+def _query_blocks(query_rows: pa.Table) -> dict[int, tuple[list, np.ndarray]]:
+    """Length -> (query ids, matrix)."""
+    ids = query_rows["query_id"].to_pylist()
+    found = _by_length(ids, query_rows["embedding"]) if query_rows.num_rows else ()
+    return {length: ([ids[p] for p in places], matrix) for length, places, matrix in found}
+
+
 def _by_broadcast(query_rows: pa.Table, queries: DataFrame, collection: DataFrame, k: int, metric: str) -> DataFrame:
     schema, arrow_schema = _output(queries, collection)
-    shared = collection.sparkSession.sparkContext.broadcast(
-        (query_rows["query_id"].to_pylist(), _matrix(query_rows["embedding"]))
-    )
+    shared = collection.sparkSession.sparkContext.broadcast(_query_blocks(query_rows))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        best = _Best(matrix, k, metric)
+        best = {length: _Best(matrix, k, metric) for length, (_, matrix) in shared.value.items()}
         for batch in batches:
-            best.add(_ids(batch.column(0)), _matrix(batch.column(1)))
-        yield from best.rows(query_ids, arrow_schema)
+            ids = _ids(batch.column(0))
+            for length, places, matrix in _by_length(ids, batch.column(1)):
+                if length in best:
+                    best[length].add(ids[places], matrix)
+        for length, (query_ids, _) in shared.value.items():
+            yield from best[length].rows(query_ids, arrow_schema)
 
     return collection.select("id", "embedding").mapInArrow(scan, schema)
 
@@ -170,11 +187,15 @@ def _by_blocks(
     right = collection.select("id", "embedding", block_of("id", n_vectors).alias("vb"), blocks(n_queries).alias("qb"))
 
     def meet(query_block: pa.Table, vector_block: pa.Table) -> pa.Table:
+        found: list[pa.RecordBatch] = []
         if query_block.num_rows and vector_block.num_rows:
-            best = _Best(_matrix(query_block["embedding"]), k, metric)
-            best.add(_ids(vector_block["id"]), _matrix(vector_block["embedding"]))
-            return pa.Table.from_batches(best.rows(query_block["query_id"].to_pylist(), arrow_schema), arrow_schema)
-        return arrow_schema.empty_table()
+            asked, ids = _query_blocks(query_block), _ids(vector_block["id"])
+            for length, places, matrix in _by_length(ids, vector_block["embedding"]):
+                if length in asked:
+                    best = _Best(asked[length][1], k, metric)
+                    best.add(ids[places], matrix)
+                    found.extend(best.rows(asked[length][0], arrow_schema))
+        return pa.Table.from_batches(found, arrow_schema)
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, schema)
 
@@ -194,6 +215,8 @@ def knn(
 
     ``queries`` has ``query_id, embedding``; ``collection`` has ``id, embedding`` and
     metadata.  ``where`` filters the collection before any distance is computed.
+    Vectors with NaN, infinite or null components take no part on either side, and vectors are only
+    compared with those of their length (``unusable_vectors`` counts what that leaves out).
     ``columns`` of the collection are looked up for the ranked ids only, so the scan
     that computes distances reads nothing but ids, vectors and filtered fields.
     """
@@ -225,6 +248,19 @@ def knn(
     )
 
 
+def unusable_vectors(rows: DataFrame, dimension: int) -> DataFrame:
+    """One row: n_rows, n_missing, n_wrong_dimension, n_not_finite; a search leaves all but the first out."""
+    v = F.col("embedding")
+    wrong = v.isNotNull() & (F.size(v) != dimension)
+    finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(v.isNull()).alias("n_missing"),
+        F.count_if(wrong).alias("n_wrong_dimension"),
+        F.count_if(v.isNotNull() & ~wrong & ~finite).alias("n_not_finite"),
+    )
+
+
 def inner_product_top_k(queries: DataFrame, collection: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, id, score)`` by descending inner product."""
     nearest = knn(queries, collection, k, metric="ip")

@@ -50,13 +50,18 @@ def retrieve(
     where: dict[str, Any] | None = None,
     encoder: Encoder | None = None,
     scorer: R.PairScorer | None = R.lexical_score,
+    routed: bool = False,
     **knn_options: Any,
 ) -> DataFrame:
     """``(query_id, question, sources, confidence)``, one row per question.
 
+    ``routed`` leaves blank questions and greetings out of the search: their reply is fixed.
+
     ``questions`` has ``query_id, question``.  The rank inside ``sources`` starts at 1.
     """
-    found = candidates(questions, collection, n_candidates, where, encoder, **knn_options)
+    question = F.col("question")
+    searched = questions.where((T.strip(question) != "") & ~T.is_greeting(question)) if routed else questions
+    found = candidates(searched, collection, n_candidates, where, encoder, **knn_options)
     ranked = R.rerank(found.join(questions.select("query_id", "question"), "query_id"), scorer, top_k)
     per_question = questions.join(R.collect_sources(ranked), "query_id", "left")
     empty = F.array().cast(f"array<{R.SOURCE}>")
@@ -130,8 +135,11 @@ def answer(
 
 
 def batch_summary(answers: DataFrame) -> DataFrame:
-    """One row: how many questions, how many answered, and the label counts."""
-    ok = F.col("error").isNull()
+    """One row: how many questions, how many answered, and the label counts.
+
+    A failed generation leaves answer text and counts as answered; only a question without retrieval does not.
+    """
+    ok = F.col("sources").isNotNull()
     return answers.agg(
         F.count(F.lit(1)).alias("total_questions"),
         F.count_if(ok).alias("successful"),

@@ -58,5 +58,5 @@ class Session:
     def ask(self, question: str) -> DataFrame:
         questions = self.collection.sparkSession.createDataFrame([(0, question)], "query_id int, question string")
         where = {"year_range": self.year_filter} if self.year_filter else None
-        retrieved = A.retrieve(questions, self.collection, self.top_k, where=where, **self.options)
+        retrieved = A.retrieve(questions, self.collection, self.top_k, where=where, routed=True, **self.options)
         return A.answer(retrieved, self.generator, year_filter=self.year_filter, top_k=self.top_k)

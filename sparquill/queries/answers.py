@@ -52,7 +52,7 @@ candidates AS (
   WHERE copy = 1)
 """
 
-_WORDS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda w: lower(w)))"
+_WORDS = "list_distinct(list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)))"
 
 RANKED_SQL = f"""
 pairs AS (

@@ -188,7 +188,7 @@ def encode_sql(name: str, source: str, key: str, text: str) -> str:
     return f"""
 {name}_counts AS (
   SELECT {key}, (('0x' || substr(md5(lower(word)), 1, 8))::BIGINT % {DIMENSION})::INT AS bucket, count(*) AS n
-  FROM (SELECT {key}, unnest(regexp_extract_all({text}, '[A-Za-z0-9]+')) AS word FROM {source})
+  FROM (SELECT {key}, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+')) AS word FROM {source})
   GROUP BY ALL),
 {name} AS (
   SELECT {key}, bucket,

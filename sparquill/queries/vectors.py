@@ -11,7 +11,7 @@ from sparquill.operators import metadata as M
 from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.joins import join_small
-from sparquill.operators.knn import inner_product_top_k, knn, similar_items
+from sparquill.operators.knn import inner_product_top_k, knn, similar_items, unusable_vectors
 from sparquill.queries.inputs import (
     ASKED_SQL, DIMENSION, PATHS_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, YEAR_SQL, asked, encode_sql, knn_sql,
     chain_sql, paper_path, probes, shelf, shelf_rows, spread, table, vectors, with_ctes,
@@ -45,6 +45,39 @@ _knn_query(
 )
 
 
+def _spoiled(rows):
+    """The collection with bad vectors laid in by key."""
+    v, key = F.col("embedding"), F.col("id") % 17
+    first = lambda x: F.concat(F.array(F.lit(x).cast("float")), F.slice(v, 2, 1000))
+    bad = (
+        F.when(key == 3, first(float("nan"))).when(key == 5, first(float("inf"))).when(key == 8, F.slice(v, 1, 63))
+        .when(key != 11, v)
+    )
+    return rows.withColumn("embedding", bad)
+
+
+@query("knn_bad_vectors", with_ctes(VECTORS_SQL, PROBES_SQL, knn_sql(20, "v.id % 17 NOT IN (3, 5, 8, 11)"), select=_NEAREST))
+def knn_bad_vectors(spark, sf_dir):
+    return knn(probes(spark, sf_dir), _spoiled(vectors(spark, sf_dir)), 20)
+
+
+@query("knn_bad_vectors_blocks", with_ctes(VECTORS_SQL, PROBES_SQL, knn_sql(20, "v.id % 17 NOT IN (3, 5, 8, 11)"), select=_NEAREST))
+def knn_bad_vectors_blocks(spark, sf_dir):
+    return knn(probes(spark, sf_dir), _spoiled(vectors(spark, sf_dir)), 20, max_broadcast_queries=0, block_queries=64, block_vectors=256)
+
+
+@query(
+    "unusable_vectors",
+    """
+    SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 17 = 11) AS n_missing,
+           count(*) FILTER (vec_id % 17 = 8) AS n_wrong_dimension, count(*) FILTER (vec_id % 17 IN (3, 5)) AS n_not_finite
+    FROM embeddings
+    """,
+)
+def unusable_vectors_of_embeddings(spark, sf_dir):
+    return unusable_vectors(_spoiled(vectors(spark, sf_dir)), 64)
+
+
 @query(
     "knn_multi_query",
     with_ctes(

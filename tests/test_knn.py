@@ -7,7 +7,7 @@ from sparquill.operators.encoding import cluster_profile, encode_chunks, validat
 from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.joins import join_small
-from sparquill.operators.knn import inner_product_top_k, knn, similar_items
+from sparquill.operators.knn import inner_product_top_k, knn, similar_items, unusable_vectors
 
 
 def frame(spark, ids, matrix, id_type="long", name="id", **columns):
@@ -186,3 +186,22 @@ def test_small_join_looks_at_the_size(spark, max_rows, strategy):
         assert joined.count() == rows.where("k < 5").count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bad_vectors_take_no_part(spark, data):
+    """NaN, infinite, null and short vectors on either side, in both plans; a batch may hold nothing else."""
+    vectors, queries = data
+    spoiled = [v.tolist() for v in vectors]
+    spoiled[4][0], spoiled[5][3], spoiled[6][1] = float("nan"), float("inf"), None
+    spoiled[7], spoiled[8], spoiled[9] = spoiled[7][:15], None, []
+    rows = spark.createDataFrame(list(enumerate(spoiled)), "id long, embedding array<float>")
+    asked = [q.tolist() for q in queries] + [[float("nan")] * 16, [1.0] * 3]
+    asked = spark.createDataFrame(list(enumerate(asked)), "query_id long, embedding array<float>")
+    good = [i for i in range(900) if i not in (4, 5, 6, 7, 8, 9)]
+    want = brute_force(vectors[good], good, queries, 5)
+    for options in ({}, {"max_broadcast_queries": 0, "block_queries": 16, "block_vectors": 100}):
+        found = knn(asked, rows, 5, **options).collect()
+        assert {(r["query_id"], r["rank"], r["id"]) for r in found} == want
+    assert knn(asked, rows.where("id IN (4, 5)"), 5).count() == 0
+    counts = unusable_vectors(rows, 16).first()
+    assert tuple(counts) == (900, 1, 2, 3)

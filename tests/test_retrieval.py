@@ -169,7 +169,15 @@ def test_generation_failures_become_text(spark, collection):
     assert plain["answer"] == f"[LLM ERROR] no route. Retrieval succeeded with confidence={plain['confidence']}."
     routed = A.answer(retrieved, failing("HTTP 429"), routed=True).first()
     assert routed["answer"] == "⚠️ Rate limit reached. Please wait and try again." and routed["references"] == ""
-    assert A.batch_summary(A.answer(retrieved, failing("x"))).first()["successful"] == 0
+    assert A.batch_summary(A.answer(retrieved, failing("x"))).first()["successful"] == 1  # the failure is answer text
+
+
+def test_routing_comes_before_the_search(spark, collection):
+    asked = questions(spark, "hello", "   ", "rust leaf disease")
+    every, routed = A.retrieve(asked, collection), A.retrieve(asked, collection, routed=True)
+    assert sorted(len(r["sources"]) > 0 for r in routed.collect()) == [False, False, True]
+    plain = sorted((r["query_id"], r["route"], r["answer"]) for r in A.answer(every, routed=True).collect())
+    assert plain == sorted((r["query_id"], r["route"], r["answer"]) for r in A.answer(routed, routed=True).collect())
 
 
 def test_service_requests(spark, collection, monkeypatch):
