@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparquill import vocab
@@ -11,6 +13,8 @@ from sparquill.operators.chunking import chunk_documents
 from sparquill.plans import ingest as I
 from sparquill.queries.inputs import PAPERS_SQL, PATHS_SQL, YEAR_SQL, papers, paper_path, spread, table, with_ctes
 from sparquill.queries.registry import literal, query
+from sparquill.session import ensure_checkpoint_dir
+from sparquill.sources import chunk_files
 from sparquill.sources import documents as D
 from sparquill.sources.collections import total_size
 
@@ -519,10 +523,7 @@ def _shouting_ocr():
     return lambda content, number: f"OCR TEXT OF PAGE {number}"
 
 
-@query(
-    "extract_pages",
-    with_ctes(
-        """page_rows AS (
+_READ_PAGES_SQL = """read_pages AS (
           SELECT doc_id, unnest(range(1, len(cut) + 1)) AS n, unnest(cut) AS line
           FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.4 ' ELSE '' END || text, chr(10)) AS cut,
                        length(CASE WHEN doc_id % 3 = 0 THEN '%PDF-1.4 ' ELSE '' END || text) AS n_chars FROM documents)
@@ -530,12 +531,18 @@ def _shouting_ocr():
         kept AS (
           SELECT doc_id, n, length(trim(line)) < 50 AS by_ocr,
                  CASE WHEN length(trim(line)) < 50 THEN 'OCR TEXT OF PAGE ' || n ELSE line END AS body
-          FROM page_rows WHERE NOT contains(line, '|'))""",
+          FROM read_pages WHERE NOT contains(line, '|'))"""
+
+
+@query(
+    "extract_pages",
+    with_ctes(
+        _READ_PAGES_SQL,
         select="""
         SELECT d.doc_id, coalesce(p.n_pages, 0)::INT AS n_pages, coalesce(k.ocr_used, 0)::INT AS ocr_used,
                CASE WHEN p.n_pages IS NULL THEN 'not a document' END AS error, coalesce(k.marked, '') AS marked
         FROM documents d
-        LEFT JOIN (SELECT doc_id, count(*) AS n_pages FROM page_rows GROUP BY doc_id) p USING (doc_id)
+        LEFT JOIN (SELECT doc_id, count(*) AS n_pages FROM read_pages GROUP BY doc_id) p USING (doc_id)
         LEFT JOIN (SELECT doc_id, count_if(by_ocr) AS ocr_used,
                           string_agg('[PAGE ' || n || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY n) AS marked
                    FROM kept GROUP BY doc_id) k USING (doc_id)""",
@@ -547,3 +554,74 @@ def extract_pages(spark, sf_dir):
     return found.select(
         "doc_id", "x.n_pages", "x.ocr_used", "x.error", F.coalesce(T.mark_pages(F.col("x.pages")), F.lit("")).alias("marked")
     )
+
+
+# one row per file: its own pages, and the marked text of those that could be read
+_READ_FILES_SQL = """
+read_files AS (
+  SELECT d.doc_id, coalesce(p.n_pages, 0)::INT AS n_pages, p.n_pages IS NULL AS unreadable, coalesce(k.ocr_used, 0) AS ocr_used
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, count(*) AS n_pages FROM read_pages GROUP BY doc_id) p USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count_if(by_ocr) AS ocr_used FROM kept GROUP BY doc_id) k USING (doc_id)),
+marked AS (
+  SELECT doc_id, string_agg('[PAGE ' || n || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY n) AS text
+  FROM kept GROUP BY doc_id)
+"""
+
+
+def _processed(spark, sf_dir):
+    files = spread(_files(spark, sf_dir))
+    found = files.select("path", D.extract_pages(F.col("content"), _line_reader, _shouting_ocr).alias("x"))
+    return I.process(found.select("path", "x.*"))
+
+
+@query(
+    "ingest_run",
+    with_ctes(
+        _READ_PAGES_SQL,
+        _READ_FILES_SQL,
+        PAGES_SQL,
+        BLOCKS_SQL,
+        STEPS_SQL,
+        _fold_sql(vocab.CHUNK_SIZE, vocab.CHUNK_OVERLAP),
+        select="""
+        SELECT *, round_even(total_chunks / greatest(successful, 1), 1) AS chunks_per_pdf FROM (
+          SELECT sum(ocr_used)::BIGINT AS ocr_used, count(*) AS total_pdfs, count_if(n > 0)::BIGINT AS successful, count_if(n = 0)::BIGINT AS failed,
+                 sum(n_pages)::BIGINT AS total_pages, sum(n)::BIGINT AS total_chunks
+          FROM (SELECT f.*, coalesce(c.n, 0) AS n FROM read_files f
+                LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id)))""",
+        recursive=True,
+    ),
+)
+def ingest_run(spark, sf_dir):
+    """Statistics of a run with blank pages, unreadable pages and unreadable files, from one fold."""
+    return I.statistics(_processed(spark, sf_dir))
+
+
+@query(
+    "ingest_errors",
+    with_ctes(PATHS_SQL, _READ_PAGES_SQL, select="""
+        SELECT path AS file, 'not a document' AS error FROM paths WHERE doc_id NOT IN (SELECT doc_id FROM read_pages)"""),
+)
+def ingest_errors(spark, sf_dir):
+    return I.errors_of(_processed(spark, sf_dir))
+
+
+@query(
+    "chunk_file_roundtrip",
+    """
+    SELECT text, 'd' || doc_id AS source_file, lang AS year_range, (doc_id % 1000)::INT AS chunk_id, 1 AS page_number,
+           n_chars::INT AS token_count, source AS section FROM documents
+    """,
+)
+def chunk_file_roundtrip(spark, sf_dir):
+    """All documents as chunk records, written with the defaults and read with the defaults."""
+    d = F.col("doc_id")
+    chunks = table(spark, sf_dir, "documents").select(
+        "text", F.concat(F.lit("d"), d.cast("string")).alias("source_file"), F.col("lang").alias("year_range"),
+        (d % 1000).cast("int").alias("chunk_id"), F.lit(1).alias("page_number"),
+        F.col("n_chars").cast("int").alias("token_count"), F.col("source").alias("section"),
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/chunk-files-{uuid.uuid4()}"
+    chunk_files.write_chunks(spread(chunks), path)
+    return chunk_files.read_chunks(spark, path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparquill.functions import vectors as V
 from sparquill.functions.text import preview, round_half_even
 from sparquill.operators import encoding as E
 from sparquill.operators import metadata as M
-from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.joins import join_small
 from sparquill.operators.knn import inner_product_top_k, knn, similar_items, unusable_vectors
@@ -18,7 +19,8 @@ from sparquill.queries.inputs import (
 )
 from sparquill.queries.registry import query
 from sparquill.functions import text as T
-from sparquill.sources.collections import append_rows, number_rows
+from sparquill.session import ensure_checkpoint_dir
+from sparquill.sources.collections import Collections, append_rows, number_rows
 
 _NEAREST = "SELECT query_id, rank, id, distance FROM nearest"
 
@@ -267,6 +269,33 @@ def align_vectors_metadata(spark, sf_dir):
     )
 
 
+def _stored_shelf(spark, sf_dir):
+    """A collection of all documents, inserted in one go under ids in (source, chunk, document) order."""
+    store = Collections(spark, f"{ensure_checkpoint_dir(spark)}/collections-{uuid.uuid4()}")
+    store.create("shelf", "none", partition_by="year_range")
+    rows = shelf_rows(spark, sf_dir).withColumnRenamed("id", "shelf_id")
+    store.add("shelf", rows, "source_file", "chunk_id", "shelf_id")
+    return store
+
+
+@query(
+    "stored_collection",
+    """
+    SELECT 'chunk_' || (row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1) AS id, doc_id, text AS document, lang AS year_range
+    FROM documents
+    """,
+)
+def stored_collection(spark, sf_dir):
+    """All documents in two inserts, one of them run twice under its key, compacted and opened again."""
+    store = Collections(spark, f"{ensure_checkpoint_dir(spark)}/collections-{uuid.uuid4()}")
+    store.create("papers", "none", partition_by="year_range")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"), F.col("lang").alias("year_range"))
+    for half in (0, 1, 1):
+        store.add("papers", rows.where(F.col("doc_id") % 2 == half), "doc_id", key=f"half-{half}")
+    store.compact("papers")
+    return store.open("papers").select("id", "doc_id", "document", "year_range")
+
+
 @query(
     "get_by_id",
     with_ctes(
@@ -276,10 +305,12 @@ def align_vectors_metadata(spark, sf_dir):
     ),
 )
 def get_by_id(spark, sf_dir):
-    wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return shelf_rows(spark, sf_dir).join(wanted, "id", "left_semi").select(
-        "id", "document", "source_file", "year_range", "page_number"
-    )
+    """A stored collection, asked for a table of ids."""
+    store = _stored_shelf(spark, sf_dir)
+    wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("shelf_id"))
+    ids = store.open("shelf").select("id", "shelf_id").join(wanted, "shelf_id", "left_semi")
+    found = store.get("shelf", ids=ids.select("id"))
+    return found.select(F.col("shelf_id").alias("id"), "document", "source_file", "year_range", "page_number")
 
 
 @query(
@@ -290,8 +321,8 @@ def get_by_id(spark, sf_dir):
     ),
 )
 def get_where(spark, sf_dir):
-    condition = where_to_column({"year_range": "2007-2026", "page_number": 5})
-    return shelf_rows(spark, sf_dir).where(condition).select("id", preview(F.col("document")).alias("preview"))
+    found = _stored_shelf(spark, sf_dir).get("shelf", where={"year_range": "2007-2026", "page_number": 5})
+    return found.select(F.col("shelf_id").alias("id"), preview(F.col("document")).alias("preview"))
 
 
 @query(
