@@ -35,6 +35,9 @@ HEADLINE = [
     "eval_overall",
     "year_distribution",
     "append_collection",
+    "stored_collection",
+    "get_by_id",
+    "ingest_run",
 ]
 
 

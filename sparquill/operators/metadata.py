@@ -46,7 +46,10 @@ def count_check(rows: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def align(vectors: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
-    """Pair vectors with their metadata by key; rows without a partner are left out."""
+    """Pair vectors with their metadata by key; an error if a row on either side has no partner."""
+    counts = alignment_report(vectors, metadata, key).first()
+    if not counts["matches"]:
+        raise ValueError(f"{counts['n_vectors']} vectors and {counts['n_metadata']} metadata rows, {counts['n_aligned']} aligned")
     return vectors.join(metadata, key, "inner")
 
 

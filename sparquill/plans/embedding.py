@@ -43,5 +43,9 @@ def embed(
 
 def profile(vectors: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
     """``(cluster, n_chunks, n_years)`` of a k-means clustering."""
-    pairs = E.cluster_profile(vectors, k, seed)
+    return summarise_clusters(E.cluster_profile(vectors, k, seed))
+
+
+def summarise_clusters(pairs: DataFrame) -> DataFrame:
+    """``(cluster, n_chunks, n_years)`` of one row per cluster and year."""
     return pairs.groupBy("cluster").agg(F.sum("n_chunks").alias("n_chunks"), F.count(F.lit(1)).alias("n_years"))

@@ -148,17 +148,14 @@ def query_expansion(spark, sf_dir):
     with_ctes(
         "asked AS (SELECT doc_id AS query_id, text || ' trust in tepary bean yield' AS question FROM documents)",
         EXPANDED_SQL,
-        select="SELECT query_id, length(expanded)::INT AS n_chars, right(expanded, 120) AS ending FROM expanded",
+        select="SELECT query_id, expanded FROM expanded",
     ),
 )
 def query_expansion_documents(spark, sf_dir):
     asked_of = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" trust in tepary bean yield")).alias("question")
     )
-    expanded = F.col("expanded")
-    return R.expand_queries(asked_of).select(
-        "query_id", F.length(expanded).alias("n_chars"), F.right(expanded, F.lit(120)).alias("ending")
-    )
+    return R.expand_queries(asked_of).select("query_id", "expanded")
 
 
 @query(

@@ -221,15 +221,19 @@ def eval_outcomes(spark, sf_dir):
     "confidence_distribution",
     with_ctes(
         _ANSWERED_SQL,
-        # no answer here is labelled SUPPORTED: its count must still appear, as zero
+        # SUPPORTED is relabelled, so that one label has no answer: its count must still appear, as zero
         "labels_all AS (SELECT unnest([" + ", ".join(literal(c) for c in vocab.CONFIDENCE_LABELS) + "]) AS confidence)",
         select="""
         SELECT l.confidence, count(a.doc_id) AS n_answers
-        FROM labels_all l LEFT JOIN (SELECT * FROM answered WHERE confidence <> 'SUPPORTED') a USING (confidence) GROUP BY l.confidence""",
+        FROM labels_all l LEFT JOIN (
+          SELECT doc_id, CASE confidence WHEN 'SUPPORTED' THEN 'INFERRED' ELSE confidence END AS confidence FROM answered) a
+        USING (confidence) GROUP BY l.confidence""",
     ),
 )
 def confidence_distribution(spark, sf_dir):
-    return V.confidence_distribution(answered(spark, sf_dir).where(F.col("confidence") != "SUPPORTED"))
+    label = F.col("confidence")
+    relabelled = F.when(label == "SUPPORTED", "INFERRED").otherwise(label)
+    return V.confidence_distribution(answered(spark, sf_dir).withColumn("confidence", relabelled))
 
 
 @query(

@@ -17,9 +17,10 @@ from sparquill.queries.inputs import (
     ASKED_SQL, DIMENSION, PATHS_SQL, PROBES_SQL, SHELF_SQL, VECTORS_SQL, YEAR_SQL, asked, encode_sql, knn_sql,
     chain_sql, paper_path, probes, shelf, shelf_rows, spread, table, vectors, with_ctes,
 )
+from sparquill.plans.embedding import summarise_clusters
 from sparquill.queries.registry import query
 from sparquill.functions import text as T
-from sparquill.session import ensure_checkpoint_dir
+from sparquill.session import checkpointed, ensure_checkpoint_dir
 from sparquill.sources.collections import Collections, append_rows, number_rows
 
 _NEAREST = "SELECT query_id, rank, id, distance FROM nearest"
@@ -220,14 +221,14 @@ def embedding_validation(spark, sf_dir):
 @query(
     "embedding_index",
     """
-    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS embedding_index FROM documents WHERE n_chars >= 100
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS embedding_index FROM documents WHERE doc_id % 7 <> 3
     """,
 )
 def embedding_index(spark, sf_dir):
-    # texts under 100 characters are treated as missing here, so that some are
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") >= 100, F.col("text")).alias("text"))
-    present = rows.where(F.col("text").isNotNull()).select("doc_id")
-    return dense_index(present, "doc_id", name="embedding_index")
+    """Numbers of the vectors of all documents; every seventh text is missing and gets none."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"))
+    encoded = checkpointed(E.encode_chunks(rows).select("doc_id"))
+    return dense_index(encoded, "doc_id", name="embedding_index")
 
 
 @query(
@@ -243,6 +244,18 @@ def hash_encode(spark, sf_dir):
     return parts.select("id", "bucket", round_half_even(F.col("w"), 5).alias("component"))
 
 
+@query(
+    "cluster_summary",
+    """
+    SELECT label AS cluster, count(*) AS n_chunks, count(DISTINCT label < 5) AS n_years FROM embeddings GROUP BY label
+    """,
+)
+def cluster_summary(spark, sf_dir):
+    """Size and years of clusters that are given, by the summary that a k-means profile ends with."""
+    pairs = vectors(spark, sf_dir).groupBy(F.col("label").alias("cluster"), "year_range").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return summarise_clusters(pairs)
+
+
 @query("kmeans_profile")
 def kmeans_profile(spark, sf_dir):
     return E.cluster_profile(vectors(spark, sf_dir))

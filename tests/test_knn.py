@@ -172,7 +172,9 @@ def test_metadata(spark):
     assert [r[0] for r in M.distinct_years(df).collect()] == ["1999", "2001", "unknown"]
     left = spark.createDataFrame([(1,), (2,)], "id int")
     assert tuple(M.alignment_report(left, left.where("id = 1"), "id").first()) == (2, 1, 1, False)
-    assert M.align(left, left.where("id = 1").withColumn("m", F.lit(0)), "id").count() == 1
+    assert M.align(left, left.withColumn("m", F.lit(0)).select("id", "m"), "id").count() == 2
+    with pytest.raises(ValueError):
+        M.align(left, left.where("id = 1").select("id"), "id")
 
 
 @pytest.mark.parametrize("max_rows,strategy", [(10, "BroadcastHashJoin"), (2, "SortMergeJoin")])
