@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from sparquill.operators import prompting as P
 from sparquill.operators import retrieval as R
 from sparquill.operators.encoding import Encoder, encode_chunks
 from sparquill.operators.knn import knn
+from sparquill.sources.chunk_files import write_run_metadata
 
 METADATA = ("document", "source_file", "year_range", "page_number", "section")
 
@@ -78,9 +80,13 @@ def answer(
     n_candidates: int = vocab.N_CANDIDATES,
     top_k: int = vocab.TOP_K,
     routed: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Answer records.  A failed generation becomes answer text, never a failed job.
 
+    ``tasks`` spreads the calls of the generator: questions are small rows, which adaptive execution
+    otherwise gathers in few tasks.
+
     ``routed`` adds the front-end behaviour: blank questions, greetings and questions
     out of scope get their fixed reply, and the generator is not called for them.
     """
@@ -89,6 +95,8 @@ def answer(
     prepared = retrieved.withColumn("route", route).withColumn(
         "prompt", F.when(F.col("route") == "answer", P.build_prompt(question, sources, confidence))
     )
+    if tasks is not None:
+        prepared = prepared.repartition(tasks, "query_id")
     generated = prepared.withColumn(
         "_g", generator(F.col("prompt"), P.build_messages(question, sources, confidence), sources)
     )
@@ -150,9 +158,16 @@ def batch_summary(answers: DataFrame) -> DataFrame:
     )
 
 
-def write_answers(answers: DataFrame, path: str) -> None:
-    """``results`` and ``summary`` as JSON below ``path``; the summary reads the results."""
+def write_answers(answers: DataFrame, path: str, configuration: dict[str, Any] | None = None) -> None:
+    """``results``, ``summary`` and ``run`` as JSON below ``path``; the summary reads the results.
+
+    ``run`` has the summary, the seconds that answering took, and the settings given in ``configuration``.
+    """
     root = path.rstrip("/")
+    began = time.monotonic()
     answers.write.mode("overwrite").json(f"{root}/results")
+    seconds = round(time.monotonic() - began, 2)
     stored = answers.sparkSession.read.schema(answers.schema).json(f"{root}/results")
-    batch_summary(stored).write.mode("overwrite").json(f"{root}/summary")
+    summary = batch_summary(stored)
+    summary.write.mode("overwrite").json(f"{root}/summary")
+    write_run_metadata(summary, f"{root}/run", {**(configuration or {}), "seconds": seconds})

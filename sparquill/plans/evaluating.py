@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from sparquill.functions import text as T
 from sparquill.operators import evaluation as V
 from sparquill.operators import prompting as P
 from sparquill.plans import answering as A
+from sparquill.sources.chunk_files import write_run_metadata
 
 
 def benchmark(spark: SparkSession, categories: list[str] | None = None) -> DataFrame:
@@ -43,15 +45,18 @@ def evaluate(
     return score(items, A.answer(retrieved, generator, n_candidates=n_candidates, top_k=top_k))
 
 
-def write_report(scored: DataFrame, path: str) -> None:
-    """``results``, ``summary``, ``by_category`` and ``confidence`` as JSON below ``path``.
+def write_report(scored: DataFrame, path: str, configuration: dict[str, Any] | None = None) -> None:
+    """``results``, ``summary``, ``by_category``, ``confidence`` and ``run`` as JSON below ``path``.
 
     The results are written first and summed up from there, so that questions are only
-    answered once.
+    answered once.  ``run`` has the summary, the seconds that took, and the settings given in ``configuration``.
     """
     spark, root = scored.sparkSession, path.rstrip("/")
+    began = time.monotonic()
     scored.write.mode("overwrite").json(f"{root}/results")
+    seconds = round(time.monotonic() - began, 2)
     results = spark.read.schema(scored.schema).json(f"{root}/results")
     V.overall(results).write.mode("overwrite").json(f"{root}/summary")
+    write_run_metadata(V.overall(results), f"{root}/run", {**(configuration or {}), "seconds": seconds})
     V.by_category(results).write.mode("overwrite").json(f"{root}/by_category")
     V.confidence_distribution(results.where(V.succeeded())).write.mode("overwrite").json(f"{root}/confidence")

@@ -223,7 +223,10 @@ def test_question_sources(spark, tmp_path):
 
 
 def test_written_answers(spark, collection, tmp_path):
-    A.write_answers(A.answer(A.retrieve(A.default_questions(spark), collection)), str(tmp_path))
+    answers = A.answer(A.retrieve(A.default_questions(spark), collection), tasks=3)
+    A.write_answers(answers, str(tmp_path), {"model": "extractive", "top_k": 6})
+    run = spark.read.json(f"{tmp_path}/run").first()
+    assert run["configuration"]["top_k"] == 6 and run["configuration"]["seconds"] > 0 and run["statistics"]["total_questions"] == 12
     assert spark.read.json(f"{tmp_path}/summary").first()["total_questions"] == 12
     assert spark.read.json(f"{tmp_path}/results").count() == 12
 

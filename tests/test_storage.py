@@ -66,7 +66,7 @@ def test_audit(spark, corpus):
     assert documents.sample_names(files, 1).where(F.col("folder").endswith("/2007-2026")).first()["name"] == "bad.pdf"
 
 
-def test_extraction_and_ingest(spark, corpus):
+def test_extraction_and_ingest(spark, corpus, tmp_path):
     extracted = documents.extract(documents.find_files(spark, corpus), form_feed_reader).cache()
     rows = {os.path.basename(r["path"]): r for r in extracted.collect()}
     assert rows["bad.pdf"]["error"] == "not a PDF" and rows["bad.pdf"]["pages"] is None
@@ -77,6 +77,13 @@ def test_extraction_and_ingest(spark, corpus):
     assert (a0["text"], a0["section"], a0["year_range"]) == ("First page text is here.", "abstract", "1961-2006")
     assert a1["text"] == "x | y" and a1["section"] == "results" and a2["text"] == "Second page."
     assert got["10.1000_b.PDF", 0]["page_number"] == 3 and got["linked.pdf", 0]["year_range"] == "unknown"
+    files = ingest.write_run(ingest.process(extracted), str(tmp_path / "run"), {"chunk_size": 512})
+    assert spark.read.json(str(tmp_path / "run/run")).first()["configuration"]["chunk_size"] == 512
+    assert spark.read.json(str(tmp_path / "run/chunks")).count() == 5 and spark.read.json(str(tmp_path / "run/errors")).count() == 1
+    assert sorted(map(tuple, ingest.chunks_of(files).collect())) == sorted(map(tuple, chunks.collect()))
+    assert [os.path.basename(r["file"]) for r in ingest.errors_of(files).collect()] == ["bad.pdf"]
+    run = ingest.statistics(files).first()
+    assert (run["total_pdfs"], run["successful"], run["failed"], run["total_chunks"], run["total_pages"]) == (5, 3, 2, 5, 7)
     texts = extracted.select("path", documents.T.mark_pages(F.col("pages")).alias("text"))
     stats = ingest.statistics(ingest.outcomes(texts)).first()
     assert (stats["total_pdfs"], stats["successful"], stats["failed"], stats["total_chunks"]) == (5, 3, 2, 5)
@@ -123,6 +130,10 @@ def test_chunk_files(spark, chunks, tmp_path):
 def test_embedding_run(spark, chunks, tmp_path):
     passed, report = embedding.embed(chunks, str(tmp_path / "e"))
     assert passed and report["n_vectors"] == 9 and report["is_normalised"]
+    run = spark.read.json(str(tmp_path / "e/run")).first()
+    assert run["statistics"]["n_vectors"] == 9 and run["configuration"]["model"] == "feature-hashing"
+    assert run["configuration"]["chunks_per_second"] > 0
+    assert embedding.embed(chunks, str(tmp_path / "e"))[0]  # again, over the earlier ones
     stored = spark.read.parquet(str(tmp_path / "e/vectors"))
     assert [r[0] for r in stored.select("embedding_index").orderBy("source_file", "chunk_id").collect()] == list(range(9))
 
