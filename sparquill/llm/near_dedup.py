@@ -238,12 +238,12 @@ def _bridges(groups: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFr
     sizes = groups.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
     main = F.max(F.struct("size", "component", "words")).alias("main")
     mixed_groups = sizes.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.sum("words").alias("words"), main).filter("parts > 1")
-    cut = mixed_groups.select(
+    cut = checkpointed(mixed_groups.select(  # stored, so that adaptive execution can split what it meets
         "leader",
         F.col("main.component").alias("main"),
         F.ceil(F.col("words") / CELL).alias("columns"),
         F.ceil((F.col("words") - F.col("main.words")) / CELL).alias("lines"),
-    )
+    ))
     rows = groups.join(cut, "leader").withColumn("stray", F.col("component") != F.col("main"))
     # every class is in one column, every stray also in one line; a cell compares its strays with its column
     rows = rows.withColumn("column", F.pmod(F.xxhash64("class_id"), "columns")).withColumn("line", F.pmod(F.xxhash64("class_id"), "lines"))
