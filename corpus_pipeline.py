@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,7 +20,7 @@ from sparquill.llm.near_dedup import drop_near_copies  # noqa: E402
 from sparquill.llm.packing import pack, packed_texts  # noqa: E402
 from sparquill.llm.source_mix import mixed_documents  # noqa: E402
 from sparquill.llm.toxicity import fit, score  # noqa: E402
-from sparquill.session import written  # noqa: E402
+from sparquill.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet in the shared folder and read again."""
+    """All stages in order; each result is written as Parquet in the shared folder and read again.
+
+    A result is deleted once its successor is written; the input of the last stage stays, as the returned rows come from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    root = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
+        before = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{k - 1}")
+        before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return STAGES[-1][1](spark, docs, sf_dir)

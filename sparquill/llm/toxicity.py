@@ -69,6 +69,17 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(grams) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def _grams_by_word(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words, one word after the other, and their number for each word."""
+    buckets, counts = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)]
+    for at in range(0, len(words), step):
+        part = words[at : at + step]
+        owner, bucket = subwords(part)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(buckets), np.concatenate(counts)
+
+
 @dataclass
 class Model:
     """The n-gram vectors projected on the softmax direction; that is all that scoring needs."""
@@ -79,9 +90,10 @@ class Model:
     shift: float = 0.0
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        owner, bucket = subwords(words)
-        counts = np.bincount(owner, minlength=len(words))
-        return np.bincount(owner, weights=self.weights[bucket], minlength=len(words)) / np.maximum(counts, 1)
+        if not words:
+            return np.empty(0)
+        bucket, counts = _grams_by_word(words)
+        return np.add.reduceat(self.weights[bucket].astype(np.float64), np.cumsum(counts) - counts) / counts
 
     def logits(self, texts: list[list[str]], cache: dict[str, float]) -> np.ndarray:
         """The highest window of each tokenised text; the bias alone for a text without words."""
@@ -126,16 +138,20 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     aside = np.zeros(len(labels), dtype=bool)
     if min(labels.sum(), len(labels) - labels.sum()) >= 40:
         aside[order[::4]] = True
-    tokenised = [words_of(t) for t in texts]
     used = np.flatnonzero(~aside)
 
+    # words as numbers, text by text: the strings of all texts at once would be most of the driver's memory
     vocabulary: dict[str, int] = {}
-    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for i in used for w in tokenised[i]), dtype=np.int64)
-    owner, bucket = subwords(list(vocabulary))
-    by_word = np.argsort(owner, kind="stable")
-    bucket, counts = bucket[by_word], np.bincount(owner, minlength=len(vocabulary))
+    numbered = [
+        np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(texts[i])), dtype=np.int32) for i in used
+    ]
+    lengths = np.array([len(n) for n in numbered])
+    ids = np.concatenate(numbered) if numbered else np.empty(0, dtype=np.int32)
+    del numbered
+    known = list(vocabulary)
+    del vocabulary
+    bucket, counts = _grams_by_word(known)
     first_gram = np.cumsum(counts) - counts
-    lengths = np.array([len(tokenised[i]) for i in used])
     starts, text_of = windows(lengths)
     sizes = np.diff(np.append(starts, len(ids)))
     truth = labels[used][text_of]
@@ -176,8 +192,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         bias += np.array([shift, -shift])
 
     def all_logits() -> np.ndarray:
-        value = vectors @ (softmax[:, 1] - softmax[:, 0])
-        word_value = np.bincount(owner[by_word], weights=value[bucket], minlength=len(vocabulary)) / counts
+        value = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
+        word_value = np.add.reduceat(value[bucket], first_gram) / counts
         return np.add.reduceat(word_value[ids], starts) / np.maximum(sizes, SHORTEST) + bias[1] - bias[0]
 
     def epoch(chosen: np.ndarray, rate: float):
@@ -203,7 +219,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
 
     model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     rest = np.flatnonzero(aside) if aside.any() else used
-    logits = model.logits([tokenised[i] for i in rest], {})
+    cache: dict[str, float] = {}
+    parts = [model.logits([words_of(texts[i]) for i in part], cache) for part in np.array_split(rest, len(rest) // 100 + 1)]
+    logits = np.concatenate(parts)
     model.scale, model.shift = calibrate(logits, labels[rest], prior)
     return model
 
