@@ -23,7 +23,7 @@ def test_query(spark, con, name):
     problems, n = differences(df, con, sql)
     assert not problems, problems
     assert not types_of(df, con, sql)
-    assert n > 0 or name in ("source_contains",)
+    assert n > 0 or name in ("source_contains", "ingest_errors")  # nothing to find at this scale
 
 
 def test_entry(spark):
