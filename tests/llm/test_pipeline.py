@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline as C
-from sparquill.llm.common import ORACLES, QUERIES
+from sparquill.llm.queries import ORACLES, QUERIES
 from tests.llm.helpers import brute_components, documents, prose, rows
 from tests.llm.test_dedup import _brute_lines
 from tests.llm.test_models import INSULTS
