@@ -1,15 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots, each an equal block of words.  Slot ``i`` takes the
+The mix is a sequence of slots.  Slot ``i`` takes the
 point ``frac(i * golden ratio)``, which the cumulative target weights map to a source, so that every stretch of
-the mix has nearly the right proportions.  The k-th slot of a source takes the k-th
-block of its documents, which stand in a reproducible random order and are cut into blocks of
-equal length; after the last block the order starts again.
+the mix has nearly the right proportions.  A source too small for that gets slots of its own, evenly spread over the same sequence.
+The words up to a source's target are cut evenly into as many blocks as it has slots, so every source gives exactly its target
+in whole words, whatever its share.  The k-th slot of a source takes the k-th
+block of its documents, which stand in a reproducible random order; after the last document the order starts again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from sparquill.session import checkpointed
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEATS = 2
-# A block is this part of the smallest target, but the schedule has no more than about MAX_SLOTS slots.
+# A block is this part of the smallest target, but the points give no more than about MAX_SLOTS slots.  Sources with a target of
+# fewer blocks than this have so many slots (or one for each word) of their own.
 BLOCKS_PER_SOURCE = 256
 MAX_SLOTS = 1 << 20
 GOLDEN = 0.6180339887498949  # fractional part of the golden ratio
@@ -53,26 +55,54 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
 
 
 def schedule(spark: SparkSession, bounds: list[float], words: list[int], block: int, n_slots: int) -> DataFrame:
-    """The slots (slot, source_no, rank, n_words) for the cumulative shares ``bounds`` of the sources.
+    """The slots (slot, source_no, rank, n_blocks, n_words) for the cumulative shares ``bounds`` of the sources.
 
-    ``rank`` counts the slots of a source.  A source gives no more than ``words``: its last block may be shorter.
+    ``rank`` counts the ``n_blocks`` slots of a source, which together have exactly its ``words``.  The points draw the slots of
+    sources with at least ``BLOCKS_PER_SOURCE`` blocks; a smaller one has its own, which may lie beside one of another source.
     """
+    small = [(s, n, min(n, BLOCKS_PER_SOURCE)) for s, n in enumerate(words) if 0 < n < BLOCKS_PER_SOURCE * block]
+    sizes = spark.createDataFrame(list(enumerate(words)), "source_no int, words long")
     point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
     source = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[:-1]]), lambda b: b <= F.col("point"))) if len(bounds) > 1 else F.lit(0)
-    turn = W.partitionBy("source_no").orderBy("slot")
-    limit = F.element_at(F.array(*[F.lit(w) for w in words]), F.col("source_no") + 1)
-    return (
+    drawn = (
         spark.range(n_slots)
         .select((F.col("id") + 1).alias("slot"))
         .withColumn("point", point)
         .withColumn("source_no", source)
-        .withColumn("rank", (F.row_number().over(turn) - 1).cast("long"))
-        .withColumn("n_words", F.least(F.lit(block), limit - F.col("rank") * block).cast("long"))
+        .join(F.broadcast(sizes.filter(F.col("words") >= BLOCKS_PER_SOURCE * block)), "source_no")
+        .select("slot", "source_no", "words")
+    )
+    # the first of a small source's slots differs by source, lest all of them meet in the same ones
+    phase = (F.col("source_no") + 1) * F.lit(GOLDEN)
+    place = (F.col("j") + phase - F.floor(phase)) * n_slots / F.col("n")
+    own = (
+        spark.createDataFrame(small, "source_no int, words long, n int")
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select((F.floor(place) + 1).alias("slot"), "source_no", "words")
+    )
+    turn = W.partitionBy("source_no")
+    return (
+        drawn.unionByName(own)
+        .withColumn("rank", (F.row_number().over(turn.orderBy("slot")) - 1).cast("long"))
+        .withColumn("n_blocks", F.count(F.lit(1)).over(turn))
+        .withColumn("n_words", block_start(F.col("rank") + 1) - block_start(F.col("rank")))
         .filter("n_words > 0")
-        .select("slot", "source_no", "rank", "n_words")
+        .select("slot", "source_no", "rank", "n_blocks", "n_words")
     )
 
 
+def block_start(rank: Column) -> Column:
+    """floor(rank * words / n_blocks), without a product that could leave 64 bits."""
+    whole = F.expr("words div n_blocks")
+    return rank * whole + F.floor(rank * (F.col("words") - whole * F.col("n_blocks")) / F.col("n_blocks")).cast("long")
+
+
+def block_of(word: Column) -> Column:
+    """The block that holds a word, counted from 0: the largest rank whose start is not behind it."""
+    many = (word + 1).cast("decimal(19,0)") * F.col("n_blocks").cast("decimal(19,0)") - 1
+    return F.call_function("div", many, F.col("words").cast("decimal(19,0)")).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """The measured rows and the pieces of the mix.
 
@@ -105,22 +135,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for r in plan:
         done += r["target"]
         bounds.append(done / total if total else 1.0)
-    slots = schedule(spark, bounds or [1.0], [int(r["target"]) for r in plan] or [0], block, int(total // block) + 1)
+    words = [int(r["target"]) for r in plan]
+    slots = checkpointed(schedule(spark, bounds or [1.0], words or [0], block, int(total // block) + 1))
+    counts = slots.groupBy("source_no").agg(F.first("n_blocks").alias("n_blocks"), F.sum("n_words").alias("words"))
 
     placed = running_sum(measured.filter("size > 0"), "source_no", "_key", "size", "_start", max(rows.count(), 1))
-    passes = placed.select(
-        "_row", "source_no", "size", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("pass"),
-        (F.col("_start") + F.col("pass") * F.col("source_size")).alias("start"), "target",
-    ).filter("start < target")
-    blocks = passes.select(
-        "*", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("rank")
+    passes = (
+        placed.join(F.broadcast(counts), "source_no")
+        .select(
+            "_row", "source_no", "size", "words", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("pass"),
+            (F.col("_start") + F.col("pass") * F.col("source_size")).alias("start"),
+        )
+        .filter("start < words")
+        .withColumn("end", F.least(F.col("start") + F.col("size"), F.col("words")))
     )
-    low = F.greatest(F.col("start"), F.col("rank") * block)
-    high = F.least(F.col("start") + F.col("size"), F.col("rank") * block + F.col("n_words"))
+    blocks = passes.select("*", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("end") - 1))).alias("rank"))
+    low = F.greatest(F.col("start"), block_start(F.col("rank")))
+    high = F.least(F.col("end"), block_start(F.col("rank") + 1))
     pieces = (
-        blocks.join(slots, ["source_no", "rank"])
-        .select("_row", "slot", "pass", (low - F.col("start")).alias("first_word"), (high - low).alias("n_words"))
+        blocks.withColumn("first_word", low - F.col("start"))
+        .withColumn("n_words", high - low)
         .filter("n_words > 0")
+        .join(slots.select("source_no", "rank", "slot"), ["source_no", "rank"])
+        .select("_row", "slot", "pass", "first_word", "n_words")
     )
     return measured, pieces
 

@@ -112,6 +112,27 @@ def test_schedule_is_even_everywhere(spark):
         assert [part.count(s) for s in range(3)] == pytest.approx([50, 20, 30], abs=3)
 
 
+@pytest.mark.parametrize("slots", [16, 1000, 1 << 20])
+def test_every_source_gets_its_target_however_few_slots(spark, monkeypatch, slots):
+    monkeypatch.setattr(M, "MAX_SLOTS", slots)  # as with an input that many times as large
+    docs = [(i, prose(i, 100), f"s{i % 2}") for i in range(600)] + [(1000 + i, prose(i, 7), "tiny") for i in range(9)]
+    docs.append((2000, "word", "one"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    totals = M.taken_words(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"))
+    found = {r["source"]: r for r in rows(totals)}
+    assert all(r["taken"] == int(r["target"]) for r in found.values()) and found["tiny"]["taken"] > 60 and found["one"]["taken"] > 0
+    assert {r["source"] for r in rows(M.mixed_documents(df))} == {"s0", "s1", "tiny", "one"}
+
+
+def test_small_sources_are_spread_over_the_schedule(spark):
+    slots = rows(M.schedule(spark, [0.4999999, 0.5, 1.0], [5 * 10**8, 600, 5 * 10**8 + 7], 1000, 10**6), "slot")
+    for source, words in enumerate((5 * 10**8, 600, 5 * 10**8 + 7)):
+        assert sum(r["n_words"] for r in slots if r["source_no"] == source) == words
+    small = [r for r in slots if r["source_no"] == 1]
+    quarter = [sum(r["n_words"] for r in small if q * 250_000 < r["slot"] <= (q + 1) * 250_000) for q in range(4)]
+    assert quarter == pytest.approx([150] * 4, abs=3)
+
+
 def test_mixed_documents_and_awkward_tables(spark):
     docs = _many(spark)
     mixed = M.mixed_documents(docs)
