@@ -52,6 +52,7 @@ class ProjectionTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         directions = np.random.default_rng(vectors.shape[1]).normal(size=(vectors.shape[1], PROJECTED))
         self._directions = directions
@@ -75,7 +76,7 @@ class ProjectionTree:
         return (vectors / norms[:, None]) @ self._directions
 
     def search(self, own: int, vector: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the best ``k`` rows found, ties by id; rows with the id ``own`` are left out."""
+        """Ids and cosines of the best ``k`` ids found, each by its best row, ties by id; rows with the id ``own`` are left out."""
         norm = np.sqrt((vector * vector).sum())
         point = self.project(vector[None, :], np.array([norm]))[0]
         gap = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
@@ -90,8 +91,10 @@ class ProjectionTree:
             rows = rows[self.ids[rows] != own]
             found = (self.vectors[rows] * vector).sum(axis=1) / (self.norms[rows] * norm)
             ids, scores = np.concatenate((ids, self.ids[rows])), np.concatenate((scores, found))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
+            best = np.lexsort((ids, -scores))
+            if self.repeats:  # before the cut, or the rows of one id could fill all places
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            ids, scores = ids[best[:k]], scores[best[:k]]
             at, step = at + step, min(step * 2, 16)
         return ids, scores
 
@@ -137,7 +140,8 @@ def nearest(
 
     ``score`` is the cosine in double precision, ties go to the smaller id.  Rows with a null id, and vectors that
     are null, empty, zero or hold null or non-finite components take no part.  Vectors are compared with those of
-    the same length.  A query is not its own neighbour, nor is a row that repeats its id.
+    the same length.  A query is not its own neighbour, nor is a row that repeats its id.  Rows that repeat an id count once, by
+    the nearest of them.
     """
     usable = vectors.filter(_usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = usable.select(
@@ -169,7 +173,8 @@ def nearest(
     for more in found[1:]:
         best = best.unionByName(more)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    distinct = best.dropDuplicates(["query_id", "vec_id"])  # rows that repeat an id count once
+    # an id may repeat under several trees
+    distinct = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

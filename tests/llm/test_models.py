@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparquill.llm import neighbours as A
@@ -120,6 +121,24 @@ def test_copies_tie_by_id_and_query_blocks_agree(spark, monkeypatch):
     assert rows(A.nearest(_vectors(spark, matrix), F.col("vec_id") % 50 == 0), "query_id", "rank") == want
 
 
+@pytest.mark.parametrize("tree_rows", [1 << 17, 200])
+def test_repeated_ids_take_one_place(spark, monkeypatch, tree_rows):
+    monkeypatch.setattr(A, "TREE_ROWS", tree_rows)
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(300, 16))
+    matrix[1] = matrix[0] + 0.01 * matrix[1]  # near the query 0
+    again = matrix[1] + 0.02 * rng.normal(size=(500, 16))  # the same id, with other vectors near the query
+    ids = np.array([*range(300), *[1] * 520])
+    matrix = np.concatenate((matrix, np.repeat(matrix[1:2], 20, axis=0), again))
+    found = rows(A.nearest(_vectors(spark, matrix, ids.tolist()), F.col("vec_id") == 0), "rank")
+    nearest = {}
+    for i, s in _brute(ids, matrix, 0, len(ids)):
+        nearest.setdefault(i, s)  # the best row of each id
+    want = list(nearest.items())[:5]
+    assert [r["vec_id"] for r in found] == [i for i, _ in want]
+    assert [r["score"] for r in found] == pytest.approx([s for _, s in want], abs=1e-12)
+
+
 def test_bad_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     bad = [None, [], [0, 0], [nan, 1], [inf, 1], [None, 1]]
