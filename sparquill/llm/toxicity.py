@@ -2,8 +2,8 @@
 
 A word is the mean of the vectors of its character n-grams (3 to 6, and the whole word), so a misspelling
 shares most of its vector with the word it comes from.  A window of ``WINDOW`` words is the mean of its
-words; a softmax over the window gives its class.  A text scores as its most toxic window, so that one
-insult counts the same in a note and in a book.
+words; a softmax over the window gives its class.  A window begins at every word, so that a phrase counts the same wherever it
+stands.  A text scores as its most toxic window, so that one insult counts the same in a note and in a book.
 
 Training sees document labels only: first every window carries its document's label, then (multiple-instance
 learning) each toxic document is represented by the window that scores highest, each clean one by its
@@ -108,8 +108,8 @@ class Model:
         out = np.full(len(texts), self.bias)
         starts, owner = windows(lengths)
         if len(starts):
-            sizes = np.diff(np.append(starts, len(flat)))
-            scores = np.add.reduceat(values, starts) / np.maximum(sizes, SHORTEST) + self.bias
+            sizes = np.minimum(lengths, WINDOW)[owner]
+            scores = window_sums(values, starts, sizes) / np.maximum(sizes, SHORTEST) + self.bias
             firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             out[owner[firsts]] = np.maximum.reduceat(scores, firsts)
         return out
@@ -119,12 +119,21 @@ class Model:
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start (in the words of all texts) and text of each window."""
-    per_text = -(-lengths // WINDOW)
-    owner = np.repeat(np.arange(len(lengths)), per_text)
-    first = np.cumsum(per_text) - per_text
-    begins = np.cumsum(lengths) - lengths
-    return begins[owner] + (np.arange(len(owner)) - first[owner]) * WINDOW, owner
+    """Start (in the words of all texts) and text of each window: one at every word from which ``WINDOW`` words follow, and one
+    for a text of fewer words."""
+    per_text = np.maximum(lengths - WINDOW + 1, np.minimum(lengths, 1))
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), per_text)
+    before = np.cumsum(lengths - per_text) - (lengths - per_text)  # words of the texts before that begin no window
+    return np.arange(len(owner)) + before[owner], owner
+
+
+def window_sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each window, the same whatever stands around it (differences of a running sum would not be)."""
+    padded = np.append(values, np.zeros(WINDOW, dtype=values.dtype))
+    total = np.zeros(len(starts), dtype=values.dtype)
+    for j in range(WINDOW):
+        total += np.where(j < sizes, padded[starts + j], 0)
+    return total
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
@@ -153,8 +162,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     bucket, counts = _grams_by_word(known)
     first_gram = np.cumsum(counts) - counts
     starts, text_of = windows(lengths)
-    sizes = np.diff(np.append(starts, len(ids)))
-    truth = labels[used][text_of]
+    sizes = np.minimum(lengths, WINDOW).astype(np.int8)[text_of]
+    truth = labels[used].astype(np.int8)[text_of]
 
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2))
@@ -163,7 +172,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
 
     def bags(chosen: np.ndarray):
         """Per n-gram of the chosen windows: window, bucket and weight in the window's mean."""
-        n = sizes[chosen]
+        n = sizes[chosen].astype(np.int64)
         window = np.repeat(np.arange(len(chosen)), n)
         word = ids[np.repeat(starts[chosen] - (np.cumsum(n) - n), n) + np.arange(len(window))]
         grams = counts[word]
@@ -194,7 +203,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     def all_logits() -> np.ndarray:
         value = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
         word_value = np.add.reduceat(value[bucket], first_gram) / counts
-        return np.add.reduceat(word_value[ids], starts) / np.maximum(sizes, SHORTEST) + bias[1] - bias[0]
+        return window_sums(word_value[ids], starts, sizes) / np.maximum(sizes, SHORTEST) + bias[1] - bias[0]
 
     def epoch(chosen: np.ndarray, rate: float):
         chosen = rng.permutation(chosen)
@@ -205,7 +214,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
             step(part, balance[part], rate)
 
     if len(starts):
-        share = 2 * truth.sum() / max(1, len(truth) - truth.sum())  # of the clean windows: two for a toxic one
+        toxic = int(np.count_nonzero(truth))
+        share = 2 * toxic / max(1, len(truth) - toxic)  # of the clean windows: two for a toxic one
         for rate in (0.5, 0.5, 0.3, 0.3, 0.3):
             epoch(np.flatnonzero((truth == 1) | (rng.random(len(truth)) < share)), rate)
         firsts = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))

@@ -68,6 +68,37 @@ def test_toxicity_rows(spark):
     assert T.toxicity(documents(spark, ["a", None]), none).count() == 2
 
 
+def test_a_phrase_scores_the_same_at_every_offset():
+    values = {"you": 1.0, "filthy": 2.0, "lying": 3.0, "dog": 2.0, "word": -1.0}
+    model = T.Model(np.zeros(T.BUCKETS, dtype=np.float32), 0.0)
+    for phrase, want in (("you filthy lying dog", 2.0), ("filthy lying dog", 1.5), ("lying dog", 0.75), ("dog", -0.25)):
+        texts = [["word"] * (8 + n) + phrase.split() + ["word"] * 9 for n in range(4)]
+        assert model.logits(texts, dict(values)).tolist() == [want] * 4
+    assert model.logits([["dog"], [], ["lying", "dog", "you"], ["word"] * 4], dict(values)).tolist() == [1.0, 0.0, 2.0, -1.0]
+    starts, owner = T.windows(np.array([0, 1, 4, 0, 6, 3]))
+    assert starts.tolist() == [0, 1, 5, 6, 7, 11] and owner.tolist() == [1, 2, 4, 4, 4, 5]
+
+
+def test_toxic_phrases_are_found_at_every_offset():
+    r = random.Random(3)
+    phrase = "crawl back under rock".split()
+
+    def text(i, offset, toxic):
+        words = prose(5000 + i, 80).split()
+        for w in phrase:  # each of its words alone is in clean texts too
+            words[r.randrange(40, 80)] = w
+        words[4 * (i % 8) + offset : 4 * (i % 8) + offset + 4] = phrase if toxic else prose(9000 + i, 4).split()
+        return " ".join(words)
+
+    values = [text(i, i % 4, i % 3 == 0) for i in range(900)]
+    model = T.train(values, np.array([int(i % 3 == 0) for i in range(900)]), 1 / 3)
+    held = [[text(2000 + 50 * o + i, o, True) for i in range(50)] for o in range(4)]
+    found = [(model.probability(model.logits([T.words_of(t) for t in part], {})) >= 0.5).mean() for part in held]
+    assert min(found) > 0.9
+    clean = [text(3000 + i, i % 4, False) for i in range(100)]
+    assert (model.probability(model.logits([T.words_of(t) for t in clean], {})) >= 0.5).mean() < 0.1
+
+
 def test_held_out_labels_are_not_learned(spark):
     values, labels = _labelled(150)
     docs = documents(spark, values)
