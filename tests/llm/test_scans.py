@@ -92,6 +92,41 @@ def test_literals_flow_into_names():
     assert _literals("the password: see below, the token = none") == []
 
 
+def test_forms_of_assignment():
+    v = "s3cr3tVal9x"
+    for text in (
+        f'config["password"] = "{v}"', f"os.environ['TOKEN'] = '{v}'", f'password: str = "{v}"', f'password: Optional[str] = "{v}"',
+        f'const token: string | null = "{v}";', f"let secret: &'static str = \"{v}\";", f'static SECRET: &str = "{v}";', f'char password[] = "{v}";',
+        f'password = ("{v}")', f'password = (\n    "{v}"\n)', f'password =\n    "{v}"', f'password = \\\n    "{v}"', f'"password":\n  "{v}"',
+        f'm["password"] = (("{v}"))', f'let token: Map<String, List<String>> = "{v}"',
+    ):
+        assert _literals(text) == [v], text
+    assert _literals(f'secret:\n  "{v}": "{v}"\n') == [] and _literals(f'password == "{v}"') == []
+    assert _literals(f'user: str = "{v}"\nstr = "{v}"') == []
+
+
+def test_joined_values_are_scored():
+    assert _literals('password = "s3cr" + "3tVa" + "l9xQ"') == ["s3cr", "3tVa", "l9xQ"]
+    assert _literals('a = "s3cr"\nb = "3tVal9x"\ntoken = a +\n    b') == ["s3cr", "3tVal9x"]
+    assert _literals('password = (\n  "s3cr"\n  "3tVal9x"\n)') == ["s3cr", "3tVal9x"]
+    assert _literals('token = first_prefix9 + session_id4') == ["first_prefix9", "session_id4"]  # as before: each alone
+    assert _literals('token = abc + de1fg + "x1"') == []  # names are no text
+    assert _literals('password = "change" + "me12345"') == []
+    long = " + ".join(f'"{c}{i}"' for i, c in enumerate("abcdefghij" * 20))
+    assert len(_literals(f"password = {long}")) == 200
+    doubled = 'v0 = "q8Zr4T"\n' + "".join(f"v{i + 1} = v{i} + v{i}\n" for i in range(3000)) + "token = v3000"
+    assert _literals(doubled) == ["q8Zr4T"]
+
+
+def test_lexing_is_linear_in_new_forms():
+    import time
+
+    start = time.time()
+    for text in ("a: " * 60_000, "a:" * 60_000 + "token", "token:a<" * 40_000, "token: a[" * 40_000, "token:a" + "::a" * 60_000, "token: a<" + "<b>" * 60_000, "token: str | " * 30_000, "token[" * 50_000, "token=(" * 50_000, "token =\n" * 50_000, "token: a<" * 40_000, 'token = ("a"\n' * 30_000, "token = " + "(" * 200_000, 'token = "a"' + ' + "b"' * 50_000, "token" + "\n" * 200_000, 'token:' + "\n" * 200_000, 'x = ("a"' + ' "b"' * 50_000 + "\ntoken = x"):
+        S.scan(text)
+    assert time.time() - start < 8
+
+
 def test_lexing_is_linear():
     import time
 
