@@ -260,6 +260,14 @@ def _bridges(groups: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFr
     return cells.join(sets, "id").groupBy("leader", "i", "j").applyInArrow(_cell_links(similar), "a long, b long").distinct()
 
 
+def _several_texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of the documents whose rows have several shingle sets, of which one may be empty."""
+    known = rows.filter("doc_id IS NOT NULL").select("doc_id", "digest")
+    ids = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high").select("doc_id")
+    few = known.join(checkpointed(ids), "doc_id", "left_semi").distinct()
+    return checkpointed(few.join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id"))
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similar: int = SIMILAR
 ) -> DataFrame:
@@ -268,7 +276,7 @@ def near_dedup(
     Words are runs of anything but ASCII blanks, A-Z lower-cased; a set has the distinct runs of ``k`` words, or
     the whole text's words where there are fewer.  Null, empty and blank texts have no set and are linked with nothing.
     ``component_id`` is the smallest id reachable over links; ``kept`` marks the document with that id.  Rows that repeat an id are
-    one document.  A null id is linked with nothing: its component is null and it is kept.
+    one document, with the links of all its texts.  A null id is linked with nothing: its component is null and it is kept.
     Other columns are neither read nor returned.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -297,7 +305,13 @@ def near_dedup(
     )
     best = votes.groupBy("a").agg(F.max(F.struct("votes", -F.col("b"))).alias("best"))
     stars = best.select("a", (-F.col("best.col2")).alias("b"))
-    labels = checkpointed(components(_confirm(stars, sketches, texts, k, similar)))
+    links = _confirm(stars, sketches, texts, k, similar)
+    several = _several_texts(rows, classes)
+    repeats = not several.isEmpty()
+    if repeats:  # a document with several texts links their classes
+        lowest = several.groupBy("doc_id").agg(F.min("class_id").alias("b"))
+        links = links.union(several.join(lowest, "doc_id").filter("class_id != b").select(F.col("class_id").alias("a"), "b").distinct())
+    labels = checkpointed(components(links))
 
     # what may still be linked: classes under one leader in several components
     named = labels.select(F.col("node").alias("class_id"), "component")
@@ -309,7 +323,12 @@ def near_dedup(
     settled = settled.join(merged, "component", "left").withColumn("component_id", F.coalesce("final", "component"))
     verdicts = settled.filter("copies > 1 OR component_id != class_id").select("digest", "component_id")
     found = rows.select("doc_id", "n", "digest").join(verdicts, "digest", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    if repeats:  # its blank texts, which have no class, go with the others
+        own = several.join(settled.select("class_id", F.col("component_id").alias("own_id")).distinct(), "class_id")
+        own = own.groupBy("doc_id").agg(F.min("own_id").alias("own_id"))
+        found = found.join(own, "doc_id", "left").withColumn("component_id", F.coalesce("own_id", "component_id"))
+    linked_id = (F.col("n") > 0) | F.col("own_id").isNotNull() if repeats else F.col("n") > 0
+    component = F.when(linked_id & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

@@ -162,3 +162,14 @@ def test_components_of_paths_and_stars(spark):
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 150, 150: 150}
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert F.lit(1) is not None
+
+
+def test_an_id_with_several_texts_links_them(spark):
+    a, b, c, d, e = (prose(7000 + i, 40) for i in range(5))
+    data = [(7, a), (7, b), (3, a), (5, b), (9, b + " more"), (8, c), (8, d), (6, d), (8, None), (20, e), (21, None), (20, e), (None, a), (None, c)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in rows(N.near_dedup(docs)) if r["doc_id"] is not None}
+    components = {7: 3, 3: 3, 5: 3, 9: 3, 8: 6, 6: 6, 20: 20, 21: 21}
+    assert {(i, v) for (i, _), v in found.items()} == {(i, (c, c == i)) for i, c in components.items()}
+    assert sorted(r["doc_id"] for r in rows(N.drop_near_copies(docs)) if r["doc_id"] is not None) == [3, 6, 20, 21]
+    assert N.drop_near_copies(docs).filter("doc_id IS NULL").count() == 2
