@@ -5,8 +5,8 @@ shares most of its vector with the word it comes from.  A window of ``WINDOW`` w
 words; a softmax over the window gives its class.  A window begins at every word, so that a phrase counts the same wherever it
 stands.  A text scores as its most toxic window, so that one insult counts the same in a note and in a book.
 
-Training sees document labels only: first every window carries its document's label, then (multiple-instance
-learning) each toxic document is represented by the window that scores highest, each clean one by its
+Training sees document labels only: first every window carries its document's label (windows side by side, cut at other
+places in each round), then (multiple-instance learning) each toxic document is represented by the window that scores highest, each clean one by its
 highest window and a random one.  It runs on a bounded sample of labelled rows; scoring is a map over all texts.
 For two classes the gradient of every n-gram vector is a multiple of one direction, which is what the update below uses.
 """
@@ -14,6 +14,7 @@ For two classes the gradient of every n-gram vector is a multiple of one directi
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
 WINDOW = 4  # words; so few, as one toxic word among clean ones must show in the mean
 SHORTEST = 2  # a shorter window is filled up with empty words
+CLEAN_COST = 1.3  # of rejecting a clean text, against 1 for keeping a toxic one
 STEPS = 400  # of multiple-instance training at least, while that takes no more than 40 rounds
 MAX_CACHED = 300_000  # words remembered by a worker
 
@@ -127,6 +129,15 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) + before[owner], owner
 
 
+def side_by_side(lengths: np.ndarray, phase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and text of windows that hold each word once; the first one of a text has ``phase`` words, if that is not 0."""
+    begins = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(owner)) - begins[owner]
+    starts = np.flatnonzero((place == 0) | ((place - phase[owner]) % WINDOW == 0))
+    return starts, owner[starts]
+
+
 def window_sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The sum of each window, the same whatever stands around it (differences of a running sum would not be)."""
     padded = np.append(values, np.zeros(WINDOW, dtype=values.dtype))
@@ -137,18 +148,31 @@ def window_sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Fit on texts with labels 0 and 1; ``prior`` is the share of toxic rows outside the sample."""
+    """Fit on texts with labels 0 and 1; ``prior`` is the share of toxic rows outside the sample.
+
+    Every fourth text of either class is kept back at first, to set scale and threshold on; the vectors are then trained
+    again on all texts.
+    """
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, dtype=np.float32), float(labels.mean() * 8 - 4) if len(labels) else -4.0)
-    rng = np.random.default_rng(seed)
-    # every fourth text of either class is kept back to set the threshold on
-    order = np.argsort(labels, kind="stable")
     aside = np.zeros(len(labels), dtype=bool)
     if min(labels.sum(), len(labels) - labels.sum()) >= 40:
-        aside[order[::4]] = True
-    used = np.flatnonzero(~aside)
+        aside[np.argsort(labels, kind="stable")[::4]] = True
+    model = train_vectors(texts, labels, np.flatnonzero(~aside), seed)
+    rest = np.flatnonzero(aside) if aside.any() else np.arange(len(labels))
+    cache: dict[str, float] = {}
+    parts = [model.logits([words_of(texts[i]) for i in part], cache) for part in np.array_split(rest, len(rest) // 100 + 1)]
+    scale, shift = calibrate(np.concatenate(parts), labels[rest], prior)
+    if aside.any():
+        model = train_vectors(texts, labels, np.arange(len(labels)), seed)
+    model.scale, model.shift = scale, shift
+    return model
 
+
+def train_vectors(texts: list[str], labels: np.ndarray, used: np.ndarray, seed: int) -> Model:
+    """Vectors and softmax from the texts at the places ``used``."""
+    rng = np.random.default_rng(seed)
     # words as numbers, text by text: the strings of all texts at once would be most of the driver's memory
     vocabulary: dict[str, int] = {}
     numbered = [
@@ -170,23 +194,23 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     bias = np.zeros(2)
     seen, seen_softmax = np.full(BUCKETS, 1e-4), 1e-4  # squared gradients so far
 
-    def bags(chosen: np.ndarray):
-        """Per n-gram of the chosen windows: window, bucket and weight in the window's mean."""
-        n = sizes[chosen].astype(np.int64)
-        window = np.repeat(np.arange(len(chosen)), n)
-        word = ids[np.repeat(starts[chosen] - (np.cumsum(n) - n), n) + np.arange(len(window))]
+    def bags(start: np.ndarray, size: np.ndarray):
+        """Per n-gram of these windows: window, bucket and weight in the window's mean."""
+        n = size.astype(np.int64)
+        window = np.repeat(np.arange(len(start)), n)
+        word = ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(window))]
         grams = counts[word]
         of = np.repeat(np.arange(len(word)), grams)
         gram = np.repeat(first_gram[word] - (np.cumsum(grams) - grams), grams) + np.arange(len(of))
         weight = 1.0 / (np.maximum(n, SHORTEST)[window] * grams)
         return window[of], bucket[gram], weight[of]
 
-    def step(chosen: np.ndarray, weight: np.ndarray, rate: float):
+    def step(start: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float):
         nonlocal seen_softmax, bias
-        window, gram, share = bags(chosen)
+        window, gram, share = bags(start, size)
         direction = (softmax[:, 1] - softmax[:, 0]).astype(np.float32)
-        logit = np.bincount(window, weights=(vectors @ direction)[gram] * share, minlength=len(chosen)) + bias[1] - bias[0]
-        error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - truth[chosen])
+        logit = np.bincount(window, weights=(vectors @ direction)[gram] * share, minlength=len(start)) + bias[1] - bias[0]
+        error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - label)
         pull = np.bincount(gram, weights=error[window] * share, minlength=BUCKETS)
         touched = np.flatnonzero(pull)
         toward = pull[touched] @ vectors[touched]  # the gradient of one softmax column; the other has the opposite sign
@@ -200,46 +224,53 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         shift = 0.5 * rate * error.sum() / max(weight.sum(), 1e-9)
         bias += np.array([shift, -shift])
 
-    def all_logits() -> np.ndarray:
-        value = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
-        word_value = np.add.reduceat(value[bucket], first_gram) / counts
-        return window_sums(word_value[ids], starts, sizes) / np.maximum(sizes, SHORTEST) + bias[1] - bias[0]
-
-    def epoch(chosen: np.ndarray, rate: float):
-        chosen = rng.permutation(chosen)
-        toxic = truth[chosen].mean()
-        balance = np.where(truth == 1, 0.5 / max(toxic, 1e-9), 0.5 / max(1 - toxic, 1e-9))
-        size = min(2048, max(32, len(chosen) // 50))
-        for part in np.array_split(chosen, max(1, len(chosen) // size)):
-            step(part, balance[part], rate)
-
-    if len(starts):
-        toxic = int(np.count_nonzero(truth))
-        share = 2 * toxic / max(1, len(truth) - toxic)  # of the clean windows: two for a toxic one
-        for rate in (0.5, 0.5, 0.3, 0.3, 0.3):
-            epoch(np.flatnonzero((truth == 1) | (rng.random(len(truth)) < share)), rate)
-        firsts = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))
-        rounds = max(6, min(40, STEPS * 32 // len(used)))  # few texts: more rounds over them
-        for rate in np.geomspace(0.3, 0.1, rounds):
-            # the highest window of each text: sort by text, then by logit
-            ranked = np.lexsort((all_logits(), text_of))
-            tops = ranked[np.append(firsts[1:], len(ranked)) - 1]
-            random = firsts + (rng.random(len(firsts)) * np.diff(np.append(firsts, len(ranked)))).astype(np.int64)
-            epoch(np.unique(np.concatenate((tops, random[truth[random] == 0]))), rate)
-
-    model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
-    rest = np.flatnonzero(aside) if aside.any() else used
-    cache: dict[str, float] = {}
-    parts = [model.logits([words_of(texts[i]) for i in part], cache) for part in np.array_split(rest, len(rest) // 100 + 1)]
-    logits = np.concatenate(parts)
-    model.scale, model.shift = calibrate(logits, labels[rest], prior)
-    return model
+    def epoch(start: np.ndarray, size: np.ndarray, label: np.ndarray, rate: float):
+        toxic = label.mean()
+        balance = np.where(label == 1, 0.5 / max(toxic, 1e-9), 0.5 / max(1 - toxic, 1e-9))
+        batch = min(8192, max(32, len(start) // 50))
+        for part in np.array_split(rng.permutation(len(start)), max(1, len(start) // batch)):
+            step(start[part], size[part], label[part], balance[part], rate)
+
+    def direction() -> np.ndarray:
+        return (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
+
+    def tops() -> np.ndarray:
+        """The highest window of each text (each of ``used`` that has words)."""
+        word_value = np.add.reduceat(direction()[bucket], first_gram) / counts
+        logits = (window_sums(word_value[ids], starts, sizes) / np.maximum(sizes, SHORTEST)).astype(np.float32)
+        best = np.flatnonzero(logits == np.repeat(np.maximum.reduceat(logits, firsts), windows_of))
+        return best[np.append(text_of[best[1:]] != text_of[best[:-1]], True)]  # of equal ones the last
+
+    if not len(starts):
+        return Model(direction(), float(bias[1] - bias[0]))
+    toxic = int(np.count_nonzero(truth))
+    share = 2 * toxic / max(1, len(truth) - toxic)  # of the clean windows: two for a toxic one
+    rounds = max(6, min(40, STEPS * 32 // len(used)))  # few texts: more rounds over them
+    for rate in np.geomspace(0.5, 0.3, max(5, min(10, rounds // 4))):
+        # each word once a round, in windows side by side: overlapping ones would show the words at the ends of a text
+        # less often than the others, and each toxic word among four times as many clean words of toxic texts
+        start, owner = side_by_side(lengths, rng.integers(0, WINDOW, len(lengths)))
+        size = np.append(start[1:], len(ids)) - start
+        label = labels[used].astype(np.int8)[owner]
+        chosen = (label == 1) | (rng.random(len(label)) < share)
+        epoch(start[chosen], size[chosen], label[chosen], rate)
+    firsts = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))
+    windows_of = np.diff(np.append(firsts, len(starts)))
+    average, average_bias = np.zeros(BUCKETS), 0.0
+    for n, rate in enumerate(np.geomspace(0.3, 0.1, rounds)):
+        random = firsts + (rng.random(len(firsts)) * windows_of).astype(np.int64)
+        chosen = np.unique(np.concatenate((tops(), random[truth[random] == 0])))
+        epoch(starts[chosen], sizes[chosen], truth[chosen], rate)
+        if n >= rounds // 2:  # the mean over the second half of the rounds varies less than the last state
+            average += direction() / (rounds - rounds // 2)
+            average_bias += float(bias[1] - bias[0]) / (rounds - rounds // 2)
+    return Model(average.astype(np.float32), average_bias)
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray, prior: float) -> tuple[float, float]:
-    """Scale and shift of a logistic curve through the logits, with classes weighted as outside the sample."""
+    """Scale and shift of a logistic curve through the logits, with classes weighted as outside the sample and by ``CLEAN_COST``."""
     toxic = labels.mean()
-    weight = np.where(labels == 1, prior / max(toxic, 1e-9), (1 - prior) / max(1 - toxic, 1e-9))
+    weight = np.where(labels == 1, prior / max(toxic, 1e-9), CLEAN_COST * (1 - prior) / max(1 - toxic, 1e-9))
     middle, spread = logits.mean(), logits.std() or 1.0
     x = np.stack([(logits - middle) / spread, np.ones(len(logits))])
     beta = np.array([1.0, 0.0])
@@ -256,29 +287,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on the labelled rows outside the held-out fifth (at most the sample, see above).
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_toxic: int = SAMPLE_TOXIC,
+    sample_clean: int = SAMPLE_CLEAN,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> Model:
+    """Train on labelled rows outside the held-out fifth: at most so many of each class, of texts up to ``sample_bytes``.
 
     ``labels`` has doc_id and toxic (0, 1; null rows are left out; an id labelled twice is toxic if any row says so).
-    Only the text and the label are used.
+    Only the text and the label are used.  Texts that are too long are left out before the rows are counted.  Where a class has no
+    row left there is nothing to learn: a warning says so, and every text gets one score.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.filter(F.octet_length("text") <= sample_bytes)
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [known.filter(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    parts = [usable.filter(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
     chosen = parts[0].union(parts[1])  # bounded by the two limits
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = (
-        texts.filter(F.octet_length("text") <= SAMPLE_BYTES)
-        .join(F.broadcast(chosen), "doc_id")
+        texts.join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id")  # an id may repeat
         .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
         .toArrow()
         .sort_by("doc_id")
     )
+    marks, values = sample["toxic"].to_numpy(), sample["text"].to_pylist()
+    del sample
+    if len(set(marks.tolist())) < 2:
+        warnings.warn(f"no toxicity model: {int((marks == 1).sum())} toxic and {int((marks == 0).sum())} clean texts to learn from", stacklevel=2)
     n = sum(shares.values())
-    return train(sample["text"].to_pylist(), sample["toxic"].to_numpy(), shares.get(1, 0) / n if n else 0.5)
+    return train(values, marks, shares.get(1, 0) / n if n else 0.5)
 
 
 def score(model: Model, text: Column) -> Column:
