@@ -20,7 +20,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from sparquill.session import written
 TOKENIZERS = "/opt/tokenizers"  # the same folder on every worker; a parameter of ``align_tokenizers``
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-BLOCK_BYTES = 1 << 23  # text of a block of documents; a longer document is a block of its own
+BLOCK_BYTES = 1 << 21  # text of a block of documents; a longer document is a block of its own
 CALL_BYTES = 1 << 18  # text handed to a tokenizer at once, as its results are many times as large
 LANE_BYTES = 1 << 13  # a longer text walks in several lanes
 
@@ -60,22 +59,24 @@ class Pair:
         self._b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
         self.bytes_b = [self._piece(self._b.id_to_piece(i)) for i in range(self._b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(b) for b in of], dtype=np.int64) for of in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = ([str(i) for i in range(len(of))] for of in (self.bytes_a, self.bytes_b))
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.texts = [f"{i}{sign}".encode() for i in range(most) for sign in ",|;"]  # an id and what follows it, see ``Block``
 
     @staticmethod
     def _piece(piece: str) -> bytes:
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by both; empty lists for texts whose tokens don't give back a space and the text."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids by both; empty ones for texts whose tokens don't give back a space and the text."""
         a = [e.ids for e in self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self._b.encode(texts, num_threads=1)
         for n, text in enumerate(texts):
             want = b" " + text.encode()
             if not text or b"".join(map(self.bytes_a.__getitem__, a[n])) != want or b"".join(map(self.bytes_b.__getitem__, b[n])) != want:
                 a[n] = b[n] = []
-        return a, b
+        # as arrays at once: lists of numbers take ten times as much
+        return [np.array(x, dtype=np.int32) for x in a], [np.array(x, dtype=np.int32) for x in b]
 
 
 def byte_letters() -> dict[str, int]:
@@ -136,12 +137,12 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, a: np.ndarray, b: np.ndarra
 class Block:
     """The documents of one block after their walks."""
 
-    def __init__(self, pair: Pair, ids: list[tuple[list[int], list[int]]]):
+    def __init__(self, pair: Pair, ids: list[tuple[np.ndarray, np.ndarray]]):
         n = len(ids)
         self.n_a = np.fromiter((len(a) for a, _ in ids), dtype=np.int64, count=n)
         self.n_b = np.fromiter((len(b) for _, b in ids), dtype=np.int64, count=n)
-        all_a = np.fromiter(chain.from_iterable(a for a, _ in ids), dtype=np.int64, count=int(self.n_a.sum()))
-        all_b = np.fromiter(chain.from_iterable(b for _, b in ids), dtype=np.int64, count=int(self.n_b.sum()))
+        none = np.empty(0, dtype=np.int32)
+        all_a, all_b = np.concatenate([none, *(a for a, _ in ids)]), np.concatenate([none, *(b for _, b in ids)])
         ends_a, ends_b = np.cumsum(pair.size_a[all_a]), np.cumsum(pair.size_b[all_b])
         first_a, first_b = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
         begin_a, begin_b = [], []
@@ -158,38 +159,36 @@ class Block:
             begin_b += [int(first_b[d]) + y for _, y in lanes]
         a, b = np.array(begin_a, dtype=np.int64), np.array(begin_b, dtype=np.int64)
         link_a, link_b, cut_a, cut_b = lockstep(ends_a, ends_b, a, b, np.append(a[1:], len(all_a)) if len(a) else a)
-        owner = np.repeat(np.arange(n), self.n_a)
+        owner = np.repeat(np.arange(n, dtype=np.int32), self.n_a)
         self.n_links = np.bincount(owner[link_a], minlength=n)
         self.n_groups = np.bincount(owner[cut_a], minlength=n)
-        self.hashes = self._hashes(pair, ids, np.sort(cut_a), np.sort(cut_b), first_a, first_b)
+        self.hashes = self._hashes(pair, all_a, all_b, np.sort(cut_a), np.sort(cut_b))
         # what a document links, each pair of ids once with its number of links
-        codes = all_a[link_a] * len(pair.size_b) + all_b[link_b]
-        order = np.lexsort((codes, owner[link_a]))
-        who, codes = owner[link_a][order], codes[order]
+        who, codes = owner[link_a], all_a[link_a].astype(np.int64) * len(pair.size_b) + all_b[link_b]
+        del link_a, link_b, cut_a, cut_b
+        order = np.lexsort((codes, who))
+        who, codes = who[order], codes[order]
         runs = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (codes[1:] != codes[:-1])))) if len(codes) else order
         self.times = np.diff(np.append(runs, len(codes))).astype(np.int32)
         self.of = np.bincount(who[runs], minlength=n) if len(runs) else np.zeros(n, dtype=np.int64)
         self.codes, places, self.documents = np.unique(codes[runs], return_inverse=True, return_counts=True)
         self.places = places.astype(np.int32)
 
-    def _hashes(self, pair, ids, cut_a, cut_b, first_a, first_b) -> list[str]:
-        out, at = [], 0
-        text_a, text_b = pair.text_a, pair.text_b
-        for d, (a, b) in enumerate(ids):
-            if not a:
-                out.append("")
-                continue
-            a, b = [text_a[i] for i in a], [text_b[i] for i in b]
-            groups = int(self.n_groups[d])
-            x = y = 0
-            parts = []
-            to_a = (cut_a[at : at + groups] - first_a[d] + 1).tolist()
-            to_b = (cut_b[at : at + groups] - first_b[d] + 1).tolist()
-            for i, j in zip(to_a, to_b):
-                parts.append(f"{','.join(a[x:i])}|{','.join(b[y:j])}")
-                x, y = i, j
-            at += groups
-            out.append(hashlib.sha256(";".join(parts).encode()).hexdigest())
+    def _hashes(self, pair: Pair, all_a: np.ndarray, all_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
+        """The hash of each document's groups.  Every id is written with the sign after it: ``,`` inside a group, ``|`` after the last A
+        token of one, ``;`` after its last B token; a group's A tokens stand before its B tokens."""
+        in_a, in_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)  # tokens of each group
+        written = np.empty(len(all_a) + len(all_b), dtype=np.int32)
+        sign = np.zeros(len(all_a), dtype=np.int32)
+        sign[cut_a] = 1
+        written[np.arange(len(all_a)) + np.repeat(cut_b + 1 - in_b, in_a)] = all_a * np.int32(3) + sign
+        sign = np.zeros(len(all_b), dtype=np.int32)
+        sign[cut_b] = 2
+        written[np.arange(len(all_b)) + np.repeat(cut_a + 1, in_b)] = all_b * np.int32(3) + sign
+        out, ends = [], np.cumsum(self.n_a + self.n_b)
+        for end, size in zip(ends.tolist(), (self.n_a + self.n_b).tolist()):
+            text = b"".join(map(pair.texts.__getitem__, written[end - size : end].tolist()))
+            out.append(hashlib.sha256(text[:-1]).hexdigest() if size else "")
         return out
 
     def rows(self) -> Iterator[tuple[int, int, int, int, str, bytes, bytes]]:
@@ -211,7 +210,7 @@ def _aligned(byte_bpe: str, piece_bpe: str, key_type: str):
         for batch in batches:
             texts = batch.column(1)
             for first, end, _, _ in text_slices(texts, BLOCK_BYTES):
-                ids: list[tuple[list[int], list[int]]] = []
+                ids: list[tuple[np.ndarray, np.ndarray]] = []
                 for low, high, _, _ in text_slices(texts.slice(first, end - first), CALL_BYTES):
                     a, b = pair.encode([t or "" for t in texts.slice(first + low, high - low).to_pylist()])
                     ids += zip(a, b)
