@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: stable projections, a kd-tree over them, and a chi-square stopping test.
 
-Vectors are normalised, so the nearest by cosine is the nearest by distance.  ``PROJECTED`` Gaussian projections map them to few
-dimensions, where squared distance divided by the true squared distance follows a chi-square law.  Each task builds a kd-tree
-over the projections of its rows.  For a query it takes the tree's leaves in order of their projected
-distance and verifies their rows on the original vectors, until the next leaf is so far that a row
-closer than the fifth best so far would lie beyond it with a chance below ``1 - SURE``.
-
-All rows are indexed.  Queries go out in blocks of bounded size, one pass over the collection
-per block; the collection moves once at most, and each task returns its best few rows per query.
+Vectors are normalised, so the nearest by cosine is the nearest by distance.  A vector is indexed by few numbers: its coordinates along
+the ``LEADING`` directions of its tree's vectors, and ``PROJECTED`` Gaussian projections of what these leave over.  Squared distance
+along the leading directions is part of the true one.  For the rest, squared projected distance divided by the true one follows
+a chi-square law, so divided by a high quantile of it, it is below the true one with the chance ``SURE``.  With the projections
+scaled by that quantile, the squared distance of two indexed points is such a bound as a whole.
+
+Each task builds kd-trees over the points of its rows.  For a query it verifies the nearest leaf on the original vectors, then takes
+the points of all leaves that may hold a nearer row in order of their distance, until the next point is farther than the fifth
+best row verified so far: a row closer than that would lie beyond with a chance below ``1 - SURE``.
+
+All rows are indexed, in parts of bounded bytes.  A part and the queries meet in one sorted stream: first the part's vectors, whose
+tree is built once, then the query vectors, which pass one after the other.  Neither side goes through the driver.
 """
 
 from __future__ import annotations
@@ -22,14 +26,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparquill.llm.common import query, table
-from sparquill.session import checkpointed
 
 K = 5
-PROJECTED = 8  # dimensions, even
+LEADING = 8  # directions
+PROJECTED = 24  # dimensions, even
 SURE = 0.98
 LEAF = 64  # rows
-TREE_ROWS = 1 << 17  # rows under one tree
-QUERY_BYTES = 32 << 20  # query vectors sent to every task at once
+TREE_BYTES = 64 << 20  # vectors under one tree
+SAMPLE = 2048  # vectors of a tree that its leading directions are fitted to
+FIRST = 128  # rows verified in one step at first; each further step takes twice as many
+LEAST_PART = 1024  # rows; smaller parts are not made only to keep all cores busy
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -48,82 +54,135 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 class ProjectionTree:
-    """A kd-tree over the projections of some vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.repeats = len(np.unique(ids)) < len(ids)
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        directions = np.random.default_rng(vectors.shape[1]).normal(size=(vectors.shape[1], PROJECTED))
-        self._directions = directions
-        points = self.project(vectors, self.norms)
-        leaves = []
+    """A kd-tree over the indexed points of some vectors."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: float):
+        dimension = vectors.shape[1]
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        sample = vectors[:: max(1, len(vectors) // SAMPLE)][:SAMPLE] / norms[:: max(1, len(vectors) // SAMPLE)][:SAMPLE, None]
+        self._leading = np.linalg.svd(sample, full_matrices=False)[2][:LEADING].T
+        self._directions = np.random.default_rng(dimension).normal(size=(dimension, PROJECTED)) / math.sqrt(limit)
+        points = self.project(vectors, norms)
+        order, sizes = [], []
         stack = [np.arange(len(ids))]
         while stack:
             rows = stack.pop()
             if len(rows) <= LEAF:
-                leaves.append(rows)
+                order.append(rows)
+                sizes.append(len(rows))
                 continue
             axis = int(np.ptp(points[rows], axis=0).argmax())
             half = len(rows) // 2
             rows = rows[np.argpartition(points[rows, axis], half)]
             stack += [rows[half:], rows[:half]]
-        self.leaves = leaves
-        self.low = np.array([points[rows].min(axis=0) for rows in leaves])
-        self.high = np.array([points[rows].max(axis=0) for rows in leaves])
+        # the rows of a leaf stand together
+        order = np.concatenate(order)
+        self.ids, self.vectors, self.norms, self.points = ids[order], vectors[order], norms[order], points[order]
+        self.squares = (self.points * self.points).sum(axis=1)
+        self.begins = np.cumsum(sizes) - sizes
+        self.leaf_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.low = np.minimum.reduceat(self.points, self.begins)
+        self.high = np.maximum.reduceat(self.points, self.begins)
+        self.repeats = len(np.unique(ids)) < len(ids)
+        self.verified = 0  # rows whose original vectors were looked at
 
     def project(self, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return (vectors / norms[:, None]) @ self._directions
+        unit = vectors / norms[:, None]
+        along = unit @ self._leading
+        return np.concatenate((along, (unit - along @ self._leading.T) @ self._directions), axis=1)
 
-    def search(self, own: int, vector: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the best ``k`` ids found, each by its best row, ties by id; rows with the id ``own`` are left out."""
         norm = np.sqrt((vector * vector).sum())
         point = self.project(vector[None, :], np.array([norm]))[0]
         gap = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
-        bound = (gap * gap).sum(axis=1)
-        order = np.argsort(bound, kind="stable")
-        ids, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        at, step = 0, 2
-        while at < len(order):
-            if len(ids) == k and bound[order[at]] > limit * (2 - 2 * scores[-1]) + 1e-9:
-                break
-            rows = np.concatenate([self.leaves[i] for i in order[at : at + step]])
+        boxes = (gap * gap).sum(axis=1)
+        ids, scores = np.empty(0, dtype=self.ids.dtype), np.empty(0)
+
+        def verify(rows: np.ndarray) -> None:
+            nonlocal ids, scores
+            self.verified += len(rows)
+            if len(ids) == k:  # a fast product first, as most rows cannot come in; near ties are looked at below
+                rows = rows[(self.vectors[rows] @ vector) >= (scores[-1] - 1e-9) * norm * self.norms[rows]]
             rows = rows[self.ids[rows] != own]
+            if not len(rows):
+                return
             found = (self.vectors[rows] * vector).sum(axis=1) / (self.norms[rows] * norm)
             ids, scores = np.concatenate((ids, self.ids[rows])), np.concatenate((scores, found))
             best = np.lexsort((ids, -scores))
             if self.repeats:  # before the cut, or the rows of one id could fill all places
                 best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
             ids, scores = ids[best[:k]], scores[best[:k]]
-            at, step = at + step, min(step * 2, 16)
+
+        def reach() -> float:
+            """No row beyond this squared distance can be among the best."""
+            return 2 - 2 * scores[-1] + 1e-9 if len(ids) == k else math.inf
+
+        first = int(np.argmin(boxes))
+        begin = int(self.begins[first])
+        end = int(self.begins[first + 1]) if first + 1 < len(self.begins) else len(self.ids)
+        verify(np.arange(begin, end))
+        open_leaves = boxes <= reach()
+        if open_leaves.mean() > 0.5:  # most of the tree: no need to copy its points
+            near = self.squares - 2 * (self.points @ point) + point @ point
+            rows = np.flatnonzero(near <= reach())
+            near = near[rows]
+        else:
+            rows = np.flatnonzero(open_leaves[self.leaf_of])
+            near = self.squares[rows] - 2 * (self.points[rows] @ point) + point @ point
+            rows, near = rows[near <= reach()], near[near <= reach()]
+        other = (rows < begin) | (rows >= end)
+        rows, near = rows[other], near[other]
+        if len(rows) > 2 * FIRST:  # the nearest points at once, as what they leave open is much less to sort
+            chosen = np.argpartition(near, FIRST)
+            verify(rows[chosen[:FIRST]])
+            rest = chosen[FIRST:][near[chosen[FIRST:]] <= reach()]
+            rows, near = rows[rest], near[rest]
+        nearest_first = np.argsort(near)
+        rows, near = rows[nearest_first], near[nearest_first]
+        at, step = 0, FIRST
+        while at < len(rows) and near[at] <= reach():
+            to = min(at + step, int(np.searchsorted(near, reach(), side="right")))
+            verify(rows[at:to])
+            at, step = to, min(2 * step, 4096)
         return ids, scores
 
 
-def _searcher(query_ids: np.ndarray, queries: np.ndarray, k: int, limit: float):
+def _searcher(k: int, limit: float):
+    """Task function over rows (length, part, kind, vec_id, v), sorted: of each part the vectors (kind 0), then the queries (1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([b.column(0).to_numpy() for b in held])
-            vectors = np.concatenate([b.column(1).flatten().to_numpy() for b in held]).astype(np.float64)
-            tree = ProjectionTree(ids, vectors.reshape(len(ids), -1))
-            found = [tree.search(own, q, k, limit) for own, q in zip(query_ids, queries)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids, [len(f[0]) for f in found])),
-                    pa.array(np.concatenate([f[0] for f in found])),
-                    pa.array(np.concatenate([f[1] for f in found])),
-                ],
-                names=["query_id", "vec_id", "score"],
-            )
-
-        held, n = [], 0
+        part, held, tree = None, [], None
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= TREE_ROWS:
-                yield from answers(held)
-                held, n = [], 0
-        if n:
-            yield from answers([b for b in held if b.num_rows])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            asked, found = [], []
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
+                length, number, kind = keys[begin].tolist()
+                if (length, number) != part:
+                    part, held, tree = (length, number), [], None
+                ids = batch.column(3).slice(begin, end - begin).to_numpy()
+                vectors = batch.column(4).slice(begin, end - begin).flatten().to_numpy().reshape(len(ids), length)
+                if kind == 0:
+                    held.append((ids, vectors))
+                    continue
+                if tree is None and held:
+                    tree = ProjectionTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), limit)
+                    held = []
+                if tree is not None:
+                    asked.append(ids)
+                    found += [tree.search(own, q, k) for own, q in zip(ids.tolist(), vectors)]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.concatenate(asked), [len(f[0]) for f in found])),
+                        pa.array(np.concatenate([f[0] for f in found])),
+                        pa.array(np.concatenate([f[1] for f in found])),
+                    ],
+                    names=["query_id", "vec_id", "score"],
+                )
 
     return run
 
@@ -148,30 +207,20 @@ def nearest(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
     ).withColumn("length", F.size("v"))
-    limit = chi_square_quantile(SURE, PROJECTED)
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    found = []
-    lengths = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("queries"))
-    for shape in lengths.orderBy("length").toLocalIterator():  # one length, if the table is in order
-        same = rows.filter(F.col("length") == shape["length"])
-        tasks = max(1, -(-shape["n"] // TREE_ROWS), min(cores, shape["n"] // 1024))
-        dealt = same.select("vec_id", "v").repartition(tasks, "vec_id")
-        # query vectors in blocks that fit into every task
-        blocks = max(1, -(-shape["queries"] * shape["length"] * 8 // QUERY_BYTES))
-        if blocks > 1:
-            dealt = checkpointed(dealt)
-        asked = same.filter("is_query").dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        for block in range(blocks):
-            part = asked.filter(F.col("block") == block).select("vec_id", "v").toArrow()
-            if part.num_rows:
-                ids = part["vec_id"].to_numpy()
-                queries = part["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                search = _searcher(ids, queries, k, limit)
-                found.append(dealt.mapInArrow(search, "query_id long, vec_id long, score double"))
-    schema = "query_id long, vec_id long, score double"
-    best = vectors.sparkSession.createDataFrame([], schema) if not found else found[0]
-    for more in found[1:]:
-        best = best.unionByName(more)
+    fit = F.greatest(F.lit(1), F.floor(F.lit(TREE_BYTES) / (8 * F.col("length"))))  # rows of a full part
+    parts = F.greatest(F.ceil(F.col("n") / fit), F.least(F.lit(cores), F.floor(F.col("n") / LEAST_PART)), F.lit(1)).cast("int")
+    lengths = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).select("length", parts.alias("parts"))  # one row, if the table is in order
+    n_parts = lengths.agg(F.sum("parts")).first()[0] or 1
+    sized = rows.join(lengths, "length")
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    indexed = sized.select("length", part.alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
+    # of the rows that repeat an id, one asks: the least vector
+    asked = sized.filter("is_query").groupBy("length", "parts", "vec_id").agg(F.min("v").alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asked = asked.select("length", every.alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = indexed.unionByName(asked).repartitionByRange(int(n_parts), "length", "part").sortWithinPartitions("length", "part", "kind")
+    best = dealt.mapInArrow(_searcher(k, chi_square_quantile(SURE, PROJECTED)), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # an id may repeat under several trees
     distinct = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

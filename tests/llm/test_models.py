@@ -141,20 +141,34 @@ def test_recall_and_scores(spark):
     assert hits / (5 * len(found)) >= 0.95
 
 
-def test_copies_tie_by_id_and_query_blocks_agree(spark, monkeypatch):
+def test_few_rows_are_verified():
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(300, 64))[rng.integers(0, 300, 60_000)] + 0.5 * rng.normal(size=(60_000, 64))
+    tree = A.ProjectionTree(np.arange(60_000), matrix, A.chi_square_quantile(A.SURE, A.PROJECTED))
+    unit, hits, asked = matrix / np.linalg.norm(matrix, axis=1)[:, None], 0, range(0, 60_000, 600)
+    for own in asked:
+        score = unit @ unit[own]
+        score[own] = -2
+        hits += len(set(np.argpartition(-score, 5)[:5].tolist()) & set(tree.search(own, matrix[own], 5)[0].tolist()))
+    share = tree.verified / (len(asked) * 60_000)
+    print(f"share of rows verified {share:.4f}, recall {hits / (5 * len(asked)):.3f}")
+    assert share < 0.2 and hits / (5 * len(asked)) >= 0.95
+
+
+def test_copies_tie_by_id_and_parts_agree(spark, monkeypatch):
     rng = np.random.default_rng(5)
     matrix = rng.normal(size=(600, 16))
     matrix[100:500] = matrix[0]
     want = rows(A.nearest(_vectors(spark, matrix), F.col("vec_id") % 50 == 0), "query_id", "rank")
     assert [r["vec_id"] for r in want if r["query_id"] == 0] == [100, 101, 102, 103, 104]
     assert [r["vec_id"] for r in want if r["query_id"] == 150] == [0, 100, 101, 102, 103]
-    monkeypatch.setattr(A, "QUERY_BYTES", 3 * 16 * 8)
+    monkeypatch.setattr(A, "TREE_BYTES", 90 * 16 * 8)  # more parts
     assert rows(A.nearest(_vectors(spark, matrix), F.col("vec_id") % 50 == 0), "query_id", "rank") == want
 
 
 @pytest.mark.parametrize("tree_rows", [1 << 17, 200])
 def test_repeated_ids_take_one_place(spark, monkeypatch, tree_rows):
-    monkeypatch.setattr(A, "TREE_ROWS", tree_rows)
+    monkeypatch.setattr(A, "TREE_BYTES", tree_rows * 16 * 8)
     rng = np.random.default_rng(6)
     matrix = rng.normal(size=(300, 16))
     matrix[1] = matrix[0] + 0.01 * matrix[1]  # near the query 0
