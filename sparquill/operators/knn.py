@@ -16,7 +16,7 @@ so that equal copies rank the same in every plan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -210,6 +210,7 @@ def knn(
     block_queries: int = BLOCK_QUERIES,
     block_vectors: int = BLOCK_VECTORS,
     columns: tuple[str, ...] = (),
+    look_up: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
     """``(query_id, rank, id, distance, *columns)``: the ``k`` nearest ids per query, rank from 1.
 
@@ -218,7 +219,8 @@ def knn(
     Vectors with NaN, infinite or null components take no part on either side, and vectors are only
     compared with those of their length (``unusable_vectors`` counts what that leaves out).
     ``columns`` of the collection are looked up for the ranked ids only, so the scan
-    that computes distances reads nothing but ids, vectors and filtered fields.
+    that computes distances reads nothing but ids, vectors and filtered fields.  ``look_up(found, columns, small=…)`` does that
+    for a collection that knows where its ids are stored (``Collections.look_up_in``); else the collection is scanned for them.
     """
     condition = where_to_column(where)
     allowed = collection if condition is None else collection.where(condition)
@@ -242,6 +244,8 @@ def knn(
         return top
     # k rows per query, with the number of queries checked above
     small = few and head.num_rows * k <= MAX_BROADCAST_RESULTS
+    if look_up is not None:
+        return look_up(top, columns, small=small).select("query_id", "rank", "id", "distance", *columns)
     details = allowed.select("id", *columns)
     return details.join(F.broadcast(top) if small else top, "id").select(
         "query_id", "rank", "id", "distance", *columns

@@ -299,13 +299,14 @@ def _stored_shelf(spark, sf_dir):
     """,
 )
 def stored_collection(spark, sf_dir):
-    """All documents in two inserts, one of them run twice under its key, compacted and opened again."""
+    """All documents in two inserts, both of them run again under their keys, one before and one after a compaction."""
     store = Collections(spark, f"{ensure_checkpoint_dir(spark)}/collections-{uuid.uuid4()}")
     store.create("papers", "none", partition_by="year_range")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"), F.col("lang").alias("year_range"))
     for half in (0, 1, 1):
         store.add("papers", rows.where(F.col("doc_id") % 2 == half), "doc_id", key=f"half-{half}")
     store.compact("papers")
+    store.add("papers", rows.where(F.col("doc_id") % 2 == 0), "doc_id", key="half-0")
     return store.open("papers").select("id", "doc_id", "document", "year_range")
 
 

@@ -4,18 +4,20 @@ A collection is a folder.  Every insert has a key of its own and is written to i
 ``data``.  It counts only once the next numbered file below ``manifest`` names it: that file is created
 exclusively and last, and gives the insert's first id and row count.  So two inserts at a time take different ids and never
 touch each other's rows, an insert that breaks off leaves nothing visible, and one that is
-repeated under its key is recognised.  Stored rows carry their number within the insert; ids are first id plus
-number.  Rows whose encoding failed are kept apart and counted.  ``about`` holds the collection's attributes.
+repeated under its key is recognised, also after a compaction.  Stored rows carry their number within the insert; ids are first id plus
+number.  Within an insert, rows lie in folders of ``BLOCK_ROWS`` consecutive numbers, so that a look-up of ids reads only the folders
+that hold one.  Rows whose encoding failed are kept apart and counted.  ``about`` holds the collection's attributes.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import threading
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,11 @@ from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.knn import knn
 from sparquill.schemas import COLLECTION_CORE, SCALAR_TYPES
-from sparquill.session import stored_for_now
+from sparquill.session import checkpointed, stored_for_now
 
 ID_PREFIX = "chunk_"
+BLOCK_ROWS = 1 << 16  # consecutive rows in one folder
+MAX_LOOKED_UP = 1 << 19  # ids sent to every task; more are shuffled
 FAILED = ("source_file", "chunk_id", "year_range", "encode_error")  # what is kept of a row that could not be encoded
 _commits = threading.Lock()  # exclusive creation is not exclusive enough between threads on a local disk
 
@@ -95,8 +99,7 @@ class Collections:
         self.spark.createDataFrame([attributes], schema).coalesce(1).write.mode("overwrite").json(f"{self._folder(name)}/about")
 
     def delete(self, name: str) -> None:
-        fs, folder = self._fs(self._folder(name))
-        fs.delete(folder, True)
+        self._delete(self._folder(name))
 
     def names(self) -> list[str]:
         return [c for c in self._children(self.root) if not c.startswith("_")]
@@ -130,24 +133,36 @@ class Collections:
         empty = {"version": -1, "since": 0, "total": 0, "failed_total": 0, "schema": None}
         return self._entry(name, versions[-1]) if versions else empty
 
+    def _entries(self, name: str) -> DataFrame:
+        """All entries, also of inserts that a compaction has replaced."""
+        schema = "version long, batch string, key string, first long, rows long"
+        return self.spark.read.schema(schema).json(f"{self._folder(name)}/manifest")
+
     def _manifest(self, name: str) -> DataFrame:
-        """``(batch, first)`` of every insert that counts."""
-        since = self._last(name)["since"]
-        entries = self.spark.read.schema("version long, batch string, first long").json(f"{self._folder(name)}/manifest")
-        return entries.where(F.col("version") >= since).select("batch", "first")
+        """``(batch, first, rows)`` of every insert that counts."""
+        return self._entries(name).where(F.col("version") >= self._last(name)["since"]).select("batch", "first", "rows")
+
+    def _counted(self, name: str, key: str | None) -> bool:
+        """Whether an insert with this key was ever made visible."""
+        return key is not None and bool(self._versions(name)) and not self._entries(name).where(F.col("key") == key).isEmpty()
 
-    def _commit(self, name: str, batch: str, rows: int, failed: int, schema: T.StructType, replaces: int | None = None) -> bool:
-        """Make an insert visible; False if a compaction was overtaken by another insert."""
+    def _commit(
+        self, name: str, batch: str, rows: int, failed: int, schema: T.StructType, replaces: int | None = None, key: str | None = None
+    ) -> bool:
+        """Make an insert visible; False if its key counts already, or if a compaction was overtaken by another insert."""
         while True:
             with _commits:
                 last = self._last(name)
                 if replaces is not None and last["version"] != replaces:
                     return False
+                if self._counted(name, key):  # looked at again before each try: another writer may have had the same key
+                    return False
                 version = last["version"] + 1
                 compacted = replaces is not None
                 entry = {
                     "version": version,
                     "batch": batch,
+                    "key": key,
                     "first": 0 if compacted else last["total"],
                     "rows": rows,
                     "since": version if compacted else last["since"],
@@ -175,10 +190,9 @@ class Collections:
         sets rows apart that failed.  The rows are stored before they are numbered, so that an encoder runs once.
         """
         check_metadata(rows.drop("encode_error"))
-        batch = "b-" + (key or uuid.uuid4().hex)
-        fs, folder = self._fs(f"{self._folder(name)}/data/batch={batch}")
-        if key and fs.exists(folder) and not self._manifest(name).where(F.col("batch") == batch).isEmpty():
+        if self._counted(name, key):
             return
+        batch = "b-" + uuid.uuid4().hex  # also with a key: two writers of one key never share a folder
         partition_by = self.attributes(name).get("partition_by")
         with stored_for_now(rows) as stored:
             good, n_failed = stored, 0
@@ -189,10 +203,19 @@ class Collections:
                 bad.write.mode("overwrite").parquet(f"{self._folder(name)}/failed/batch={batch}")
                 n_failed = bad.count()
             n = good.count()
-            numbered = dense_index(good, *order, name="row_no")
-            writer = numbered.write.mode("overwrite")
-            (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch}")
-        self._commit(name, batch, n, n_failed, numbered.schema)
+            numbered = _in_blocks(dense_index(good, *order, name="row_no"))
+            self._write(name, batch, numbered, partition_by)
+        if not self._commit(name, batch, n, n_failed, numbered.schema, key=key):
+            for part in ("data", "failed"):
+                self._delete(f"{self._folder(name)}/{part}/batch={batch}")
+
+    def _write(self, name: str, batch: str, numbered: DataFrame, partition_by: str | None) -> None:
+        folders = [c for c in (partition_by, "row_block") if c]
+        numbered.write.mode("overwrite").partitionBy(*folders).parquet(f"{self._folder(name)}/data/batch={batch}")
+
+    def _delete(self, path: str) -> None:
+        fs, folder = self._fs(path)
+        fs.delete(folder, True)
 
     def _stored(self, name: str) -> DataFrame:
         """All rows that count, with ``batch``, ``row_no`` and ``first``."""
@@ -202,13 +225,13 @@ class Collections:
         # the stored types: names of partition folders like "007" must not turn into numbers
         schema = T.StructType.fromJson(json.loads(last["schema"])).add("batch", T.StringType())
         rows = self.spark.read.schema(schema).parquet(f"{self._folder(name)}/data")
-        return rows.join(self._manifest(name), "batch")
+        return rows.join(self._manifest(name).drop("rows"), "batch")
 
     def open(self, name: str) -> DataFrame:
         """All rows, or an error if nothing was ever stored under the name."""
         rows = self._stored(name)
         number = (F.col("first") + F.col("row_no")).cast("string")
-        others = [c for c in rows.columns if c not in ("batch", "first", "row_no")]
+        others = [c for c in rows.columns if c not in ("batch", "first", "row_no", "row_block")]
         return rows.select(F.concat(F.lit(ID_PREFIX), number).alias("id"), *others)
 
     def count(self, name: str) -> int:
@@ -224,52 +247,72 @@ class Collections:
         return self.spark.read.schema(schema).parquet(f"{self._folder(name)}/failed").join(since, "batch", "left_semi")
 
     def compact(self, name: str) -> bool:
-        """Rewrite all inserts as one, with the same ids; False if an insert came in between."""
+        """Rewrite all inserts as one, with the same ids; False if an insert came in between.
+
+        What it replaces stays for readers that have begun with it, and goes with the next compaction.
+        """
         last = self._last(name)
-        rows = self._stored(name).withColumn("row_no", F.col("first") + F.col("row_no")).drop("first", "batch")
-        old = [r["batch"] for r in self._manifest(name).toLocalIterator()]
+        rows = _in_blocks(self._stored(name).withColumn("row_no", F.col("first") + F.col("row_no")).drop("first", "batch", "row_block"))
+        replaced_before = [r["batch"] for r in self._entries(name).where(F.col("version") < last["since"]).toLocalIterator()]
         batch = "b-" + uuid.uuid4().hex
-        partition_by = self.attributes(name).get("partition_by")
-        writer = rows.repartitionByRange("row_no").sortWithinPartitions("row_no").write
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self._folder(name)}/data/batch={batch}")
+        ordered = rows.repartitionByRange("row_no").sortWithinPartitions("row_no")
+        self._write(name, batch, ordered, self.attributes(name).get("partition_by"))
         if not self._commit(name, batch, last["total"], 0, rows.schema, replaces=last["version"]):
-            old = [batch]
-        for replaced in old:
-            fs, folder = self._fs(f"{self._folder(name)}/data/batch={replaced}")
-            fs.delete(folder, True)
-        return old != [batch]
+            self._delete(f"{self._folder(name)}/data/batch={batch}")
+            return False
+        for old in replaced_before:
+            self._delete(f"{self._folder(name)}/data/batch={old}")
+        return True
 
     def get(
         self, name: str, ids: list[str] | DataFrame | None = None, where: dict[str, Any] | None = None,
         include: list[str] | None = None,
     ) -> DataFrame:
-        """Rows by id and filter.  A list of ids reaches the scan as numbers within inserts."""
-        rows = self.open(name) if ids is None or isinstance(ids, DataFrame) else self._by_number(name, list(ids))
+        """Rows by id and filter.  Ids reach the scan as folders and numbers: others are not read."""
         condition = where_to_column(where)
+        if ids is None:
+            rows = self.open(name)
+        else:
+            if not isinstance(ids, DataFrame):
+                ids = self.spark.createDataFrame([(i,) for i in ids], "id string")
+            wanted = checkpointed(ids.select("id").distinct())
+            rows = self.look_up(name, wanted, small=wanted.count() <= MAX_LOOKED_UP)
         if condition is not None:
             rows = rows.where(condition)
-        if isinstance(ids, DataFrame):
-            rows = rows.join(ids.select("id"), "id", "left_semi")
         return rows.select("id", *include) if include else rows
 
-    def _by_number(self, name: str, ids: list[str]) -> DataFrame:
-        """Rows with these ids: only the inserts that hold one are read, and in them only row groups near its number."""
-        numbers = sorted({int(i[len(ID_PREFIX) :]) for i in ids if re.fullmatch(ID_PREFIX + "[0-9]{1,18}", i)})
-        wanted = self.spark.createDataFrame([(n,) for n in numbers], "n long")
-        entries = self.spark.read.schema("version long, batch string, first long, rows long").json(f"{self._folder(name)}/manifest")
-        entries = entries.where(F.col("version") >= self._last(name)["since"])
-        hits = wanted.join(entries, (F.col("n") >= F.col("first")) & (F.col("n") < F.col("first") + F.col("rows")))
-        places = [(r["batch"], r["n"] - r["first"]) for r in hits.collect()]  # no more than ids were given
-        stored = self.open(name)
-        within = self._stored(name).where(
-            F.col("batch").isin([b for b, _ in places]) & F.col("row_no").isin([n for _, n in places])
-        )
-        number = F.concat(F.lit(ID_PREFIX), (F.col("first") + F.col("row_no")).cast("string"))
-        return within.withColumn("id", number).where(F.col("id").isin(ids)).select(*stored.columns)
+    def look_up(self, name: str, found: DataFrame, columns: tuple[str, ...] | None = None, small: bool = True) -> DataFrame:
+        """``found``, which has an id, with ``columns`` (or all) of the rows stored under its ids; unknown ids vanish.
+
+        The place of an id (insert, block of rows, number) follows from the manifest alone.  Where ``found`` is ``small``, it is
+        computed now (a search must not run again to prune), its places are broadcast, and the blocks among them are
+        all that the scan lists: dynamic partition pruning.
+        """
+        last = self._last(name)
+        if last["version"] < 0:
+            raise ValueError(f"collection {name!r} is empty or does not exist")
+        schema = T.StructType.fromJson(json.loads(last["schema"])).add("batch", T.StringType())
+        rows = self.spark.read.schema(schema).parquet(f"{self._folder(name)}/data")
+        if small:
+            found = checkpointed(found)
+        number = F.expr(f"try_cast(substring(id, {len(ID_PREFIX) + 1}) AS bigint)")
+        # the pattern is that of stored ids, so "chunk_07" is none
+        known = found.where(F.col("id").rlike(f"^{ID_PREFIX}(0|[1-9][0-9]{{0,17}})$")).withColumn("_n", number)
+        inserts = F.broadcast(self._manifest(name))  # a row for each insert since the last compaction
+        places = known.join(inserts, (F.col("_n") >= F.col("first")) & (F.col("_n") < F.col("first") + F.col("rows")))
+        places = _in_blocks(places.withColumn("row_no", F.col("_n") - F.col("first"))).drop("_n", "first", "rows")
+        taken = [c for c in rows.columns if c not in ("batch", "row_no", "row_block")] if columns is None else list(columns)
+        stored = rows.select("batch", "row_block", "row_no", *taken)
+        joined = stored.join(F.broadcast(places) if small else places, ["batch", "row_block", "row_no"])
+        return joined.select(*found.columns, *taken)
+
+    def look_up_in(self, name: str) -> Callable[..., DataFrame]:
+        """``look_up`` for one collection, as ``knn`` and ``answering.retrieve`` take it."""
+        return partial(self.look_up, name)
 
     def query(self, name: str, queries: DataFrame, n_results: int, where: dict[str, Any] | None = None,
               include: tuple[str, ...] = ("document",), **options: Any) -> DataFrame:
-        return knn(queries, self.open(name), n_results, where, columns=include, **options)
+        return knn(queries, self.open(name), n_results, where, columns=include, look_up=self.look_up_in(name), **options)
 
     # -- statistics
 
@@ -301,6 +344,10 @@ def _read(spark: SparkSession, stream: Any) -> str:
     return "" if line is None else f"{line}\n" if line.endswith("}") else line
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("row_block", F.floor(F.col("row_no") / BLOCK_ROWS).cast("int"))
+
+
 def _merged(stored: str | None, schema: T.StructType) -> str:
     """The stored fields plus new ones; a field keeps its type."""
     fields = {f["name"]: f for f in json.loads(stored)["fields"]} if stored else {}

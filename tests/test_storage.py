@@ -236,7 +236,11 @@ def test_inserts_never_replace_each_other(spark, chunks, corpus, tmp_path):
     before = sorted((r["id"], r["document"]) for r in db.open("papers").collect())
     assert db.compact("papers")
     assert sorted((r["id"], r["document"]) for r in db.open("papers").collect()) == before
-    assert len(os.listdir(tmp_path / "db/papers/data")) == 1
+    kept = len(os.listdir(tmp_path / "db/papers/data"))
+    assert kept > 2  # for readers that have begun with them
+    db.add("papers", rows, "source_file", "chunk_id", key="job-7")  # a replay after the compaction
+    assert sorted((r["id"], r["document"]) for r in db.open("papers").collect()) == before
+    assert db.compact("papers") and len(os.listdir(tmp_path / "db/papers/data")) == 2
     db.add("papers", rows, "source_file", "chunk_id")
     assert ids_are_dense(db, "papers") and db.get("papers", ids=["chunk_3", f"chunk_{db.count('papers') - 1}"]).count() == 2
 
@@ -252,6 +256,93 @@ def test_two_adds_at_a_time(spark, chunks, tmp_path):
     assert db.count("papers") == db.open("papers").count() == 36 and ids_are_dense(db, "papers")
 
 
+def test_two_writers_of_one_key(spark, chunks, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("papers", "none")
+    rows = encode_chunks(chunks).withColumnRenamed("text", "document")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda _: db.add("papers", rows, "source_file", "chunk_id", key="same"), range(3)))
+    assert db.count("papers") == db.open("papers").count() == 9 and ids_are_dense(db, "papers")
+    assert len(os.listdir(tmp_path / "db/papers/data")) == 1
+
+
+def test_a_stream_restarted_after_a_compaction(spark, corpus, tmp_path):
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("papers", "feature-hashing")
+
+    def run():
+        stream_ingest(spark, corpus, db, "papers", str(tmp_path / "progress"), form_feed_reader, files_per_batch=2).awaitTermination()
+        return sorted((r["id"], r["document"]) for r in db.open("papers").collect())
+
+    first = run()
+    assert db.compact("papers")
+    # the last batch is stored, but the stream does not know: its commit is lost
+    commits = sorted(f for f in os.listdir(tmp_path / "progress/commits") if f.isdigit())
+    for f in (commits[-1], f".{commits[-1]}.crc"):
+        os.remove(tmp_path / "progress/commits" / f)
+    assert run() == first
+
+
+def _scans(df):
+    """(files read, dynamic partition filter or not) of every Parquet scan of an executed plan."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec" and "/data" in node.toString() + node.relation().location().toString():
+            filters = node.partitionFilters().toString()
+            found.append((node.metrics().apply("numFiles").value(), "dynamicpruning" in filters))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_looked_up_documents_come_from_few_files(spark, monkeypatch, tmp_path):
+    from sparquill.operators.knn import knn
+    from sparquill.plans import answering
+    from sparquill.sources import collections as C
+
+    monkeypatch.setattr(C, "BLOCK_ROWS", 50)
+    db = Collections(spark, str(tmp_path / "db"))
+    db.create("papers", "none")
+    rows = spark.range(1000).selectExpr(
+        "id AS n", "concat('Text ', id) AS document", "concat('f', id) AS source_file", "'2001' AS year_range", "1 AS page_number", "'' AS section",
+        "array(float(cos(id / 1000)), float(sin(id / 1000))) AS embedding",
+    )
+    for part in (0, 1):
+        db.add("papers", rows.where(F.col("n") % 2 == part), "n")
+    stored = db.open("papers")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9999995, 0.001])], "query_id int, embedding array<float>")
+    want = sorted(map(tuple, knn(asked, stored, 5, columns=("document",)).collect()))
+    for look_up_twice in range(2):
+        found = knn(asked, db.open("papers"), 5, columns=("document",), look_up=db.look_up_in("papers"))
+        scans = _scans(found)
+        assert sorted(map(tuple, found.collect())) == want
+        pruned = [n for n, dynamic in scans if dynamic]
+        files = sum(f.endswith(".parquet") for _, _, names in os.walk(tmp_path / "db/papers/data") for f in names)
+        assert len(pruned) == 1 and pruned[0] <= 3 and files >= 20
+        assert look_up_twice or db.compact("papers")
+    some = db.get("papers", ids=["chunk_3", "chunk_999", "chunk_07", "chunk_1000", "x", "chunk_3"])
+    assert sorted(r["id"] for r in some.collect()) == ["chunk_3", "chunk_999"]
+    assert [n for n, dynamic in _scans(some) if dynamic][0] <= 4
+    # more ids than are broadcast
+    monkeypatch.setattr(C, "MAX_LOOKED_UP", 3)
+    ids = spark.createDataFrame([(f"chunk_{i}",) for i in range(0, 1000, 100)], "id string")
+    assert db.get("papers", ids=ids).count() == 10
+    questions = spark.createDataFrame([(1, "Text 5?")], "query_id int, question string")
+    encoder = lambda: lambda texts: [[1.0, 0.0]] * len(texts)
+    plain = answering.retrieve(questions, db.open("papers"), encoder=encoder)
+    pruned = answering.retrieve(questions, db.open("papers"), encoder=encoder, look_up=db.look_up_in("papers"))
+    assert plain.collect() == pruned.collect() and len(plain.first()["sources"]) == 10
+
+
 def test_failed_rows_are_counted_and_listed(spark, chunks, tmp_path):
     def flaky():
         encode = hashing_encoder()()
