@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import vectors as V
 from sparquill.functions.text import round_half_even
+from sparquill.operators.clustering import kmeans
 
 Encode = Callable[[list[str]], np.ndarray]
 Encoder = Callable[[], Encode]
@@ -152,11 +153,7 @@ def throughput(rows: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, rows / seconds).otherwise(F.lit(0.0))
 
 
-def cluster_profile(vectors: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """k-means over ``embedding``: ``(cluster, year_range, n_chunks)`` with one row per pair."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    features = vectors.select("year_range", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
-    return model.transform(features).groupBy("cluster", "year_range").agg(F.count(F.lit(1)).alias("n_chunks"))
+def cluster_profile(vectors: DataFrame, k: int = 10, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """k-means over ``embedding``: ``(cluster, year_range, n_chunks)`` with one row per pair; unusable vectors have no cluster."""
+    found = kmeans(vectors.select("year_range", "embedding"), k, seed, rounds).where(F.col("cluster").isNotNull())
+    return found.groupBy("cluster", "year_range").agg(F.count(F.lit(1)).alias("n_chunks"))

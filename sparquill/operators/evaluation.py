@@ -52,6 +52,21 @@ def by_category(scored: DataFrame) -> DataFrame:
     return scored.where(succeeded()).groupBy("category").agg(_mean_coverage().alias("avg_rubric_coverage"))
 
 
+def rollup(scored: DataFrame) -> DataFrame:
+    """``overall`` and ``by_category`` in one pass: a row per category, and one for all with a null category and ``level`` 1.
+
+    A null category of a question is a category of its own, with ``level`` 0.
+    """
+    ok = scored.where(succeeded())
+    return ok.rollup("category").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count(F.lit(1)).alias("successful"),
+        F.coalesce(_mean_coverage(), F.lit(0.0)).alias("avg_rubric_coverage"),
+        F.coalesce(_rate("has_doi_citation"), F.lit(0.0)).alias("doi_citation_rate"),
+        F.coalesce(_rate("has_confidence_label"), F.lit(0.0)).alias("confidence_label_rate"),
+    )
+
+
 def only_categories(questions: DataFrame, categories: list[str] | None) -> DataFrame:
     return questions.where(F.col("category").isin(categories)) if categories else questions
 

@@ -120,7 +120,11 @@ def cross_encoder_score(model_name: str) -> PairScorer:
                 yield pa.nulls(len(questions), pa.float64())
             else:
                 pairs = list(zip(questions.to_pylist(), texts.to_pylist()))
-                yield pa.array([float(s) for s in model.predict(pairs)], pa.float64())
+                try:
+                    scores = pa.array([float(s) for s in model.predict(pairs)], pa.float64())
+                except Exception:  # its questions keep their order by distance, see ``rerank``
+                    scores = pa.nulls(len(questions), pa.float64())
+                yield scores
 
     return score.asNondeterministic()
 
@@ -128,10 +132,13 @@ def cross_encoder_score(model_name: str) -> PairScorer:
 def rerank(candidates: DataFrame, scorer: PairScorer | None = lexical_score, top_k: int = vocab.TOP_K) -> DataFrame:
     """Best ``top_k`` per question by pair score; without scores, by distance.
 
-    ``candidates`` carry the original ``question``, which is what the scorer sees.
+    ``candidates`` carry the original ``question``, which is what the scorer sees.  A question of which a pair could not
+    be scored has no scores at all: scores of some rows and distances of others cannot be compared.
     """
     if scorer is not None:
+        failed = F.count_if(F.col("rerank_score").isNull()).over(W.partitionBy("query_id"))
         candidates = candidates.withColumn("rerank_score", scorer(F.col("question"), F.col("text")))
+        candidates = candidates.withColumn("rerank_score", F.when(failed == 0, F.col("rerank_score")))
     order = W.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "distance", "rank")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 

@@ -528,3 +528,20 @@ def benchmark_by_category(spark, sf_dir):
 )
 def benchmark_overall(spark, sf_dir):
     return V.overall(benchmark_scores_rows(spark, sf_dir))
+
+
+@query(
+    "eval_rollup",
+    _chain_from(
+        _ITEMS_SQL,
+        _ITEM_SCORES_SQL,
+        select="""
+        SELECT category, grouping(category)::INT AS level, count(*) AS successful,
+               round_even(sum(round(rubric_coverage * 100)::BIGINT) / count(*)::DOUBLE / 100, 3) AS avg_rubric_coverage,
+               round_even(count_if(has_doi_citation) / count(*)::DOUBLE, 3) AS doi_citation_rate,
+               round_even(count_if(has_confidence_label) / count(*)::DOUBLE, 3) AS confidence_label_rate
+        FROM scores GROUP BY ROLLUP (category)""",
+    ),
+)
+def eval_rollup(spark, sf_dir):
+    return V.rollup(benchmark_scores_rows(spark, sf_dir))

@@ -20,7 +20,7 @@ from sparquill.queries.inputs import (
 from sparquill.plans.embedding import summarise_clusters
 from sparquill.queries.registry import query
 from sparquill.functions import text as T
-from sparquill.session import checkpointed, ensure_checkpoint_dir
+from sparquill.session import ensure_checkpoint_dir, written
 from sparquill.sources.collections import Collections, append_rows, number_rows
 
 _NEAREST = "SELECT query_id, rank, id, distance FROM nearest"
@@ -220,15 +220,20 @@ def embedding_validation(spark, sf_dir):
 
 @query(
     "embedding_index",
-    """
-    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS embedding_index FROM documents WHERE doc_id % 7 <> 3
-    """,
+    with_ctes(
+        SHELF_SQL,
+        encode_sql("d", "shelf", "id", "document"),
+        select="""
+        SELECT s.id AS doc_id, row_number() OVER (ORDER BY s.id) - 1 AS embedding_index, count(d.id) AS n_components
+        FROM shelf s LEFT JOIN d USING (id) WHERE s.document IS NOT NULL GROUP BY s.id""",
+    ),
 )
 def embedding_index(spark, sf_dir):
-    """Numbers of the vectors of all documents; every seventh text is missing and gets none."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"))
-    encoded = checkpointed(E.encode_chunks(rows).select("doc_id"))
-    return dense_index(encoded, "doc_id", name="embedding_index")
+    """All documents encoded and stored, then numbered where there is a vector; with the number of its components that are not zero."""
+    encoded = written(E.encode_chunks(shelf_rows(spark, sf_dir), text="document"))
+    good = encoded.where(F.col("encode_error").isNull() & F.col("embedding").isNotNull())
+    n = F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_components")
+    return dense_index(good.select(F.col("id").alias("doc_id"), n), "doc_id", name="embedding_index")
 
 
 @query(
@@ -256,9 +261,45 @@ def cluster_summary(spark, sf_dir):
     return summarise_clusters(pairs)
 
 
-@query("kmeans_profile")
+_ROUNDS = 4
+
+
+def _kmeans_sql() -> str:
+    """The rounds of k-means one after the other: distances, nearest centre, new centres."""
+    parts = [
+        """whole AS (
+          SELECT vec_id, year_range, list_transform(embedding, lambda x: floor(x::DOUBLE * 65536 + 0.5)::BIGINT) AS w
+          FROM (SELECT *, id AS vec_id FROM vectors)),
+        cells AS (SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS place FROM whole),
+        seeds AS (SELECT w, row_number() OVER (ORDER BY h) - 1 AS cluster
+          FROM (SELECT md5('42:' || array_to_string(w, ',')) AS h, min(w) AS w FROM whole GROUP BY h) ORDER BY h LIMIT 10),
+        c0 AS (SELECT cluster, unnest(w) AS x, generate_subscripts(w, 1) AS place FROM seeds)"""
+    ]
+    for n in range(_ROUNDS + 1):
+        parts.append(
+            f"""d{n} AS (SELECT vec_id, cluster, sum((cells.x - c.x) * (cells.x - c.x)) AS d
+          FROM cells JOIN c{n} c USING (place) GROUP BY vec_id, cluster),
+        a{n} AS (SELECT vec_id, cluster FROM d{n} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1)"""
+        )
+        if n < _ROUNDS:
+            up, down = "(2 * sum(x)::BIGINT + count(*))", "(2 * count(*))"
+            parts.append(
+                f"""c{n + 1} AS (SELECT c.cluster, c.place, coalesce(t.x, c.x) AS x FROM c{n} c LEFT JOIN (
+            SELECT cluster, place, (({up} - (({up} % {down}) + {down}) % {down}) // {down})::BIGINT AS x
+            FROM cells JOIN a{n} USING (vec_id) GROUP BY cluster, place) t USING (cluster, place))"""
+            )
+    return with_ctes(
+        VECTORS_SQL,
+        *parts,
+        select=f"""SELECT cluster::INT AS cluster, year_range, count(*) AS n_chunks
+        FROM a{_ROUNDS} JOIN whole USING (vec_id) GROUP BY ALL""",
+    )
+
+
+@query("kmeans_profile", _kmeans_sql())
 def kmeans_profile(spark, sf_dir):
-    return E.cluster_profile(vectors(spark, sf_dir))
+    """Four rounds, so that SQL can go through the same ones."""
+    return E.cluster_profile(vectors(spark, sf_dir), rounds=_ROUNDS)
 
 
 # -- the collection --------------------------------------------------------------

@@ -161,6 +161,44 @@ def test_clusters(spark, data):
     assert sum(r["n_chunks"] for r in got) == 900 and len(got) <= 4
 
 
+def _lloyd(rows, k, seed, rounds):
+    """k-means on whole numbers, one row after the other."""
+    import hashlib
+    import math
+
+    whole = [tuple(math.floor(float(np.float32(x)) * 65536 + 0.5) for x in r) for r in rows]
+    by_hash = sorted({(hashlib.md5(f"{seed}:{','.join(map(str, w))}".encode()).hexdigest(), w) for w in whole})
+    centres = [list(w) for _, w in by_hash[:k]]
+    near = lambda w: min(range(len(centres)), key=lambda c: (sum((a - b) ** 2 for a, b in zip(w, centres[c])), c))
+    for _ in range(rounds):
+        own = [near(w) for w in whole]
+        for c in range(len(centres)):
+            mine = [w for w, o in zip(whole, own) if o == c]
+            if mine:
+                centres[c] = [(2 * sum(x) + len(mine)) // (2 * len(mine)) for x in zip(*mine)]
+    return [near(w) for w in whole]
+
+
+def test_kmeans_against_plain_python_in_every_layout(spark):
+    from sparquill.operators.clustering import kmeans
+
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(200, 5)) + 3 * rng.normal(size=(6, 5))[rng.integers(0, 6, 200)]
+    rows[150:] = rows[:50]  # copies
+    nan, inf = float("nan"), float("inf")
+    bad = [None, [], [1.0], [nan] * 5, [inf] + [0.0] * 4, [None] + [0.0] * 4, [1e30] * 5]
+    data = list(enumerate([*rows.tolist(), *bad]))
+    df = spark.createDataFrame(data, "id long, embedding array<float>")
+    want = _lloyd(rows, 4, 42, 6)
+    for parts in (1, 7):
+        got = {r["id"]: r["cluster"] for r in kmeans(df.repartition(parts), 4, rounds=6).select("id", "cluster").collect()}
+        assert [got[i] for i in range(200)] == want and all(got[i] is None for i in range(200, 207))
+    few = kmeans(df.where("id < 3"), 10).select("cluster").distinct()
+    assert few.count() == 3
+    for empty in (df.limit(0), df.where("id = 200")):
+        assert {r["cluster"] for r in kmeans(empty).collect()} <= {None}
+
+
 def test_metadata(spark):
     df = spark.createDataFrame(
         [("a", "2001"), ("a", None), ("b", "2001"), (None, "1999")] * 2, "source_file string, year_range string"

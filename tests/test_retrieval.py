@@ -271,3 +271,33 @@ def test_session(spark, collection):
     assert len(row["sources"]) == 1 and row["sources"][0]["year_range"] == "2007-2026" and row["year_filter"] == "2007-2026"
     assert s.feed("/year off") == "Year filter removed." and s.year_filter is None
     assert s.feed("/quit") == "Bye!" and s.finished
+
+
+def test_a_failing_scorer_keeps_the_order_by_distance(spark, monkeypatch):
+    import sys
+    import types
+
+    from pyspark.sql import functions as F
+
+    from sparquill.operators import retrieval as R
+
+    data = [(q, r, 0.1 * r, f"{'broken' if q == 2 and r == 2 else 'text'} {9 - r}") for q in (1, 2) for r in range(1, 5)]
+    rows = spark.createDataFrame(data, "query_id int, rank int, distance double, text string").withColumn("question", F.lit("q"))
+    scorer = lambda q, t: F.when(~t.startswith("broken"), F.substring(t, 6, 1).cast("double") * -1)
+    ranked = R.rerank(rows, scorer, 3).orderBy("query_id", "rank").collect()
+    assert [r["distance"] for r in ranked] == [0.4, 0.1 * 3, 0.2, 0.1, 0.2, 0.1 * 3]
+    assert [r["rerank_score"] is None for r in ranked] == [False] * 3 + [True] * 3
+
+    # the model itself fails on some pairs
+    class CrossEncoder:
+        def __init__(self, *_, **__):
+            pass
+
+        def predict(self, pairs):
+            raise RuntimeError("out of memory")
+
+    module = types.ModuleType("sentence_transformers")
+    module.CrossEncoder = CrossEncoder
+    monkeypatch.setitem(sys.modules, "sentence_transformers", module)
+    score = R.cross_encoder_score("any")
+    assert [r["rank"] for r in R.rerank(rows, score, 2).orderBy("query_id", "rank").collect()] == [1, 2, 1, 2]
