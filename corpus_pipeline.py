@@ -26,7 +26,8 @@ from sparquill.session import ensure_checkpoint_dir  # noqa: E402
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows outside the held-out fifth."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_score", score(model, F.col("text"))).filter("_score < 0.5").select(*docs.columns)
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(model, F.col("text")).alias("score"))
+    return scored.filter("score < 0.5").select("row.*")
 
 
 def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
