@@ -59,6 +59,18 @@ def shuffle_key(*parts: Column, seed: str = "0") -> Column:
     return F.substring(F.md5(F.concat_ws(":", F.lit(seed), *texts)), 1, 16)
 
 
+def numbered_copies(rows: DataFrame, name: str = "_copy") -> DataFrame:
+    """``rows`` with a number from 0 among equal rows: the same result whatever the partitions, as equal rows can be exchanged.
+
+    Equal rows are counted first, with partial counts in the tasks that hold them, and dealt out again in runs.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    run = F.lit(ROWS_PER_BUCKET)
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / run))).alias("_run"))
+    last = F.least(F.col("_n"), (F.col("_run") + 1) * run) - 1
+    return runs.select(*rows.columns, F.explode(F.sequence(F.col("_run") * run, last)).alias(name))
+
+
 def running_sum(df: DataFrame, group: str, key: str, value: str, name: str, n_rows: int) -> DataFrame:
     """Add the sum of ``value`` over the rows before this one in its group, by order of ``key``.
 

@@ -195,7 +195,7 @@ def _scan(found: list[Template]):
 
 
 _SCHEMA = (
-    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches string"
+    "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches string"
 )
 
 
@@ -209,7 +209,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are neither read nor returned.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(weigh(rows)), _SCHEMA)
+    schema = _SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())
+    return rows.mapInArrow(_scan(weigh(rows)), schema)
 
 
 @query("op7_license_scan")

@@ -279,7 +279,7 @@ def near_dedup(
     one document, with the links of all its texts.  A null id is linked with nothing: its component is null and it is kept.
     Other columns are neither read nor returned.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = checkpointed(
         texts.mapInArrow(_sketches(k), "doc_id long, n long, digest binary, dense binary, used binary")
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import BLANK, WORD, filled, query, table, word_count
+from sparquill.llm.common import filled, numbered_copies, query, table, word_count, BLANK, WORD
 from sparquill.session import checkpointed
 
 CAPACITY = 2048  # words of a sequence
@@ -93,17 +93,18 @@ def pack(
     ``cluster`` is the MD5 of the text without ASCII blanks: a bin holds no two pieces of one cluster, and of a source
     no more than its lanes.  A document without words (null, empty or blank text) is one piece of 0 words
     with a null bin.  Null sources are a source of their own.  Ids may be null or repeat; each row is packed by itself.
+    The result does not depend on how the rows are partitioned.
     Other columns are neither read nor returned.
     """
-    rows = checkpointed(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.md5(F.regexp_replace(filled(text_col), BLANK + "+", "")).alias("cluster"),
-            F.md5(filled(text_col)).alias("text_md5"),
-            word_count(F.col(text_col)).alias("size"),
-        ).withColumn("_row", F.monotonically_increasing_id())
+    measured = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.md5(F.regexp_replace(filled(text_col), BLANK + "+", "")).alias("cluster"),
+        F.md5(filled(text_col)).alias("text_md5"),
+        word_count(F.col(text_col)).alias("size"),
     )
+    number = F.xxhash64("doc_id", "source", "text_md5", "_copy")
+    rows = checkpointed(numbered_copies(measured).withColumn("_row", number).drop("_copy"))
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(capacity))).cast("int")
     pieces = (
         rows.withColumn("n_pieces", n_pieces)

@@ -197,8 +197,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts count as empty.  Ids may be null or repeat.  Other columns are neither read nor returned.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _scan_batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+        _scan_batches, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
 
 

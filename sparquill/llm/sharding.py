@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import filled, query, running_sum, shuffle_key, table
+from sparquill.llm.common import filled, numbered_copies, query, running_sum, shuffle_key, table
 from sparquill.session import checkpointed
 
 LARGE = 1024  # groups above this fraction of the bytes or rows are packed one by one
@@ -176,18 +176,17 @@ def shard_documents(
 
     Rows of equal text share a shard unless together they exceed a shard's fair size
     (``split_group``).  Null texts count as empty.  Slots run from 0 within a shard, in a reproducible random
-    order.  Ids may be null or repeat.  Other columns are neither read nor returned.
+    order.  The result does not depend on how the rows are partitioned.  Ids may be null or repeat.  Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     text = filled(text_col)
-    rows = checkpointed(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.unhex(F.md5(text)).alias("digest"),
-        ).withColumn("_row", F.monotonically_increasing_id())
+    measured = docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.unhex(F.md5(text)).alias("digest"),
     )
+    rows = checkpointed(numbered_copies(measured).withColumn("_row", F.xxhash64("doc_id", "digest", "_copy")).drop("_copy"))
     groups = checkpointed(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
     small, large = pack_groups(groups, n_shards)
     big = spark.createDataFrame(large, "digest binary, pieces int, shards array<int>")

@@ -10,6 +10,8 @@ block of its documents, which stand in a reproducible random order; after the la
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,12 +65,17 @@ def schedule(spark: SparkSession, bounds: list[float], words: list[int], block:
     small = [(s, n, min(n, BLOCKS_PER_SOURCE)) for s, n in enumerate(words) if 0 < n < BLOCKS_PER_SOURCE * block]
     sizes = spark.createDataFrame(list(enumerate(words)), "source_no int, words long")
     point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
-    source = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[:-1]]), lambda b: b <= F.col("point"))) if len(bounds) > 1 else F.lit(0)
+    cuts = np.array(bounds[:-1], dtype=np.float64)  # one number for each source, searched by halving
+
+    @F.arrow_udf("int")
+    def source_at(points: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, points.to_numpy(), side="right"), pa.int32())
+
     drawn = (
         spark.range(n_slots)
         .select((F.col("id") + 1).alias("slot"))
         .withColumn("point", point)
-        .withColumn("source_no", source)
+        .withColumn("source_no", source_at("point"))
         .join(F.broadcast(sizes.filter(F.col("words") >= BLOCKS_PER_SOURCE * block)), "source_no")
         .select("slot", "source_no", "words")
     )
@@ -185,16 +192,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     decided = taken_words(docs, id_col=id_col, text_col=text_col, source_col=source_col)
     decided = decided.groupBy("doc_id", "source", "size", "text_hash").agg(F.max("pass_words").alias("pass_words"))
     passes = F.filter("pass_words", lambda n: (n > 0) & (n * 2 >= F.col("size")))
-    decided = decided.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.size(passes).alias("_copies")
-    ).filter("_copies > 0")
+    decided = decided.select("doc_id", "text_hash", "source", F.size(passes).alias("copies")).filter("copies > 0")
+    # the row as one value, so that its columns may have any names
+    carried = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"),
+        F.xxhash64(filled(text_col)).alias("own_hash"), F.col(source_col).alias("own_source"),
+    )
     same = (
-        F.col(id_col).eqNullSafe(F.col("_id"))
-        & (F.xxhash64(filled(text_col)) == F.col("_hash"))
-        & F.col(source_col).eqNullSafe(F.col("_source"))
+        F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")) & F.col("own_source").eqNullSafe(F.col("source"))
     )
-    copies = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    return docs.join(decided, same).select(*docs.columns, copies).drop("_copy")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return carried.join(decided, same).select("row", copies).select("row.*")
 
 
 @query("op8_source_mix")

@@ -1,5 +1,6 @@
 """Sharding, source mix and packing."""
 
+import hashlib
 import random
 import zlib
 
@@ -216,3 +217,52 @@ def test_pack_awkward_tables(spark):
     assert found.filter("bin IS NULL").count() == 5  # "", null (twice), two blank texts
     assert P.pack(documents(spark, [])).count() == 0
     assert P.pack(documents(spark, [None, ""])).filter("bin IS NULL AND n_words = 0").count() == 2
+
+
+@pytest.mark.parametrize("run", [lambda d: S.shard_documents(d, 4), lambda d: P.pack(d, 40)], ids=["shards", "bins"])
+def test_results_do_not_depend_on_partitions(spark, run):
+    docs = awkward(spark).unionByName(documents(spark, [prose(n, 30) for n in range(150)], range(100, 250)))
+    docs = docs.unionByName(documents(spark, ["same"] * 30, [7] * 30).withColumn("source", F.lit("s")))
+    one, seven = (sorted(map(str, run(docs.repartition(n)).collect())) for n in (1, 7))
+    assert one == seven
+
+
+def test_numbered_copies(spark, monkeypatch):
+    from sparquill.llm import common
+
+    monkeypatch.setattr(common, "ROWS_PER_BUCKET", 3)
+    df = spark.createDataFrame([("a",)] * 10 + [("b",)] * 3 + [(None,)] * 2 + [("c",)], "x string")
+    got = sorted((r["x"] or "", r["n"]) for r in common.numbered_copies(df, "n").collect())
+    assert got == [("", 0), ("", 1), *(("a", i) for i in range(10)), ("b", 0), ("b", 1), ("b", 2), ("c", 0)]
+
+
+def test_taken_words_replayed_row_by_row(spark):
+    docs = _many(spark)
+    got = rows(M.taken_words(docs))
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r["source"], []).append(r)
+    for group in by_source.values():
+        # the order in which a pass goes through a source
+        group.sort(key=lambda r: hashlib.md5(f"0:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:16])
+        words, size, start = int(group[0]["target"]), group[0]["source_size"], 0
+        for r in group:
+            passes = [max(0, min(start + r["size"], words - p * size) - start) for p in range(2)]
+            assert r["pass_words"] == passes and r["taken"] == sum(passes)
+            start += r["size"]
+        assert start == size and sum(r["taken"] for r in group) == words
+
+
+def test_thousands_of_sources(spark):
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", "repeat('word ', cast(1 + id % 7 AS int)) AS text", "concat('host', id % 5000) AS source"
+    )
+    got = M.taken_words(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert got.filter("taken != floor(target)").count() == 0 and got.count() == 5000
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    names = ["_hash", "_id", "_source", "_copies", "row", "copy", "own_id", "text_hash", "a.b"]
+    docs = documents(spark, [prose(n, 20) for n in range(12)]).select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
+    mixed = M.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {tuple(r[3:]) for r in mixed.collect()} == {tuple(names)}

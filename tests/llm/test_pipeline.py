@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from sparquill.llm.queries import ORACLES, QUERIES
+from sparquill.session import checkpointed
 from tests.llm.helpers import brute_components, documents, prose, rows
 from tests.llm.test_dedup import _brute_lines
 from tests.llm.test_models import INSULTS
@@ -57,6 +60,30 @@ def test_stages(spark, tmp_path):
             assert r["text"] == mixed[r["doc_id"]]
 
 
+def test_columns_of_any_name_and_empty_tables_pass_all_stages(spark, tmp_path):
+    values, toxic = _folder(spark, tmp_path)
+    names = ["_score", "score", "_hash", "_id", "row", "digest", "_row", "component_id", "size", "bin", "text_md5", "copies", "kept"]
+    docs = documents(spark, values).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(n).alias(n) for n in names])
+    empty = docs.limit(0)
+    for _, stage in C.STAGES[:-1]:
+        docs, empty = checkpointed(stage(spark, docs, str(tmp_path))), checkpointed(stage(spark, empty, str(tmp_path)))
+        assert docs.columns == empty.columns and docs.count() > 0 and empty.count() == 0
+        assert {tuple(r[n] for n in names) for r in rows(docs)} == {tuple(names)}
+    assert C.pack_sequences(spark, docs, str(tmp_path)).count() > 0 and C.pack_sequences(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_ids_of_another_type(spark):
+    from sparquill.llm import exact_dedup, license_scan, line_dedup, near_dedup, packing, secret_scan, sharding, source_mix
+
+    docs = documents(spark, [prose(1), prose(1) + " x", "password = hunter2hunter2", "MIT", None]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    runs = [
+        exact_dedup.exact_dedup, license_scan.license_scan, line_dedup.line_dedup, near_dedup.near_dedup, near_dedup.drop_near_copies,
+        packing.pack, secret_scan.secret_scan, sharding.shard_documents, source_mix.taken_words, source_mix.mixed_documents,
+    ]
+    for run in runs:
+        assert len(run(docs).collect()) >= 3, run.__name__
+
+
 def test_every_number_is_registered():
     for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in QUERIES) == 1
