@@ -99,6 +99,21 @@ def test_awkward_rows_and_ids(spark):
     assert A.align_tokenizers(documents(spark, [])).count() == 0
 
 
+def test_both_forms_of_the_byte_vocabulary_agree(pair):
+    assert pair._ranked is not None
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0x250)]
+    texts = [f"a{c}1 {c}{c} b {c}'s{c}\n{c}" for c in letters]
+    texts += ["".join(r.choice(letters) for _ in range(r.randrange(1, 60))) for _ in range(3000)]
+    texts += ["z" * 20_000, " " * 999 + "x", "\n \n" * 300, "don't we'll I'VE", "<|endoftext|>", "".join(letters)]
+    whole = [e.ids for e in pair._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert [pair._ranked.encode_ordinary(" " + t) for t in texts] == whole
+    hard = ["漢字 x", "x" + " " * 5000 + "y", "plain", "\u2003em"]
+    whole = [e.ids for e in pair._a.encode_batch_fast([" " + t for t in hard], add_special_tokens=False)]
+    for ids, want in zip(pair.encode(hard)[0], whole):
+        assert not len(ids) or ids.tolist() == want
+
+
 def test_lanes_and_blocks_change_nothing(pair, monkeypatch):
     texts = [_words(7, 900), "z" * 5000, _words(8, 3), "", _words(9, 500)]
     ids = list(zip(*pair.encode(texts)))
