@@ -1,7 +1,8 @@
 """Turning text into vectors, and checking the vectors.
 
 An encoder is a factory: called once per Python worker task, it loads its model and
-returns ``encode(texts) -> float array of shape (n, dim)``.  The default needs no model.
+returns ``encode(texts) -> float array of shape (n, dim)``.  The default needs no model and
+no Python: it is the expression ``hashed_words``.
 """
 
 from __future__ import annotations
@@ -27,8 +28,40 @@ DIMENSION = 384
 BATCH_SIZE = 32
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hashed_words(text: Column, dimension: int = DIMENSION) -> Column:
+    """Word counts hashed into ``dimension`` buckets, scaled to unit length; all zeros without words.
+
+    The buckets of a text's words are sorted together with one entry of every bucket, so that each bucket ends
+    somewhere and its count is the distance from the end before it.
+    """
+
+    def bucket(word: Column) -> Column:
+        return (F.conv(F.substring(F.md5(F.lower(word)), 1, 8), 16, 10).cast("long") % dimension).cast("int")
+
+    def ends(buckets: Column) -> Column:
+        return F.array_compact(F.transform(buckets, lambda b, i: F.when(F.get(buckets, i + 1).eqNullSafe(b), None).otherwise(i)))
+
+    def counts(ends: Column) -> Column:
+        return F.transform(ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(-1)) - 1).cast("double"))
+
+    def scaled(counts: Column) -> Column:
+        squares = F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n)
+        norm = F.when(squares > 0, F.sqrt(squares)).otherwise(1.0)
+        return _let(norm, lambda norm: F.transform(counts, lambda n: (n / norm).cast("float")))
+
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))  # letters and digits of every script
+    every = F.sequence(F.lit(0), F.lit(dimension - 1))
+    buckets = F.sort_array(F.concat(F.transform(words, bucket), every))
+    return _let(buckets, lambda b: _let(ends(b), lambda e: _let(counts(e), scaled)))
+
+
 def hashing_encoder(dimension: int = DIMENSION) -> Encoder:
-    """Word counts hashed into ``dimension`` buckets, scaled to unit length."""
+    """``hashed_words`` as an encoder, for callers that wrap or replace encoders."""
 
     def load() -> Encode:
         @lru_cache(maxsize=1 << 18)
@@ -77,13 +110,14 @@ def encode(text: Column, encoder: Encoder | None = None, batch_size: int = BATCH
     """``struct<embedding array<float>, error string>`` for a text column.
 
     A batch that fails leaves its rows with no embedding and the reason in ``error``;
-    the other batches go on.
+    the other batches go on.  Without ``encoder`` the vector is an expression and cannot fail.
     """
-    factory = encoder or hashing_encoder()
+    if encoder is None:
+        return F.struct(hashed_words(text).alias("embedding"), F.lit(None).cast("string").alias("error"))
 
     @F.arrow_udf("struct<embedding:array<float>,error:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode_batch = factory()
+        encode_batch = encoder()
         for batch in batches:
             vectors: list[np.ndarray | None] = []
             errors: list[str | None] = []
