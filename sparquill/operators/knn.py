@@ -5,10 +5,11 @@ Two plans give the same answer:
 * *broadcast*: the query vectors are few enough (checked, not assumed) to send to every
   task.  The collection is scanned in place, never shuffled; each task keeps only its
   best ``k`` per query, and those few rows are merged.
-* *blocks*: more queries than that.  Both sides are hashed into blocks of bounded size,
-  every query block meets every collection block in its own task, and each task again
-  keeps only its best ``k`` per query.  A side is copied once per block of the other
-  one, so blocks are as large as a task's memory allows.
+* *rounds*: more queries than that.  They are stored once in blocks of bounded size, and
+  each block in turn is broadcast to a scan like the one above, whose ``k`` rows per query
+  are stored before the next.  The collection is read once a round and never moved.  A task
+  gathers its vectors into small balls (centre and radius) and passes over the balls that the
+  triangle inequality shows to be farther from a query than its ``k`` best so far.
 
 Distances are rounded to the reported four decimals first and ties go to the lower id,
 so that equal copies rank the same in every plan.
@@ -27,13 +28,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from sparquill.operators.filters import where_to_column
-from sparquill.session import written
+from sparquill.session import shared_folder, written
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_RESULTS = 1 << 19
 BLOCK_QUERIES = 65536
-BLOCK_VECTORS = 65536
+BALL_ROWS = 64  # vectors in a ball at most
+GATHERED_BYTES = 64 << 20  # vectors a task gathers before it makes balls of them
 TILE_CELLS = 8 << 20  # distances held in memory at once inside a task
 DECIMALS = 4
 
@@ -74,56 +76,129 @@ def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
     return np.sqrt(squared) if metric == "l2" else squared
 
 
+def _balls(points: np.ndarray) -> list[np.ndarray]:
+    """Places of the points of each ball: cut across the line to a far point, until they are small.
+
+    The cut is the widest gap along the line that leaves an eighth on both sides, which keeps clusters whole.
+    """
+    found, open_ = [], [np.arange(len(points))]
+    while open_:
+        places = open_.pop()
+        part = points[places]
+        away = part - part[0]
+        along = away @ away[np.argmax(np.einsum("ij,ij->i", away, away))]
+        if len(places) <= BALL_ROWS or not along.max() > along.min():
+            found.append(places)
+            continue
+        order, eighth = np.argsort(along), len(places) // 8
+        cut = eighth + 1 + int(np.argmax(np.diff(along[order[eighth : len(places) - eighth]])))
+        open_ += [places[order[:cut]], places[order[cut:]]]
+    return found
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms > 0, norms, 1.0)
+
+
 class _Best:
-    """Running best ``k`` (distance, id) per query, over any number of batches."""
+    """Running best ``k`` (distance, id) per query, over any number of batches.
+
+    ``cells`` counts the distances that a full comparison takes, ``computed`` those that were needed.
+    """
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
-        self.distance: np.ndarray | None = None
+        self.distance = np.full((len(queries), k), np.inf)
+        self.filled = np.zeros(len(queries), dtype=np.int64)
         self.ids: np.ndarray | None = None
+        self.cells = self.computed = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.cells += len(ids) * len(self.queries)
+        self._compare(ids, vectors, np.arange(len(self.queries)))
+
+    def add_by_balls(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """``add``, without the balls that are too far away to matter."""
+        self.cells += len(ids) * len(self.queries)
         if not len(ids) or not len(self.queries):
             return
+        angles = self.metric == "cosine"
+        points = _unit(vectors) if angles else vectors
+        balls = _balls(points)
+        centres = np.stack([points[b].mean(axis=0) for b in balls])
+        radii = np.array([np.linalg.norm(points[b] - c, axis=1).max() for b, c in zip(balls, centres)])
+        step = max(1, TILE_CELLS // len(balls))
+        for start in range(0, len(self.queries), step):
+            rows = np.arange(start, min(start + step, len(self.queries)))
+            asked = _unit(self.queries[rows]) if angles else self.queries[rows]
+            least = self._least(asked, centres, radii)
+            nearest = np.argmin(_distances(asked, centres, self.metric), axis=1)
+            for n, ball in enumerate(balls):  # each query's nearest ball first: it sets how far to look
+                self._compare(ids[ball], vectors[ball], rows[nearest == n])
+            for n, ball in enumerate(balls):
+                open_ = (least[:, n] <= self.distance[rows, -1]) & (nearest != n)
+                self._compare(ids[ball], vectors[ball], rows[open_])
+
+    def _least(self, asked: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """A bound under the rounded distance of each query to all points of each ball."""
+        asked_sq = np.einsum("ij,ij->i", asked, asked)[:, None]
+        product = asked @ centres.T
+        centre_sq = np.einsum("ij,ij->i", centres, centres)[None, :]
+        scale = asked_sq + centre_sq + radii**2
+        rounding = 10.0**-DECIMALS
+        if self.metric == "ip":
+            return 1.0 - product - np.sqrt(asked_sq) * radii - rounding - 1e-10 * scale
+        gap = np.maximum(np.sqrt(np.maximum(asked_sq + centre_sq - 2.0 * product, 0.0)) - radii, 0.0)
+        if self.metric == "l2":
+            return gap - rounding - 1e-6 * np.sqrt(scale)
+        return gap**2 / (2.0 if self.metric == "cosine" else 1.0) - rounding - 1e-10 * scale
+
+    def _compare(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray) -> None:
+        if not len(ids) or not len(asked):
+            return
+        self.computed += len(ids) * len(asked)
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
+        if self.ids is None:
+            self.ids = np.zeros(self.distance.shape, dtype=ids.dtype)
+        elif self.ids.dtype != ids.dtype:  # longer strings
+            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
         keep = min(self.k, len(ids))
-        rows = max(1, TILE_CELLS // len(ids))
-        parts_d, parts_i = [], []
-        for start in range(0, len(self.queries), rows):
-            tile = _distances(self.queries[start : start + rows], vectors, self.metric)
-            tile = np.round(tile, DECIMALS) + 0.0
+        step = max(1, TILE_CELLS // len(ids))
+        for start in range(0, len(asked), step):
+            rows = asked[start : start + step]
+            tile = np.round(_distances(self.queries[rows], vectors, self.metric), DECIMALS) + 0.0
+            tile = np.fmin(tile, np.finfo(np.float64).max)  # overflow is a very large distance
+            better = tile.min(axis=1) <= self.distance[rows, -1]
+            rows, tile = rows[better], tile[better]
+            if not len(rows):
+                continue
             picked = np.argpartition(tile, keep - 1, axis=1)[:, :keep]
             worst_kept = np.take_along_axis(tile, picked, axis=1).max(axis=1)
             # only where more rows tie at the cut than fit do ids decide which are kept
             for r in np.flatnonzero((tile <= worst_kept[:, None]).sum(axis=1) > keep):
                 near = np.flatnonzero(tile[r] <= worst_kept[r])  # ascending ids, ties included
                 picked[r] = near[np.argsort(tile[r, near], kind="stable")[:keep]]
-            parts_d.append(np.take_along_axis(tile, picked, axis=1))
-            parts_i.append(ids[picked])
-        self._merge(np.concatenate(parts_d), np.concatenate(parts_i))
-
-    def _merge(self, distance: np.ndarray, ids: np.ndarray) -> None:
-        if self.distance is not None:
-            distance = np.concatenate([self.distance, distance], axis=1)
-            ids = np.concatenate([self.ids, ids], axis=1)
-        order = np.lexsort((ids, distance), axis=1)[:, : self.k]
-        self.distance = np.take_along_axis(distance, order, axis=1)
-        self.ids = np.take_along_axis(ids, order, axis=1)
+            distance = np.concatenate([self.distance[rows], np.take_along_axis(tile, picked, axis=1)], axis=1)
+            found = np.concatenate([self.ids[rows], ids[picked]], axis=1)
+            best = np.lexsort((found, distance), axis=1)[:, : self.k]
+            self.distance[rows] = np.take_along_axis(distance, best, axis=1)
+            self.ids[rows] = np.take_along_axis(found, best, axis=1)
+            self.filled[rows] = np.minimum(self.filled[rows] + keep, self.k)
 
     def rows(self, query_ids: list[Any], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        if self.distance is None:
+        if self.ids is None:
             return
-        width = self.distance.shape[1]
-        step = max(1, 65536 // width)
+        step = max(1, 65536 // self.k)
         for start in range(0, len(query_ids), step):
             part = query_ids[start : start + step]
-            stop = start + len(part)
+            held = np.arange(self.k) < self.filled[start : start + len(part), None]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([q for q in part for _ in range(width)], schema.field(0).type),
-                    pa.array(self.ids[start:stop].ravel().tolist(), schema.field(1).type),
-                    pa.array(self.distance[start:stop].ravel()),
+                    pa.array([q for q, n in zip(part, held.sum(axis=1)) for _ in range(n)], schema.field(0).type),
+                    pa.array(self.ids[start : start + len(part)][held].tolist(), schema.field(1).type),
+                    pa.array(self.distance[start : start + len(part)][held]),
                 ],
                 schema=schema,
             )
@@ -152,52 +227,62 @@ def _query_blocks(query_rows: pa.Table) -> dict[int, tuple[list, np.ndarray]]:
     return {length: ([ids[p] for p in places], matrix) for length, places, matrix in found}
 
 
-def _by_broadcast(query_rows: pa.Table, queries: DataFrame, collection: DataFrame, k: int, metric: str) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in larger pieces."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_broadcast(
+    query_rows: pa.Table, queries: DataFrame, collection: DataFrame, k: int, metric: str, balls: bool = False
+) -> DataFrame:
     schema, arrow_schema = _output(queries, collection)
     shared = collection.sparkSession.sparkContext.broadcast(_query_blocks(query_rows))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {length: _Best(matrix, k, metric) for length, (_, matrix) in shared.value.items()}
-        for batch in batches:
+        for batch in _gathered(batches) if balls else batches:
             ids = _ids(batch.column(0))
             for length, places, matrix in _by_length(ids, batch.column(1)):
                 if length in best:
-                    best[length].add(ids[places], matrix)
+                    (best[length].add_by_balls if balls else best[length].add)(ids[places], matrix)
         for length, (query_ids, _) in shared.value.items():
             yield from best[length].rows(query_ids, arrow_schema)
 
     return collection.select("id", "embedding").mapInArrow(scan, schema)
 
 
-def _by_blocks(
-    queries: DataFrame, collection: DataFrame, size: int, k: int, metric: str, block_queries: int, block_vectors: int
-) -> DataFrame:
-    schema, arrow_schema = _output(queries, collection)
-    queries = written(queries)  # encoded once
-    n_queries = -(-max(queries.count(), 1) // block_queries)
-    n_vectors = -(-max(size, 1) // block_vectors)
-
-    def blocks(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def block_of(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    left = queries.select("query_id", "embedding", block_of("query_id", n_queries).alias("qb"), blocks(n_vectors).alias("vb"))
-    right = collection.select("id", "embedding", block_of("id", n_vectors).alias("vb"), blocks(n_queries).alias("qb"))
+def _ranked(nearest: DataFrame, k: int) -> DataFrame:
+    """Each task sent at most ``k`` rows per query; the filter on rank lets Spark cut before it shuffles."""
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    ranked = nearest.withColumn("rank", order).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "distance")
 
-    def meet(query_block: pa.Table, vector_block: pa.Table) -> pa.Table:
-        found: list[pa.RecordBatch] = []
-        if query_block.num_rows and vector_block.num_rows:
-            asked, ids = _query_blocks(query_block), _ids(vector_block["id"])
-            for length, places, matrix in _by_length(ids, vector_block["embedding"]):
-                if length in asked:
-                    best = _Best(asked[length][1], k, metric)
-                    best.add(ids[places], matrix)
-                    found.extend(best.rows(asked[length][0], arrow_schema))
-        return pa.Table.from_batches(found, arrow_schema)
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, schema)
+def _by_rounds(queries: DataFrame, collection: DataFrame, k: int, metric: str, block_queries: int) -> DataFrame:
+    """Ranked rows, stored round by round."""
+    spark = collection.sparkSession
+    queries = written(queries)  # encoded once
+    size, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    block = max(1, min(block_queries, MAX_BROADCAST_BYTES // (4 * max(longest or 1, 1))))
+    rounds = -(-size // block) or 1
+    folder = shared_folder(spark)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int")
+    queries.withColumn("round", number).repartition(rounds, "round").write.partitionBy("round").parquet(f"{folder}/asked")
+    layout = T.StructType([*queries.schema.fields, T.StructField("round", T.IntegerType())])
+    asked = spark.read.schema(layout).parquet(f"{folder}/asked")
+    for n in range(rounds):
+        part = asked.where(F.col("round") == n).drop("round").toArrow()
+        found = _ranked(_by_broadcast(part, queries, collection, k, metric, balls=True), k)
+        found.write.mode("overwrite").parquet(f"{folder}/found/round={n}")
+    return spark.read.schema(found.schema).parquet(f"{folder}/found").drop("round")
 
 
 def knn(
@@ -208,7 +293,6 @@ def knn(
     metric: str = "l2sq",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     block_queries: int = BLOCK_QUERIES,
-    block_vectors: int = BLOCK_VECTORS,
     columns: tuple[str, ...] = (),
     look_up: Callable[..., DataFrame] | None = None,
 ) -> DataFrame:
@@ -230,16 +314,9 @@ def knn(
     head = wanted.limit(max_broadcast_queries + 1).toArrow()
     few = head.num_rows <= max_broadcast_queries and head.nbytes <= MAX_BROADCAST_BYTES
     if few:
-        nearest = _by_broadcast(head, wanted, searched, k, metric)
+        top = _ranked(_by_broadcast(head, wanted, searched, k, metric), k)
     else:
-        # the count sets the block size only, so it need not look at any vector
-        nearest = _by_blocks(wanted, searched, allowed.count(), k, metric, block_queries, block_vectors)
-
-    # each task sent at most k rows per query; the filter on rank lets Spark cut before it shuffles
-    ranked = nearest.withColumn(
-        "rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    )
-    top = ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+        top = _by_rounds(wanted, searched, k, metric, block_queries)
     if not columns:
         return top
     # k rows per query, with the number of queries checked above

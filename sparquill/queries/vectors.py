@@ -66,7 +66,7 @@ def knn_bad_vectors(spark, sf_dir):
 
 @query("knn_bad_vectors_blocks", with_ctes(VECTORS_SQL, PROBES_SQL, knn_sql(20, "v.id % 17 NOT IN (3, 5, 8, 11)"), select=_NEAREST))
 def knn_bad_vectors_blocks(spark, sf_dir):
-    return knn(probes(spark, sf_dir), _spoiled(vectors(spark, sf_dir)), 20, max_broadcast_queries=0, block_queries=64, block_vectors=256)
+    return knn(probes(spark, sf_dir), _spoiled(vectors(spark, sf_dir)), 20, max_broadcast_queries=0, block_queries=64)
 
 
 @query(

@@ -52,12 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder below the shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4()}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder, for several readers.
 
     Unlike a checkpoint, every reader only gets the columns it asks for.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4()}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -66,7 +71,7 @@ def written(df: DataFrame) -> DataFrame:
 def stored_for_now(df: DataFrame) -> Iterator[DataFrame]:
     """``written``, but deleted at the end of the block: for rows that are stored elsewhere by then."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4()}"
+    path = shared_folder(spark)
     try:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from sparquill.operators.encoding import cluster_profile, encode_chunks, validat
 from sparquill.operators.filters import where_to_column
 from sparquill.operators.indexing import dense_index
 from sparquill.operators.joins import join_small
-from sparquill.operators.knn import inner_product_top_k, knn, similar_items, unusable_vectors
+from sparquill.operators.knn import _Best, inner_product_top_k, knn, similar_items, unusable_vectors
 
 
 def frame(spark, ids, matrix, id_type="long", name="id", **columns):
@@ -51,11 +51,37 @@ def test_both_plans_equal_brute_force(spark, data, metric):
     asked = frame(spark, range(len(queries)), queries, name="query_id")
     want = brute_force(vectors, ids, queries, 12, metric)
     assert triples(knn(asked, collection, 12, metric=metric)) == want
-    blocks = knn(asked, collection, 12, metric=metric, max_broadcast_queries=5, block_queries=11, block_vectors=100)
-    assert "MapInArrow" not in blocks._jdf.queryExecution().executedPlan().toString()
+    blocks = knn(asked, collection, 12, metric=metric, max_broadcast_queries=5, block_queries=11)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Exchange" not in plan  # read from what the rounds stored
     assert triples(blocks) == want
 
 
+@pytest.mark.parametrize("metric", ["l2sq", "l2", "cosine", "ip"])
+def test_balls_give_the_same_rows_and_pass_over_most(metric):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    vectors = centres[rng.integers(0, 60, 6000)] + 0.02 * rng.normal(size=(6000, 24))
+    vectors[:700] = vectors[0]  # equal copies, more than any k
+    vectors[700:703] = 0.0
+    queries = np.concatenate([vectors[::97], 3.0 * rng.normal(size=(20, 24)), np.zeros((1, 24))])
+    ids = rng.permutation(6000)
+    for scale in (1.0, 1e5):
+        plain, balls = _Best(scale * queries, 10, metric), _Best(scale * queries, 10, metric)
+        for part in np.array_split(np.arange(6000), 2):
+            plain.add(ids[part], scale * vectors[part])
+            balls.add_by_balls(ids[part], scale * vectors[part])
+        if scale == 1.0 or metric == "cosine":
+            assert (plain.ids == balls.ids).all() and (plain.distance == balls.distance).all()
+        else:  # beyond 15 digits the last decimals depend on the order of the products
+            assert np.allclose(plain.distance, balls.distance, rtol=1e-9, atol=1e-2)
+    stored = _Best(vectors[::97], 10, metric)
+    stored.add_by_balls(ids, vectors)
+    print(metric, "distances computed, queries anywhere:", balls.computed / balls.cells, "near stored rows:", stored.computed / stored.cells)
+    assert plain.computed == plain.cells and balls.computed < balls.cells and stored.computed < 0.2 * stored.cells
+
+
 def test_string_ids_and_small_collections(spark, data):
     vectors, queries = data
     ids = [f"chunk_{i}" for i in range(6)]
@@ -239,7 +265,7 @@ def test_bad_vectors_take_no_part(spark, data):
     asked = spark.createDataFrame(list(enumerate(asked)), "query_id long, embedding array<float>")
     good = [i for i in range(900) if i not in (4, 5, 6, 7, 8, 9)]
     want = brute_force(vectors[good], good, queries, 5)
-    for options in ({}, {"max_broadcast_queries": 0, "block_queries": 16, "block_vectors": 100}):
+    for options in ({}, {"max_broadcast_queries": 0, "block_queries": 16}):
         found = knn(asked, rows, 5, **options).collect()
         assert {(r["query_id"], r["rank"], r["id"]) for r in found} == want
     assert knn(asked, rows.where("id IN (4, 5)"), 5).count() == 0
