@@ -127,6 +127,32 @@ def test_chunk_files(spark, chunks, tmp_path):
     assert meta["statistics"]["total_chunks"] == 3 and meta["configuration"]["chunk_size"] == 512
 
 
+def test_one_large_array_is_read_by_many_tasks(spark, tmp_path):
+    text = ['plain', 'a "quoted" word', 'braces } and { and }, {', 'back\\slash \\" }', 'line\nbreak ] [', '', 'ünï 東京 }{"']
+    records = [{"id": i, "text": text[i % len(text)] * (i % 5), "inner": {"deep": {"n": i}, "s": "}"}} for i in range(3000)]
+    schema = "id long, text string, inner struct<deep: struct<n: long>, s: string>"
+    for n, indent in enumerate((None, 2)):
+        with open(tmp_path / f"a{n}.json", "w") as f:
+            json.dump(records, f, indent=indent, ensure_ascii=n == 0)
+    with open(tmp_path / "empty.json", "w") as f:
+        f.write("[ ]\n")
+    schema = spark.createDataFrame([], schema).schema
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10007")
+    try:
+        for path in (f"{tmp_path}/a0.json", f"{tmp_path}/a1.json"):
+            assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 20
+            rows = chunk_files.read_json_arrays(spark, path, schema).collect()
+            assert sorted((r.asDict(True) for r in rows), key=lambda r: r["id"]) == records
+        assert chunk_files.read_json_arrays(spark, f"{tmp_path}/*.json", schema).count() == 6000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with open(tmp_path / "cut.json", "w") as f:
+        f.write('[{"source_file": "a.pdf", "text": "b')
+    with pytest.raises(ValueError, match="no end of the array"):
+        chunk_files.read_chunks(spark, f"{tmp_path}/cut.json")
+
+
 def test_embedding_run(spark, chunks, tmp_path):
     passed, report = embedding.embed(chunks, str(tmp_path / "e"))
     assert passed and report["n_vectors"] == 9 and report["is_normalised"]
