@@ -5,7 +5,8 @@ words occurs.  Each template (notice or phrase) is indexed under its rarest word
 second pass looks the rare words of each text up there; a posting and a place in the text give the place where
 the template would begin, and templates that enough of their words confirm at their relative positions are
 candidates.  A notice counts if the weight (inverse document frequency) of its words that stand where they should, within
-``SLACK`` words, reaches ``LIKE`` and its key phrases are there word by word.  A phrase counts
+``SLACK`` words, reaches ``LIKE`` and its key phrases are there word by word.  Longer texts are cut into overlapping
+windows, each a template of its own, so that what is left of a shortened or altered licence is found.  A phrase counts
 only whole, and at every place.
 """
 
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm.common import query, table
-from sparquill.llm.license_terms import NOTICES, PHRASES
+from sparquill.llm.license_terms import NOTICES, PHRASES, TEXTS
 from sparquill.llm.tokens import text_slices, word_hash, words
 
 RARE = 4  # words of a notice in the index
 LIKE = 0.8
 SLACK = 3
+WINDOW = 24  # words of a long text in one template
+STRIDE = 12
 
 # Bytes of a word after lower-casing: a-z, 0-9 and everything outside ASCII.
 LETTERS = np.zeros(256, dtype=bool)
@@ -50,7 +53,29 @@ def _hashes(text: str) -> np.ndarray:
 def templates() -> list[Template]:
     phrases = [Template(label, _hashes(text), True, []) for text, label in PHRASES]
     notices = [Template(label, _hashes(text), False, [_hashes(r) for r in required]) for label, text, required in NOTICES]
-    return phrases + notices
+    return phrases + notices + _windows()
+
+
+def _runs(words: list[str], n: int) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def _windows() -> list[Template]:
+    """Templates of the long texts.  A window with key phrases must hold all that its text has; one without them must be
+    words of its licence alone: no half of its runs of four words may stand in the text of another label."""
+    found = []
+    for label, text, required in TEXTS:
+        words, keys = text.split(), [r.split() for r in required]
+        others = set().union(*(_runs(t.split(), 4) for other, t, _ in TEXTS if other != label))
+        last = max(0, len(words) - WINDOW)
+        for start in sorted({*range(0, last, STRIDE), last}):
+            part = words[start : start + WINDOW]
+            held = [tuple(k) in _runs(part, len(k)) for k in keys]
+            if all(held):
+                found.append(Template(label, _hashes(" ".join(part)), False, [_hashes(r) for r in required]))
+            elif not any(held) and 2 * len(_runs(part, 4) & others) < len(_runs(part, 4)):
+                found.append(Template(label, _hashes(" ".join(part)), False, []))
+    return found
 
 
 def _found(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray):

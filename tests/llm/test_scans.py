@@ -6,6 +6,7 @@ import re
 
 from sparquill.llm import license_scan as L
 from sparquill.llm import secret_scan as S
+from sparquill.llm.license_terms import TEXTS
 from tests.llm.helpers import LOWER, awkward, documents, prose, rows, texts
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -50,6 +51,43 @@ def test_notices(spark):
     assert found == ["apache-2.0", "mit", "gpl,gpl-3.0", "cc-by,cc-by-nc-4.0", "bsd", "", "", "cc-by,cc-by-nc-4.0"]
 
 
+def test_whole_shortened_and_altered_licences(spark):
+    """Each licence reflowed as a comment, cut to two thirds, and with one word in twenty replaced or left out (headers
+    that name the version at their end are not cut); against shuffled licences and prose made of their words."""
+    r = random.Random(5)
+    values, want = [], []
+    vocabulary = sorted({w for _, text, _ in TEXTS for w in text.split()})
+    for label, text, _ in TEXTS:
+        words = text.split()
+        for n in range(12):
+            part = list(words)
+            if n % 3 == 1 and not label.startswith(("gpl", "agpl")):
+                length = max(22, len(words) * 2 // 3)
+                start = r.randrange(len(words) - length + 1)
+                part = part[start : start + length]
+            if n % 3 == 2:
+                for i in r.sample(range(len(part)), len(part) // 20):
+                    part[i] = r.choice(["altered", "", "two words"])
+            lines = [" * " + " ".join(part[i : i + 7]).upper() for i in range(0, len(part), 7)]
+            values.append(prose(len(values)) + "\n/*\n" + "\n".join(lines) + "\n */\n" + prose(len(values) + 1))
+            want.append(label)
+        r.shuffle(words)
+        values.append(" ".join(words))
+        want.append("")
+    for _ in range(100):
+        values.append(" ".join(r.choices(vocabulary, k=300)))
+        want.append("")
+    hits = right = wrong = 0
+    for row in rows(L.license_scan(documents(spark, values)), "doc_id"):
+        got, label = set(filter(None, row["labels"].split(","))) - set(PHRASES.values()), want[row["doc_id"]]
+        hits += label in got
+        right += len(got & {label})
+        wrong += len(got - {label})
+    total = sum(map(bool, want))
+    print(f"recall {hits / total:.3f}, precision {right / (right + wrong):.3f}")
+    assert hits >= 0.95 * total and right >= 0.97 * (right + wrong)
+
+
 def test_scans_of_awkward_tables(spark):
     for scan in (L.license_scan, S.secret_scan):
         assert scan(awkward(spark)).count() == 24
