@@ -38,6 +38,7 @@ SHORTEST = 2  # a shorter window is filled up with empty words
 CLEAN_COST = 1.3  # of rejecting a clean text, against 1 for keeping a toxic one
 STEPS = 400  # of multiple-instance training at least, while that takes no more than 40 rounds
 MAX_CACHED = 300_000  # words remembered by a worker
+BLOCK_WORDS = 100_000  # words of the training texts whose windows are in memory at once
 
 _WORD = re.compile(r"\w+")
 _FACTORS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -147,6 +148,14 @@ def window_sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return total
 
 
+def text_blocks(lengths: np.ndarray, begins: np.ndarray) -> list[tuple[int, int]]:
+    """Runs (first, behind the last) of texts of about ``BLOCK_WORDS`` words together; a text is never cut."""
+    block = begins // BLOCK_WORDS
+    cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
+    edges = [0, *cuts.tolist(), len(lengths)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
     """Fit on texts with labels 0 and 1; ``prior`` is the share of toxic rows outside the sample.
 
@@ -185,9 +194,12 @@ def train_vectors(texts: list[str], labels: np.ndarray, used: np.ndarray, seed:
     del vocabulary
     bucket, counts = _grams_by_word(known)
     first_gram = np.cumsum(counts) - counts
-    starts, text_of = windows(lengths)
-    sizes = np.minimum(lengths, WINDOW).astype(np.int8)[text_of]
-    truth = labels[used].astype(np.int8)[text_of]
+    # windows are known by their first word and made block by block: all at once would be most of the driver's memory
+    begins = np.cumsum(lengths) - lengths
+    blocks = text_blocks(lengths, begins)
+    mark = labels[used].astype(np.int8)
+    worded = np.flatnonzero(lengths)
+    windows_of = np.maximum(lengths[worded] - WINDOW + 1, 1)
 
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2))
@@ -235,32 +247,51 @@ def train_vectors(texts: list[str], labels: np.ndarray, used: np.ndarray, seed:
         return (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
 
     def tops() -> np.ndarray:
-        """The highest window of each text (each of ``used`` that has words)."""
+        """The first word of the highest window of each text that has words; of equal ones the last."""
         word_value = np.add.reduceat(direction()[bucket], first_gram) / counts
-        logits = (window_sums(word_value[ids], starts, sizes) / np.maximum(sizes, SHORTEST)).astype(np.float32)
-        best = np.flatnonzero(logits == np.repeat(np.maximum.reduceat(logits, firsts), windows_of))
-        return best[np.append(text_of[best[1:]] != text_of[best[:-1]], True)]  # of equal ones the last
-
-    if not len(starts):
+        found = [np.empty(0, dtype=np.int64)]
+        for first, behind in blocks:
+            part = lengths[first:behind]
+            start, owner = windows(part)
+            if not len(start):
+                continue
+            size = np.minimum(part, WINDOW)[owner]
+            values = word_value[ids[begins[first] : begins[first] + part.sum()]]
+            logits = (window_sums(values, start, size) / np.maximum(size, SHORTEST)).astype(np.float32)
+            firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            highest = np.repeat(np.maximum.reduceat(logits, firsts), np.diff(np.append(firsts, len(start))))
+            best = np.flatnonzero(logits == highest)
+            best = best[np.append(owner[best[1:]] != owner[best[:-1]], True)]
+            found.append(begins[first] + start[best])
+        return np.concatenate(found)
+
+    def cut(phase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``side_by_side`` over all texts."""
+        parts = [side_by_side(lengths[first:behind], phase[first:behind]) for first, behind in blocks]
+        return (
+            np.concatenate([begins[first] + start for (first, _), (start, _) in zip(blocks, parts)]),
+            np.concatenate([first + owner for (first, _), (_, owner) in zip(blocks, parts)]),
+        )
+
+    if not len(worded):
         return Model(direction(), float(bias[1] - bias[0]))
-    toxic = int(np.count_nonzero(truth))
-    share = 2 * toxic / max(1, len(truth) - toxic)  # of the clean windows: two for a toxic one
+    toxic = int(windows_of[mark[worded] == 1].sum())
+    share = 2 * toxic / max(1, int(windows_of.sum()) - toxic)  # of the clean windows: two for a toxic one
     rounds = max(6, min(40, STEPS * 32 // len(used)))  # few texts: more rounds over them
     for rate in np.geomspace(0.5, 0.3, max(5, min(10, rounds // 4))):
         # each word once a round, in windows side by side: overlapping ones would show the words at the ends of a text
         # less often than the others, and each toxic word among four times as many clean words of toxic texts
-        start, owner = side_by_side(lengths, rng.integers(0, WINDOW, len(lengths)))
+        start, owner = cut(rng.integers(0, WINDOW, len(lengths)))
         size = np.append(start[1:], len(ids)) - start
-        label = labels[used].astype(np.int8)[owner]
+        label = mark[owner]
         chosen = (label == 1) | (rng.random(len(label)) < share)
         epoch(start[chosen], size[chosen], label[chosen], rate)
-    firsts = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))
-    windows_of = np.diff(np.append(firsts, len(starts)))
     average, average_bias = np.zeros(BUCKETS), 0.0
     for n, rate in enumerate(np.geomspace(0.3, 0.1, rounds)):
-        random = firsts + (rng.random(len(firsts)) * windows_of).astype(np.int64)
-        chosen = np.unique(np.concatenate((tops(), random[truth[random] == 0])))
-        epoch(starts[chosen], sizes[chosen], truth[chosen], rate)
+        random = begins[worded] + (rng.random(len(worded)) * windows_of).astype(np.int64)
+        start = np.unique(np.concatenate((tops(), random[mark[worded] == 0])))
+        of = np.searchsorted(begins, start, side="right") - 1  # a text without words never is the last to begin there
+        epoch(start, np.minimum(lengths, WINDOW)[of], mark[of], rate)
         if n >= rounds // 2:  # the mean over the second half of the rounds varies less than the last state
             average += direction() / (rounds - rounds // 2)
             average_bias += float(bias[1] - bias[0]) / (rounds - rounds // 2)

@@ -193,3 +193,21 @@ def test_bad_vectors_take_no_part(spark):
     assert [(r["query_id"], r["vec_id"]) for r in found] == [(300, 3), (300, 1), (300, 2), (350, 400), (400, 350)]
     assert A.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert A.nearest(df, F.lit(False)).count() == 0
+
+
+def test_training_in_blocks_of_texts(monkeypatch):
+    """The same model whatever the blocks, and never the windows of much more than one block in memory."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    lengths = [0, *rng.integers(1, 60, 118), 0]
+    texts = [" ".join(rng.choice(words, n)) + (" vile" if i % 4 == 0 else "") for i, n in enumerate(lengths)]
+    marks = (np.arange(len(texts)) % 4 == 0).astype(int)
+    held, made = [], T.windows
+    monkeypatch.setattr(T, "windows", lambda lengths: held.append(int(lengths.sum())) or made(lengths))
+    whole = T.train_vectors(texts, marks, np.arange(len(texts)), 3)
+    assert max(held) > 3000
+    held.clear()
+    monkeypatch.setattr(T, "BLOCK_WORDS", 200)
+    parts = T.train_vectors(texts, marks, np.arange(len(texts)), 3)
+    assert max(held) <= 200 + 61
+    assert np.array_equal(whole.weights, parts.weights) and whole.bias == parts.bias
