@@ -18,6 +18,8 @@ from sparquill.functions import text as T
 PageReader = Callable[[bytes], list[Callable[[], str]]]
 Ocr = Callable[[bytes, int], str | None]
 
+HELD_BYTES = 4 << 20  # text that a task holds as Python objects before it hands the rows on
+
 _EXTRACTED = "struct<pages:array<struct<number:int,body:string>>,n_pages:int,ocr_used:int,error:string>"
 
 
@@ -64,6 +66,32 @@ def _read_file(content: bytes, read: PageReader, recognise: Ocr | None) -> dict:
     return {"pages": pages, "n_pages": len(sheets), "ocr_used": ocr_used, "error": None}
 
 
+def _read_batches(batches: Iterator[pa.Array], read: PageReader, recognise: Ocr | None) -> Iterator[pa.Array]:
+    """A row per file, in the same order, handed on whenever ``HELD_BYTES`` of text are read: the objects of the pages take many
+    times the memory of their text."""
+    kind = pa.struct(
+        [
+            ("pages", pa.list_(pa.struct([("number", pa.int32()), ("body", pa.string())]))),
+            ("n_pages", pa.int32()),
+            ("ocr_used", pa.int32()),
+            ("error", pa.string()),
+        ]
+    )
+    for batch in batches:
+        rows, held = [], 0
+        for file in batch:
+            try:
+                rows.append(_read_file(file.as_py(), read, recognise))
+                held += sum(len(page["body"]) for page in rows[-1]["pages"])
+            except Exception as failure:
+                rows.append({"pages": None, "n_pages": 0, "ocr_used": 0, "error": str(failure)})
+            if held >= HELD_BYTES:
+                yield pa.array(rows, kind)
+                rows, held = [], 0
+        if rows:
+            yield pa.array(rows, kind)
+
+
 def extract_pages(
     content: Column, reader: Callable[[], PageReader] = pypdf_reader, ocr: Callable[[], Ocr] | None = None
 ) -> Column:
@@ -71,23 +99,7 @@ def extract_pages(
 
     @F.arrow_udf(_EXTRACTED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        read, recognise = reader(), ocr() if ocr else None
-        kind = pa.struct(
-            [
-                ("pages", pa.list_(pa.struct([("number", pa.int32()), ("body", pa.string())]))),
-                ("n_pages", pa.int32()),
-                ("ocr_used", pa.int32()),
-                ("error", pa.string()),
-            ]
-        )
-        for batch in batches:
-            rows = []
-            for file in batch:
-                try:
-                    rows.append(_read_file(file.as_py(), read, recognise))
-                except Exception as failure:
-                    rows.append({"pages": None, "n_pages": 0, "ocr_used": 0, "error": str(failure)})
-            yield pa.array(rows, kind)
+        yield from _read_batches(batches, reader(), ocr() if ocr else None)
 
     return run.asNondeterministic()(content)
 

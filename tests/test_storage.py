@@ -1,6 +1,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,3 +405,19 @@ def test_intermediates_are_deleted(spark, chunks, tmp_path):
     before = {f for f in os.listdir(root) if f.startswith("written-")}
     store.build(Collections(spark, str(tmp_path / "db")), "papers", chunks)
     assert {f for f in os.listdir(root) if f.startswith("written-")} == before
+
+
+def test_read_files_are_handed_on_before_a_batch_is_over(monkeypatch):
+    def read(content):
+        if content == b"bad":
+            raise ValueError("not a document")
+        return [lambda: content.decode(), lambda: None]
+
+    files = [b"x" * 400, b"bad", b"", b"y" * 700] * 25
+    batches = [pa.array(files[:60], pa.binary()), pa.array([], pa.binary()), pa.array(files[60:], pa.binary())]
+    monkeypatch.setattr(documents, "HELD_BYTES", 1000)
+    parts = list(documents._read_batches(iter(batches), read, None))
+    assert max(sum(len(p["body"]) for r in part.to_pylist() for p in r["pages"] or []) for part in parts) < 1000 + 700
+    rows = [r for part in parts for r in part.to_pylist()]
+    assert [r["n_pages"] for r in rows] == [2, 0, 2, 2] * 25
+    assert [(r["pages"] or [{}])[0].get("body") if r["pages"] else r["error"] for r in rows] == ["x" * 400, "not a document", None, "y" * 700] * 25
