@@ -36,7 +36,8 @@ MAX_BROADCAST_RESULTS = 1 << 19
 BLOCK_QUERIES = 65536
 BALL_ROWS = 64  # vectors in a ball at most
 GATHERED_BYTES = 64 << 20  # vectors a task gathers before it makes balls of them
-TILE_CELLS = 8 << 20  # distances held in memory at once inside a task
+PIECE_ROWS = 1024  # rows of the collection that a task compares at once
+TILE_CELLS = 1 << 20  # distances held in memory at once inside a task
 DECIMALS = 4
 
 
@@ -48,7 +49,9 @@ def _by_length(ids: Any, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[i
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    first, end = (int(offsets[0]), int(offsets[-1])) if len(column) else (0, 0)
+    offsets -= first  # a slice shares the values of the whole
+    values = column.values.slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.float64)
     lengths = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
     for length in np.unique(lengths[lengths > 0]):
         places = np.flatnonzero(lengths == length)
@@ -240,6 +243,13 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller pieces, so that memory goes neither by Spark's batches nor by the size of a partition."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
 def _by_broadcast(
     query_rows: pa.Table, queries: DataFrame, collection: DataFrame, k: int, metric: str, balls: bool = False
 ) -> DataFrame:
@@ -248,7 +258,7 @@ def _by_broadcast(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {length: _Best(matrix, k, metric) for length, (_, matrix) in shared.value.items()}
-        for batch in _gathered(batches) if balls else batches:
+        for batch in _gathered(batches) if balls else _pieces(batches):
             ids = _ids(batch.column(0))
             for length, places, matrix in _by_length(ids, batch.column(1)):
                 if length in best:

@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparquill.operators import knn as K
 from sparquill.operators import metadata as M
 from sparquill.operators.encoding import cluster_profile, encode_chunks, validation_report
 from sparquill.operators.filters import where_to_column
@@ -271,3 +273,19 @@ def test_bad_vectors_take_no_part(spark, data):
     assert knn(asked, rows.where("id IN (4, 5)"), 5).count() == 0
     counts = unusable_vectors(rows, 16).first()
     assert tuple(counts) == (900, 1, 2, 3)
+
+
+def test_a_task_compares_large_batches_in_pieces(spark, data, monkeypatch):
+    vectors, queries = data
+    sizes = []
+    monkeypatch.setattr(K, "PIECE_ROWS", 64)
+    monkeypatch.setattr(K, "_by_length", lambda ids, column, made=K._by_length: sizes.append(len(column)) or made(ids, column))
+    vectors = np.concatenate([vectors, np.full((1, 16), np.nan, np.float32)])
+    batch = pa.record_batch({"id": pa.array(range(901)), "embedding": pa.array(list(vectors))})
+    best = K._Best(queries.astype(np.float64), 5, "l2sq")
+    for piece in K._pieces(iter([batch.slice(1)])):
+        for _, places, matrix in K._by_length(K._ids(piece.column(0)), piece.column(1)):
+            best.add(K._ids(piece.column(0))[places], matrix)
+    assert max(sizes) == 64 and sum(sizes) == 900
+    found = {(q, int(i)) for q in range(len(queries)) for i in best.ids[q]}
+    assert found == {(q, i) for q, _, i in brute_force(vectors[1:900], range(1, 900), queries, 5)}
