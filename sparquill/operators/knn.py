@@ -318,8 +318,8 @@ def knn(
     """
     condition = where_to_column(where)
     allowed = collection if condition is None else collection.where(condition)
-    searched = allowed.where(F.col("embedding").isNotNull())
-    wanted = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    # missing vectors are left out inside the tasks: Spark would push a filter below the encoding and encode every text twice
+    searched, wanted = allowed, queries.select("query_id", "embedding")
 
     head = wanted.limit(max_broadcast_queries + 1).toArrow()
     few = head.num_rows <= max_broadcast_queries and head.nbytes <= MAX_BROADCAST_BYTES

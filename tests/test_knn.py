@@ -289,3 +289,17 @@ def test_a_task_compares_large_batches_in_pieces(spark, data, monkeypatch):
     assert max(sizes) == 64 and sum(sizes) == 900
     found = {(q, int(i)) for q in range(len(queries)) for i in best.ids[q]}
     assert found == {(q, i) for q, _, i in brute_force(vectors[1:900], range(1, 900), queries, 5)}
+
+
+def test_texts_are_encoded_once_and_missing_vectors_are_left_out(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "drought and rust"), (2, None), (3, "white mold"), (4, "")], "id int, text string")
+    collection = encode_chunks(rows)
+    asked = encode_chunks(spark.createDataFrame([("a", "rust"), ("b", "mold"), ("c", None)], "query_id string, text string"))
+    found = knn(asked, collection, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {("a", 1), ("b", 3)}
+    missing = collection.select("id", F.when(F.col("id") != 1, F.col("embedding")).alias("embedding"))
+    for most in (4096, 1):  # both plans
+        nearest = {r["query_id"]: r["id"] for r in knn(asked, missing, 1, max_broadcast_queries=most).collect()}
+        assert nearest == {"a": 4, "b": 3}
