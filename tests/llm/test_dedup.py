@@ -173,3 +173,37 @@ def test_an_id_with_several_texts_links_them(spark):
     assert {(i, v) for (i, _), v in found.items()} == {(i, (c, c == i)) for i, c in components.items()}
     assert sorted(r["doc_id"] for r in rows(N.drop_near_copies(docs)) if r["doc_id"] is not None) == [3, 6, 20, 21]
     assert N.drop_near_copies(docs).filter("doc_id IS NULL").count() == 2
+
+
+def _paths_and_stars():
+    """Edges of a long path, a star with copies of edges, loops and a pair, and the smallest node of each node's component."""
+    path = [(i, i + 1) for i in range(100, 160)]
+    star = [(7, i) for i in range(200, 240)] * 2
+    edges = [*path, *star, (5, 5), (900, 901), (901, 900)]
+    return edges, {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, *range(200, 240))} | {900: 900, 901: 900}
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges, want = _paths_and_stars()
+    rows_of = spark.createDataFrame(edges, "a long, b long").repartition(32)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        assert {r["node"]: r["component"] for r in C.components(rows_of).collect()} == want
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+        assert sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) < 300  # 4,000 with all partitions
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_components_of_more_edges_than_a_task_takes(spark, monkeypatch):
+    edges, want = _paths_and_stars()
+    monkeypatch.setattr("sparquill.llm.components.EDGES_PER_TASK", 16)
+    found = rows(C.components(spark.createDataFrame(edges, "a long, b long").repartition(32)))
+    assert len(found) == len(want) and {r["node"]: r["component"] for r in found} == want
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
