@@ -7,8 +7,7 @@ stands.  A text scores as its most toxic window, so that one insult counts the s
 
 Training sees document labels only: first every window carries its document's label (windows side by side, cut at other
 places in each round), then (multiple-instance learning) each toxic document is represented by the window that scores highest, each clean one by its
-highest window and a random one.  It runs on a bounded sample of labelled rows, in a task of its own, so that the driver
-holds no texts, only the model; scoring is a map over all texts.
+highest window and a random one.  It runs on a bounded sample of labelled rows; scoring is a map over all texts.
 For two classes the gradient of every n-gram vector is a multiple of one direction, which is what the update below uses.
 """
 
@@ -209,15 +208,18 @@ def train_vectors(texts: list[str], labels: np.ndarray, used: np.ndarray, seed:
     seen, seen_softmax = np.full(BUCKETS, 1e-4), 1e-4  # squared gradients so far
 
     def bags(start: np.ndarray, size: np.ndarray):
-        """Per n-gram of these windows: window, bucket and weight in the window's mean."""
+        """Per n-gram of these windows: window, bucket and weight in the window's mean.
+
+        A batch has close to a million n-grams, so what there is one of for each has four bytes where that is enough.
+        """
         n = size.astype(np.int64)
-        window = np.repeat(np.arange(len(start)), n)
+        window = np.repeat(np.arange(len(start), dtype=np.int32), n)
         word = ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(window))]
         grams = counts[word]
-        of = np.repeat(np.arange(len(word)), grams)
-        gram = np.repeat(first_gram[word] - (np.cumsum(grams) - grams), grams) + np.arange(len(of))
+        gram = np.repeat((first_gram[word] - (np.cumsum(grams) - grams)).astype(np.int32), grams)
+        gram += np.arange(len(gram), dtype=np.int32)
         weight = 1.0 / (np.maximum(n, SHORTEST)[window] * grams)
-        return window[of], bucket[gram], weight[of]
+        return np.repeat(window, grams), bucket[gram], np.repeat(weight, grams)
 
     def step(start: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float):
         nonlocal seen_softmax, bias
@@ -225,7 +227,9 @@ def train_vectors(texts: list[str], labels: np.ndarray, used: np.ndarray, seed:
         direction = (softmax[:, 1] - softmax[:, 0]).astype(np.float32)
         logit = np.bincount(window, weights=(vectors @ direction)[gram] * share, minlength=len(start)) + bias[1] - bias[0]
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - label)
-        pull = np.bincount(gram, weights=error[window] * share, minlength=BUCKETS)
+        share *= error[window]
+        pull = np.bincount(gram, weights=share, minlength=BUCKETS)
+        del window, gram, share
         touched = np.flatnonzero(pull)
         toward = pull[touched] @ vectors[touched]  # the gradient of one softmax column; the other has the opposite sign
         gradient = pull[touched, None] * direction
@@ -344,34 +348,20 @@ def fit(
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [usable.filter(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
     chosen = parts[0].union(parts[1])  # bounded by the two limits
+    sample = (
+        texts.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id")  # an id may repeat
+        .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+        .toArrow()
+        .sort_by("doc_id")
+    )
+    marks, values = sample["toxic"].to_numpy(), sample["text"].to_pylist()
+    del sample
+    pa.default_memory_pool().release_unused()  # else Arrow keeps the texts' bytes, twice, through the training
+    if len(set(marks.tolist())) < 2:
+        warnings.warn(f"no toxicity model: {int((marks == 1).sum())} toxic and {int((marks == 0).sum())} clean texts to learn from", stacklevel=2)
     n = sum(shares.values())
-    prior = shares.get(1, 0) / n if n else 0.5
-
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        marks, values = np.empty(0, dtype=np.int64), []
-        if held:
-            sample = pa.Table.from_batches(held).sort_by("doc_id")
-            marks, values = sample["toxic"].to_numpy(), sample["text"].to_pylist()
-            del sample
-        del held
-        model = train(values, marks, prior)
-        row = {
-            "weights": model.weights.tobytes(), "bias": model.bias, "scale": model.scale, "shift": model.shift,
-            "toxic": int((marks == 1).sum()), "clean": int((marks == 0).sum()),
-        }
-        yield pa.RecordBatch.from_pylist([row])
-
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")  # an id may repeat
-    sample = sample.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).coalesce(1)  # so bounded that one task trains
-    schema = "weights binary, bias double, scale double, shift double, toxic long, clean long"
-    found = [r.asDict() for r in sample.mapInArrow(trained, schema).collect()]
-    found = found[0] if found else {"toxic": 0, "clean": 0}  # Spark runs no task over a sample it knows to be empty
-    if not (found["toxic"] and found["clean"]):
-        warnings.warn(f"no toxicity model: {found['toxic']} toxic and {found['clean']} clean texts to learn from", stacklevel=2)
-    if "weights" not in found:
-        return train([], np.empty(0), prior)
-    return Model(np.frombuffer(found["weights"], dtype=np.float32), found["bias"], found["scale"], found["shift"])
+    return train(values, marks, shares.get(1, 0) / n if n else 0.5)
 
 
 def score(model: Model, text: Column) -> Column:
